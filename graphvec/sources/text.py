@@ -92,8 +92,11 @@ def read_vectors_text(spark: SparkSession, path: str, *, header: bool = True) ->
         toks = spark.read.text(path).select(F.split(F.trim("value"), " ").alias("t")).where(F.size("t") > 1)
         return toks.select(F.col("t")[0].alias("word"), F.slice("t", 2, F.size("t") - 1).cast("array<float>").alias("vector"))
     lines = numbered_lines(spark, path).select("file", "line_no", F.split(F.trim("value"), " ").alias("t"))
+    # try_cast: Catalyst may evaluate these on body lines too
     head = lines.where(F.col("line_no") == 0).select(
-        "file", F.col("t")[0].cast("bigint").alias("n"), F.col("t")[1].cast("int").alias("d")
+        "file",
+        F.expr("try_cast(t[0] AS BIGINT)").alias("n"),
+        F.expr("try_cast(t[1] AS INT)").alias("d"),
     )
     body = lines.where(F.col("line_no") > 0).join(F.broadcast(head), "file")
     out = body.where(F.size("t") == F.col("d") + 1).select(
@@ -101,6 +104,8 @@ def read_vectors_text(spark: SparkSession, path: str, *, header: bool = True) ->
     )
     out = write_table(out, "vectors_text")
     check = out.groupBy("n").count().collect()
+    if any(r["n"] is None for r in check):
+        raise ValueError("vector file header must be 'N D'")
     for r in check:
         if r["n"] != r["count"]:
             raise ValueError(f"header says {r['n']} vectors, file has {r['count']}")

@@ -1,0 +1,50 @@
+from pyspark.sql import functions as F
+
+from conftest import edges_df
+from graphvec.operators import graph, ranking
+
+
+def test_symmetrize_self_loop_twice(spark):
+    e = graph.symmetrize(edges_df(spark, [(1, 1), (1, 2)]))
+    assert sorted(tuple(r) for r in e.collect()) == [(1, 1), (1, 1), (1, 2), (2, 1)]
+
+
+def test_canonical_and_degree(spark):
+    e = graph.symmetrize(edges_df(spark, [(1, 2), (1, 2), (1, 3)]))
+    can = {(r.src, r.dst): r.multiplicity for r in graph.canonical_edges(e).collect()}
+    assert can == {(1, 2): 2, (1, 3): 1}
+    deg = {r.src: r.degree for r in graph.degree(e).collect()}
+    assert deg == {1: 3, 2: 2, 3: 1}
+    assert sorted(r.vertex for r in graph.vertices(e).collect()) == [1, 2, 3]
+
+
+def test_indexed_neighbours_hub_split_over_partitions(spark):
+    # star: hub 1 holds half of all rows; numbering must stay exact
+    pairs = [(1, i) for i in range(2, 2002)]
+    e = graph.symmetrize(edges_df(spark, pairs))
+    nb = graph.indexed_neighbours(e, num_partitions=16)
+    hub = nb.where("src = 1").orderBy("idx").collect()
+    assert [r.idx for r in hub] == list(range(2000))
+    assert [r.dst for r in hub] == list(range(2, 2002))
+    assert {r.degree for r in hub} == {2000}
+
+
+def test_global_index_dense(spark):
+    df = spark.range(0, 5000).select(((F.col("id") * 7919) % 5000).alias("k"))
+    r = ranking.global_index(df, ["k"], out="i", num_partitions=7)
+    got = sorted((x.k, x.i) for x in r.collect())
+    assert got == [(k, k) for k in range(5000)]
+
+
+def test_adjacency_chunks(spark):
+    e = graph.symmetrize(edges_df(spark, [(1, i) for i in range(2, 12)]))
+    adj = graph.adjacency(e, chunk_size=4).where("src = 1").orderBy("chunk").collect()
+    assert [r.neighbors for r in adj] == [[2, 3, 4, 5], [6, 7, 8, 9], [10, 11]]
+
+
+def test_walk_graph_slots(spark):
+    e = graph.symmetrize(edges_df(spark, [(1, 2), (1, 2), (1, 3)]))
+    g = graph.walk_graph(e)
+    rows = sorted((r.src, r.idx, r.dst, r.dst_degree) for r in graph.indexed_edges(g).collect())
+    assert rows == [(1, 0, 2, 2), (1, 1, 2, 2), (1, 2, 3, 1), (2, 0, 1, 3), (2, 1, 1, 3), (3, 0, 1, 3)]
+    assert g.num_slots == 6

@@ -1,0 +1,78 @@
+import pytest
+
+from conftest import edges_df
+from graphvec.operators import graph, walks, visits
+
+
+def _walks(spark, pairs, symmetric=True, **kw):
+    e = edges_df(spark, pairs)
+    if symmetric:
+        e = graph.symmetrize(e)
+    g = graph.walk_graph(e)
+    return g, walks.random_walks(g, **kw)
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
+def test_path_ends_step_inwards(spark, strategy):
+    _, w = _walks(spark, [(1, 2), (2, 3), (3, 4), (4, 5)], length=6, walks_per_vertex=3, seed=7, strategy=strategy)
+    rows = w.collect()
+    assert len(rows) == 15
+    for r in rows:
+        walk = r.walk
+        assert len(walk) == 6 and walk[0] == r.start
+        for a, b in zip(walk, walk[1:]):
+            assert abs(a - b) == 1
+            if a == 1:
+                assert b == 2
+            if a == 5:
+                assert b == 4
+
+
+def test_star_every_second_vertex_is_hub(spark):
+    _, w = _walks(spark, [(1, i) for i in range(2, 101)], length=7, walks_per_vertex=2, seed=3)
+    for r in w.collect():
+        hub_pos = 0 if r.start == 1 else 1
+        assert all(v == 1 for v in r.walk[hub_pos::2])
+        assert all(v != 1 for v in r.walk[1 - hub_pos::2])
+
+
+def test_sink_dropped_early_kept_on_last_step(spark):
+    # directed: 1->2, 1->3, 2->1 ; vertex 3 is a sink
+    e = edges_df(spark, [(1, 2), (1, 3), (2, 1)])
+    g = graph.walk_graph(e)
+    w2 = walks.random_walks(g, length=2, walks_per_vertex=50, seed=11).collect()
+    assert any(r.walk[-1] == 3 for r in w2)  # reaching the sink on the last step is fine
+    w5 = walks.random_walks(g, length=5, walks_per_vertex=50, seed=11).collect()
+    assert all(3 not in r.walk[:-1] for r in w5)
+    assert len(w5) < 100  # some walks died at the sink
+
+
+def test_strategies_and_partitioning_agree(spark):
+    pairs = [(i, (i * 7 + 3) % 50) for i in range(50)] + [(i, (i * 13 + 1) % 50) for i in range(50)]
+    e = graph.symmetrize(edges_df(spark, pairs))
+    g1 = graph.walk_graph(e, num_partitions=3)
+    g2 = graph.walk_graph(e, num_partitions=11)
+    a = {(r.start, r.walk_no): r.walk for r in walks.random_walks(g1, length=8, walks_per_vertex=2, seed=5, strategy="broadcast").collect()}
+    b = {(r.start, r.walk_no): r.walk for r in walks.random_walks(g2, length=8, walks_per_vertex=2, seed=5, strategy="shuffle").collect()}
+    assert a == b
+    edges = {(x, y) for x, y in pairs} | {(y, x) for x, y in pairs}
+    for walk in a.values():
+        assert all((u, v) in edges for u, v in zip(walk, walk[1:]))
+
+
+def test_visit_totals(spark):
+    _, w = _walks(spark, [(1, 2), (2, 3), (3, 1), (3, 4)], length=5, walks_per_vertex=4, seed=1)
+    n = w.count()
+    total = sum(r.visits for r in visits.visit_counts(w).collect())
+    assert total == n * 5
+    hist = visits.visit_histogram(w).collect()
+    assert sum(r.number_of_vertices for r in hist) == 4
+    ticks = visits.visit_ticks(visits.visit_histogram(w)).collect()
+    assert {(r.axis, r.tick) for r in ticks} >= {("visits", -0.1), ("visits", 0.0), ("visits", 1.0)}
+
+
+def test_length_one_and_bad_args(spark):
+    g, w = _walks(spark, [(1, 2)], length=1, walks_per_vertex=2, seed=0)
+    assert sorted(r.walk for r in w.collect()) == [[1], [1], [2], [2]]
+    with pytest.raises(ValueError):
+        walks.random_walks(g, length=0)
