@@ -70,7 +70,9 @@ def choose_strategy(graph: WalkGraph, broadcast_limit_bytes: int | None) -> str:
     return "broadcast" if graph.num_slots * SLOT_ROW_BYTES <= limit else "shuffle"
 
 
-def _step(cur: DataFrame, slots: DataFrame, seed: int, step: int, *, drop_dead: bool) -> DataFrame:
+def _step(
+    cur: DataFrame, slots: DataFrame, seed: int, step: int, *, drop_dead: bool, carry: list[str]
+) -> DataFrame:
     """Move every live walker one step; walkers on a sink drop out.
 
     A sink carries ``first = -1`` and degree 0, so its draw lands on slot -1,
@@ -79,18 +81,20 @@ def _step(cur: DataFrame, slots: DataFrame, seed: int, step: int, *, drop_dead:
     slot table, so every step broadcasts the identical relation and Spark
     reuses one broadcast for the whole chain. On the shuffle plan dead
     walkers are filtered first (``drop_dead``) so they never pile up on the
-    single key -1.
+    single key -1. Three DataFrame calls per step keep driver-side analysis
+    of long chains cheap.
     """
     draw = uniform_index(seed, F.greatest(F.col("deg"), F.lit(1)), "start", "walk_no", F.lit(step))
     if drop_dead:
         cur = cur.where(F.col("deg") > 0)
-    return (
-        cur.withColumn("slot", F.coalesce(F.col("first") + draw, F.lit(-1).cast("bigint")))
-        .join(slots, "slot")
-        .drop("slot", "first", "deg")
-        .withColumnRenamed("dst_first", "first")
-        .withColumnRenamed("dst_degree", "deg")
-    )
+    moved = cur.select(
+        "start", "walk_no", *carry,
+        F.coalesce(F.col("first") + draw, F.lit(-1).cast("bigint")).alias("slot"),
+    ).join(slots, "slot")
+    return moved, [
+        F.col("start"), F.col("walk_no"),
+        F.col("dst_first").alias("first"), F.col("dst_degree").alias("deg"),
+    ]
 
 
 def _broadcast_walks(
@@ -99,8 +103,8 @@ def _broadcast_walks(
     slots = F.broadcast(graph.slots.select("slot", "dst", "dst_first", "dst_degree"))
     cur = walk_seeds(graph, walks_per_vertex).withColumn("walk", F.array("start"))
     for step in range(1, length):
-        cur = _step(cur, slots, seed, step, drop_dead=False)
-        cur = cur.withColumn("walk", F.concat("walk", F.array("dst"))).drop("dst")
+        moved, keep = _step(cur, slots, seed, step, drop_dead=False, carry=["walk"])
+        cur = moved.select(*keep, F.concat("walk", F.array("dst")).alias("walk"))
         if step % chunk_steps == 0 and step < length - 1:
             cur = write_table(cur, "walk_chunk")
     return write_table(cur.select("start", "walk_no", "walk"), "walks")
@@ -122,8 +126,8 @@ def walk_steps(graph: WalkGraph, *, length: int, walks_per_vertex: int, seed: in
 
     cur = save(walk_seeds(graph, walks_per_vertex).withColumn("vertex", F.col("start")), 0)
     for step in range(1, length):
-        nxt = _step(cur.drop("vertex"), slots, seed, step, drop_dead=True).withColumnRenamed("dst", "vertex")
-        cur = save(nxt, step)
+        moved, keep = _step(cur, slots, seed, step, drop_dead=True, carry=[])
+        cur = save(moved.select(*keep, F.col("dst").alias("vertex")), step)
     return spark.read.parquet(base).select(
         "start", "walk_no", F.col("step").cast("int").alias("step"), "vertex"
     )
