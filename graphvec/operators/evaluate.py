@@ -165,7 +165,7 @@ def fit_one_vs_rest(
     *,
     reg_param: float | None = None,
     max_iter: int = 100,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ):
     """One binary ``LogisticRegression`` per label on ``train(node, vector,
     labels)``; fitted concurrently from a thread pool over one cached
