@@ -141,7 +141,7 @@ def random_walks(
     seed: int = 0,
     strategy: str = "auto",
     broadcast_limit_bytes: int | None = None,
-    chunk_steps: int = 10,
+    chunk_steps: int = 20,
 ) -> DataFrame:
     """``(start, walk_no, walk ARRAY<BIGINT>)`` of full-length walks.
 
