@@ -100,6 +100,8 @@ ORACLE: dict[str, str] = {
     + "SELECT start, walk_no, array_to_string(walk, ' ') AS walk FROM walks1",
     "walks_multi": _with(_GRAPH, _W2)
     + "SELECT start, walk_no, array_to_string(walk, ' ') AS walk FROM walks2",
+    "walks_multi_shuffle": _with(_GRAPH, _W2)
+    + "SELECT start, walk_no, array_to_string(walk, ' ') AS walk FROM walks2",
     "visit_counts": _with(_GRAPH, _W2, _VISITS) + "SELECT vertex, visits FROM vc",
     "visit_histogram": _with(_GRAPH, _W2, _VISITS) + "SELECT number_of_visits, number_of_vertices FROM hist",
     "visit_loglog": _with(_GRAPH, _W2, _VISITS)
@@ -177,6 +179,16 @@ r AS (SELECT query, word, sim, row_number() OVER (PARTITION BY query ORDER BY si
     "FROM ex GROUP BY label, pos",
     "matrix_edges": "SELECT CAST(a.n_nationkey + 1 AS BIGINT) AS src, CAST(b.n_nationkey + 1 AS BIGINT) AS dst "
     "FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey",
+    "edge_list_file": _with(_GRAPH) + "SELECT src, dst FROM e",
+    "label_file": _with(_LABELS) + "SELECT node, CAST(label AS BIGINT) AS label FROM lab",
+    "id_file": _with(_GRAPH) + "SELECT DISTINCT v AS id FROM (SELECT src AS v FROM e UNION ALL SELECT dst FROM e)",
+    "histogram_file": _with(_GRAPH, _W2, _VISITS) + "SELECT number_of_visits, number_of_vertices FROM hist",
+    "vector_text_parts": "SELECT CAST(vec_id AS VARCHAR) AS word, CAST(len(embedding) AS BIGINT) AS dim, "
+    "round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings",
+    "vector_text_file": "SELECT CAST(vec_id AS VARCHAR) AS word, CAST(len(embedding) AS BIGINT) AS dim, "
+    "round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings",
+    "model_files": "SELECT CAST(vec_id AS VARCHAR) AS word, CAST(len(embedding) AS BIGINT) AS dim, "
+    "round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings",
     "label_sets": _with(_LABELS)
     + "SELECT node, array_to_string(list_sort(list_distinct(list(label))), ' ') AS labels FROM lab GROUP BY node",
     "label_count": _with(_LABELS) + "SELECT count(DISTINCT label) AS num_labels FROM lab",

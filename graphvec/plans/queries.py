@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from graphvec.functions.vectors import rounded
 from graphvec.operators import corpus, evaluate, graph, similarity, visits, walks
 from graphvec.sources import tables
+from graphvec.sinks import writers
+from graphvec.sources import text
 from graphvec.sources.text import read_adjacency_matrix
 from graphvec.session import scratch_path
 
@@ -70,11 +72,13 @@ def _walk_graph(spark: SparkSession, sf: str) -> graph.WalkGraph:
     return _CACHE[key]
 
 
-def _walks(spark: SparkSession, sf: str, n: int = WALKS_PER_VERTEX) -> DataFrame:
-    key = ("walks", id(spark), sf, n)
+def _walks(
+    spark: SparkSession, sf: str, n: int = WALKS_PER_VERTEX, strategy: str = "auto"
+) -> DataFrame:
+    key = ("walks", id(spark), sf, n, strategy)
     if key not in _CACHE:
         _CACHE[key] = walks.random_walks(
-            _walk_graph(spark, sf), length=WALK_LENGTH, walks_per_vertex=n, seed=SEED
+            _walk_graph(spark, sf), length=WALK_LENGTH, walks_per_vertex=n, seed=SEED, strategy=strategy
         )
     return _CACHE[key]
 
@@ -150,6 +154,13 @@ def q_walks_multi(spark, sf):
     return _norm(_walks(spark, sf).select("start", "walk_no", _text("walk").alias("walk")))
 
 
+def q_walks_multi_shuffle(spark, sf):
+    """Same walks through the shuffle plan (bucketed slot table, one written
+    table per step, final assembly keyed by walk)."""
+    w = _walks(spark, sf, strategy="shuffle")
+    return _norm(w.select("start", "walk_no", _text("walk").alias("walk")))
+
+
 def q_visit_counts(spark, sf):
     return visits.visit_counts(_walks(spark, sf))
 
@@ -271,6 +282,64 @@ def q_matrix_edges(spark, sf):
     return read_adjacency_matrix(spark, _matrix_path(spark, sf))
 
 
+# -------------------------------------------------- sources and sinks, round trips
+
+
+def _vector_summary(vec: DataFrame) -> DataFrame:
+    return vec.select(
+        "word",
+        F.size("vector").cast("bigint").alias("dim"),
+        rounded(F.aggregate("vector", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double"))).alias("total"),
+    )
+
+
+def q_edge_list_file(spark, sf):
+    """Part-supplier edges written as ``src,dst`` CSV lines, read back as an
+    undirected edge list (both directions)."""
+    path = scratch_path(spark, "edge_list")
+    writers.write_csv(tables.part_supplier_edges(spark, sf), path, header=False)
+    return text.read_edge_list(spark, path, symmetric=True)
+
+
+def q_label_file(spark, sf):
+    path = scratch_path(spark, "labels")
+    writers.write_csv(_labels(spark, sf), path, header=False)
+    return _norm(text.read_labels(spark, path))
+
+
+def q_id_file(spark, sf):
+    path = scratch_path(spark, "ids")
+    writers.write_csv(graph.vertices(_edges(spark, sf)), path, header=False)
+    return text.read_ids(spark, path)
+
+
+def q_histogram_file(spark, sf):
+    path = scratch_path(spark, "visit_freq")
+    writers.write_visit_histogram(visits.visit_histogram(_walks(spark, sf)), path)
+    return text.read_visit_histogram(spark, path)
+
+
+def q_vector_text_parts(spark, sf):
+    """Distributed vector text (part files + metadata), read back."""
+    path = scratch_path(spark, "vec_parts")
+    writers.write_vectors_text(_vectors(spark, sf), path)
+    return _vector_summary(text.read_vectors_text(spark, path, header=False))
+
+
+def q_vector_text_file(spark, sf):
+    """Single vector file with the ``N D`` header line, read back."""
+    path = scratch_path(spark, "vec_file")
+    writers.write_vectors_text(_vectors(spark, sf), path, single_file=True)
+    return _vector_summary(text.read_vectors_text(spark, path, header=True))
+
+
+def q_model_files(spark, sf):
+    """Saved model (metadata + parquet), loaded with all checks."""
+    path = scratch_path(spark, "model")
+    writers.save_model(_vectors(spark, sf), path)
+    return _vector_summary(text.load_model(spark, path))
+
+
 def q_label_sets(spark, sf):
     s = evaluate.label_sets(_labels(spark, sf))
     return s.select("node", _text("labels").alias("labels"))
@@ -359,6 +428,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "walk_seeds": q_walk_seeds,
     "walks_single": q_walks_single,
     "walks_multi": q_walks_multi,
+    "walks_multi_shuffle": q_walks_multi_shuffle,
     "visit_counts": q_visit_counts,
     "visit_histogram": q_visit_histogram,
     "visit_loglog": q_visit_loglog,
@@ -376,6 +446,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nearest_by_vector": q_nearest_by_vector,
     "vector_sum": q_vector_sum,
     "matrix_edges": q_matrix_edges,
+    "edge_list_file": q_edge_list_file,
+    "label_file": q_label_file,
+    "id_file": q_id_file,
+    "histogram_file": q_histogram_file,
+    "vector_text_parts": q_vector_text_parts,
+    "vector_text_file": q_vector_text_file,
+    "model_files": q_model_files,
     "label_sets": q_label_sets,
     "label_count": q_label_count,
     "nodes_with_features": q_nodes_with_features,
