@@ -96,7 +96,7 @@ def adjacency(
 class WalkGraph:
     """Everything a walk step joins against.
 
-    ``slots``: ``(slot, src, idx, dst, dst_first, dst_degree)``, one row per directed
+    ``slots``: ``(slot, src, dst, dst_first, dst_degree)``, one row per directed
     edge. Edges are laid out in ``(src, dst)`` order and numbered globally, so
     the neighbours of ``v`` occupy slots ``first(v) .. first(v)+degree(v)-1``
     and a walker at ``v`` that draws ``k`` moves along slot ``first(v)+k``:
@@ -126,26 +126,20 @@ def walk_graph(edges: DataFrame, *, num_partitions: int | None = None) -> WalkGr
         ),
         "walk_starts",
     )
-    source = starts.select(F.col("vertex").alias("src"), "first")
     target = starts.select(
         F.col("vertex").alias("dst"),
         F.col("first").alias("dst_first"),
         F.col("degree").alias("dst_degree"),
     )
-    # A hub is a hot key on the edge side of both joins; AQE's skew join
-    # splits such partitions (inner and left-outer joins split their left
-    # side), and a small ``starts`` table is broadcast instead.
-    slots = (
-        ranked.join(source, "src")
-        .join(target, "dst", "left")
-        .select(
-            "slot",
-            "src",
-            (F.col("slot") - F.col("first")).alias("idx"),
-            "dst",
-            F.coalesce("dst_first", F.lit(-1)).cast("bigint").alias("dst_first"),
-            F.coalesce("dst_degree", F.lit(0)).cast("bigint").alias("dst_degree"),
-        )
+    # One join only: a hub is a hot key on the edge side; AQE's skew join
+    # splits such partitions (a left outer join may split its left side),
+    # and a small ``starts`` table is broadcast instead.
+    slots = ranked.join(target, "dst", "left").select(
+        "slot",
+        "src",
+        "dst",
+        F.coalesce("dst_first", F.lit(-1)).cast("bigint").alias("dst_first"),
+        F.coalesce("dst_degree", F.lit(0)).cast("bigint").alias("dst_degree"),
     )
     slots = write_table(slots, "walk_slots", bucket_by=["slot"], buckets=n)
     return WalkGraph(slots=slots, starts=starts, num_slots=slots.count())
@@ -153,5 +147,9 @@ def walk_graph(edges: DataFrame, *, num_partitions: int | None = None) -> WalkGr
 
 def indexed_edges(graph: WalkGraph) -> DataFrame:
     """``(src, idx, dst, dst_degree)``: neighbour ``idx`` (0-based, ordered by
-    id, duplicates included) of every vertex, with the neighbour's degree."""
-    return graph.slots.select("src", "idx", "dst", "dst_degree")
+    id, duplicates included) of every vertex, with the neighbour's degree.
+    A view for inspection; walks never need it (they join on ``slot``)."""
+    first = graph.starts.select(F.col("vertex").alias("src"), "first")
+    return graph.slots.join(first, "src").select(
+        "src", (F.col("slot") - F.col("first")).alias("idx"), "dst", "dst_degree"
+    )

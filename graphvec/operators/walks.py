@@ -20,10 +20,11 @@ Design for scale:
       walk array grows in the row, and every ``chunk_steps`` steps the
       walkers are written to the checkpoint folder to bound plan size and
       recompute.
-    - ``shuffle``: beyond that size. Walker state is four numbers; each step
-      shuffles only the walkers against the table bucketed on ``slot`` and
-      writes their positions; walks are assembled at the end with one
-      shuffle keyed by walk (every group exactly ``length`` rows).
+    - ``shuffle``: beyond that size. Walker state is four numbers plus the
+      positions of the current chunk; each step shuffles only the walkers
+      against the table bucketed on ``slot``, ``chunk_steps`` steps run in
+      one job and each chunk is written once; walks are assembled at the end
+      with one shuffle keyed by walk (every group exactly ``length`` rows).
 """
 
 from __future__ import annotations
@@ -110,27 +111,49 @@ def _broadcast_walks(
     return write_table(cur.select("start", "walk_no", "walk"), "walks")
 
 
-def walk_steps(graph: WalkGraph, *, length: int, walks_per_vertex: int, seed: int) -> DataFrame:
-    """Shuffle plan: all walker positions ``(start, walk_no, step, vertex)``,
-    including positions of walks that later die at a sink."""
+def walk_steps(
+    graph: WalkGraph, *, length: int, walks_per_vertex: int, seed: int, chunk_steps: int = 20
+) -> DataFrame:
+    """Shuffle plan: walker positions ``(start, walk_no, step, vertex)``.
+
+    ``chunk_steps`` shuffled steps run in one job; the walker row carries the
+    chunk's positions (at most ``chunk_steps`` ids) and each chunk is written
+    once to the checkpoint folder. A walker that dies at a sink loses only
+    positions of its current chunk; its walk is incomplete and dropped by
+    ``random_walks`` either way.
+    """
     if length <= 0:
         raise ValueError("length must be positive")
     spark = graph.slots.sparkSession
     base = scratch_path(spark, "walk_steps")
     slots = graph.slots.select("slot", "dst", "dst_first", "dst_degree")
+    empty = F.array().cast("array<bigint>")
 
-    def save(df: DataFrame, step: int) -> DataFrame:
-        path = f"{base}/step={step}"
+    def save(df: DataFrame, chunk: int) -> DataFrame:
+        path = f"{base}/chunk={chunk}"
         df.write.parquet(path)
         return spark.read.parquet(path)
 
-    cur = save(walk_seeds(graph, walks_per_vertex).withColumn("vertex", F.col("start")), 0)
+    cur = walk_seeds(graph, walks_per_vertex).select(
+        "start", "walk_no", "first", "deg", F.lit(0).alias("step0"), F.array("start").alias("path")
+    )
+    chunk = 0
     for step in range(1, length):
-        moved, keep = _step(cur, slots, seed, step, drop_dead=True, carry=[])
-        cur = save(moved.select(*keep, F.col("dst").alias("vertex")), step)
+        moved, keep = _step(cur, slots, seed, step, drop_dead=True, carry=["step0", "path"])
+        cur = moved.select(*keep, "step0", F.concat("path", F.array("dst")).alias("path"))
+        if step % chunk_steps == 0 and step < length - 1:
+            done = save(cur, chunk)
+            chunk += 1
+            cur = done.select(
+                "start", "walk_no", "first", "deg", F.lit(step + 1).alias("step0"), empty.alias("path")
+            )
+    save(cur, chunk)
     return spark.read.parquet(base).select(
-        "start", "walk_no", F.col("step").cast("int").alias("step"), "vertex"
-    )
+        "start",
+        "walk_no",
+        F.posexplode("path").alias("_i", "vertex"),
+        "step0",
+    ).select("start", "walk_no", (F.col("step0") + F.col("_i")).cast("int").alias("step"), "vertex")
 
 
 def random_walks(
@@ -161,7 +184,9 @@ def random_walks(
         return _broadcast_walks(graph, length, walks_per_vertex, seed, chunk_steps)
     if strategy != "shuffle":
         raise ValueError(f"unknown strategy {strategy!r}")
-    steps = walk_steps(graph, length=length, walks_per_vertex=walks_per_vertex, seed=seed)
+    steps = walk_steps(
+        graph, length=length, walks_per_vertex=walks_per_vertex, seed=seed, chunk_steps=chunk_steps
+    )
     return (
         steps.groupBy("start", "walk_no")
         .agg(F.array_sort(F.collect_list(F.struct("step", "vertex"))).alias("_w"))
