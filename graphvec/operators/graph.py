@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphvec.operators.ranking import global_index, index_within
-from graphvec.session import write_table
+from graphvec.session import partitions_for, write_table
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
@@ -105,18 +105,20 @@ class WalkGraph:
 
     ``starts``: ``(vertex, first, degree)`` for every vertex with an out-edge.
     ``num_slots``: exact row count of ``slots`` (the broadcast size check).
+    ``num_starts``: exact row count of ``starts`` (sizes the walker tables).
     """
 
     slots: DataFrame
     starts: DataFrame
     num_slots: int
+    num_starts: int
 
 
 def walk_graph(edges: DataFrame, *, num_partitions: int | None = None) -> WalkGraph:
     """Build and write the walk tables; ``slots`` is bucketed on ``slot`` so
     shuffle-path steps move only the walkers."""
     spark = edges.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(num_partitions or spark.conf.get("spark.sql.shuffle.partitions"))
     ranked = global_index(
         _with_dup_counter(edges), ["src", "dst", "_dup"], out="slot", num_partitions=n
     ).select("src", "dst", "slot")
@@ -141,8 +143,10 @@ def walk_graph(edges: DataFrame, *, num_partitions: int | None = None) -> WalkGr
         F.coalesce("dst_first", F.lit(-1)).cast("bigint").alias("dst_first"),
         F.coalesce("dst_degree", F.lit(0)).cast("bigint").alias("dst_degree"),
     )
-    slots = write_table(slots, "walk_slots", bucket_by=["slot"], buckets=n)
-    return WalkGraph(slots=slots, starts=starts, num_slots=slots.count())
+    num_slots = ranked.count()
+    buckets = partitions_for(spark, num_slots, num_partitions)
+    slots = write_table(slots, "walk_slots", bucket_by=["slot"], buckets=buckets)
+    return WalkGraph(slots=slots, starts=starts, num_slots=num_slots, num_starts=starts.count())
 
 
 def indexed_edges(graph: WalkGraph) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from graphvec.functions.hashing import uniform_index
 from graphvec.operators.graph import WalkGraph
-from graphvec.session import scratch_path, write_table
+from graphvec.session import partitions_for, scratch_path, write_table
 
 # In-memory size of one broadcast slot row (key + 3 longs + row overhead),
 # used for the broadcast size check.
@@ -46,7 +46,8 @@ def walk_seeds(
     graph: WalkGraph, walks_per_vertex: int, *, num_partitions: int | None = None
 ) -> DataFrame:
     """``(start, walk_no, first, deg)`` for every vertex with an out-edge,
-    hash-spread over ``num_partitions`` (default: shuffle partitions).
+    hash-spread over ``num_partitions`` (default: shuffle partitions, at
+    least one partition per ``ROWS_PER_PARTITION`` walkers).
 
     The vertex table is small and may sit in one file; without the spread
     one task would run every walk. Keys are unique, so the spread is even
@@ -55,7 +56,7 @@ def walk_seeds(
     if walks_per_vertex <= 0:
         raise ValueError("walks_per_vertex must be positive")
     spark = graph.starts.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(spark, graph.num_starts * walks_per_vertex, num_partitions)
     return (
         graph.starts.select(
             F.col("vertex").alias("start"),

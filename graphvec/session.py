@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CONF_KEY = "spark.checkpoint.dir"
 
+# Rows per partition/bucket for tables whose row count is known (about 64-160
+# MB of walker or slot rows); a floor on top of spark.sql.shuffle.partitions.
+ROWS_PER_PARTITION = 2_000_000
+
 
 def local_session(
     cpus: int | str = "*",
@@ -68,6 +72,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def partitions_for(spark: SparkSession, rows: int, explicit: int | None = None) -> int:
+    """Partition count for ``rows`` rows: ``explicit`` if given, else the
+    larger of ``spark.sql.shuffle.partitions`` and one per
+    ``ROWS_PER_PARTITION`` rows, so a small session setting cannot make
+    huge partitions or buckets."""
+    if explicit:
+        return int(explicit)
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(base, -(-int(rows) // ROWS_PER_PARTITION))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
