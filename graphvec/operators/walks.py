@@ -89,10 +89,16 @@ def _step(
     draw = uniform_index(seed, F.greatest(F.col("deg"), F.lit(1)), "start", "walk_no", F.lit(step))
     if drop_dead:
         cur = cur.where(F.col("deg") > 0)
-    moved = cur.select(
+    walkers = cur.select(
         "start", "walk_no", *carry,
         F.coalesce(F.col("first") + draw, F.lit(-1).cast("bigint")).alias("slot"),
-    ).join(slots, "slot")
+    )
+    if drop_dead:
+        # shuffle plan: hash the walkers per bucket and stream the bucketed
+        # slot table through it, instead of sorting both sides every step
+        # (AQE still splits a partition made hot by one busy slot)
+        walkers = walkers.hint("shuffle_hash")
+    moved = walkers.join(slots, "slot")
     return moved, [
         F.col("start"), F.col("walk_no"),
         F.col("dst_first").alias("first"), F.col("dst_degree").alias("deg"),
