@@ -4,7 +4,10 @@
 
 Workloads (part-supplier graph from ``lineitem``, embeddings table):
   graph      build the walk tables (skew-safe numbering, bucketed slots)
-  walks      seeded walks, length 40, 10 per vertex (BASELINE yardstick)
+  walks      seeded walks, length 40, 10 per vertex (BASELINE yardstick), plan
+             chosen by the size check (broadcast at this scale)
+  walks_shuffle  the same walks forced onto the shuffle plan (the plan a
+             graph too large to broadcast runs)
   visits     vertex-visit histogram of those walks
   vocab      vocabulary (min_count 5) of those walks
   nearest    top-10 cosine neighbours of every embedding
@@ -45,6 +48,10 @@ def main() -> None:
     edges = graph.symmetrize(tables.part_supplier_edges(spark, sf_dir))
     g = timed("graph", lambda: graph.walk_graph(edges))
     w = timed("walks", lambda: walks.random_walks(g, length=40, walks_per_vertex=10, seed=42))
+    timed(
+        "walks_shuffle",
+        lambda: walks.random_walks(g, length=40, walks_per_vertex=10, seed=42, strategy="shuffle").count(),
+    )
     timed("visits", lambda: visits.visit_histogram(w).collect())
     tok = corpus.walk_tokens(w)
     timed("vocab", lambda: corpus.vocabulary(tok, min_count=5).count())

@@ -76,3 +76,25 @@ def test_length_one_and_bad_args(spark):
     assert sorted(r.walk for r in w.collect()) == [[1], [1], [2], [2]]
     with pytest.raises(ValueError):
         walks.random_walks(g, length=0)
+
+
+def test_directed_hot_vertex_both_plans_agree(spark):
+    # many vertices point at vertex 0, which has a single out-edge: every
+    # walker arriving there joins the same slot (a hot key on the shuffle plan)
+    pairs = [(i, 0) for i in range(1, 400)] + [(0, 1)] + [(i, i + 1) for i in range(1, 399)]
+    g = graph.walk_graph(edges_df(spark, pairs), num_partitions=6)
+    a = {(r.start, r.walk_no): r.walk for r in walks.random_walks(g, length=6, walks_per_vertex=3, seed=2, strategy="broadcast").collect()}
+    b = {(r.start, r.walk_no): r.walk for r in walks.random_walks(g, length=6, walks_per_vertex=3, seed=2, strategy="shuffle", chunk_steps=2).collect()}
+    assert a == b and len(a) > 0
+    edges = set(pairs)
+    for w in a.values():
+        assert all((u, v) in edges for u, v in zip(w, w[1:]))
+
+
+def test_partition_floor(spark):
+    from graphvec.session import ROWS_PER_PARTITION, partitions_for
+
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert partitions_for(spark, 10) == base
+    assert partitions_for(spark, ROWS_PER_PARTITION * (base + 5)) == base + 5
+    assert partitions_for(spark, 10**12, explicit=3) == 3
