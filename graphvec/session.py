@@ -127,11 +127,3 @@ def write_table(
         w = w.partitionBy(*partition_by)
     w.save(path)
     return spark.read.parquet(path)
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable, eager checkpoint: the plan is cut and the rows live in the
-    shared checkpoint folder, so a lost executor never forces a recompute of
-    earlier steps. Partitioning and ordering of ``df`` are kept."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
