@@ -48,3 +48,21 @@ def test_walk_graph_slots(spark):
     rows = sorted((r.src, r.idx, r.dst, r.dst_degree) for r in graph.indexed_edges(g).collect())
     assert rows == [(1, 0, 2, 2), (1, 1, 2, 2), (1, 2, 3, 1), (2, 0, 1, 3), (2, 1, 1, 3), (3, 0, 1, 3)]
     assert g.num_slots == 6
+
+
+def test_index_within_matches_python_with_hot_key(spark):
+    import random
+
+    rng = random.Random(7)
+    # key 0 holds about a third of the rows; order values may repeat across keys
+    rows = [(0 if rng.random() < 0.35 else rng.randrange(1, 40), rng.randrange(0, 10_000), i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k bigint, v bigint, u bigint")
+    got = ranking.index_within(df, "k", ["v", "u"], out="i", size_out="n", num_partitions=9).collect()
+    expect = {}
+    by_key = {}
+    for k, v, u in rows:
+        by_key.setdefault(k, []).append((v, u))
+    for k, items in by_key.items():
+        for pos, (v, u) in enumerate(sorted(items)):
+            expect[(k, v, u)] = (pos, len(items))
+    assert {(r.k, r.v, r.u): (r.i, r.n) for r in got} == expect
