@@ -177,8 +177,8 @@ r AS (SELECT query, word, sim, row_number() OVER (PARTITION BY query ORDER BY si
     "CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) "
     "SELECT CAST(label AS BIGINT) AS label, CAST(pos - 1 AS BIGINT) AS pos, round(sum(x), 6) AS value "
     "FROM ex GROUP BY label, pos",
-    "matrix_edges": "SELECT CAST(a.n_nationkey + 1 AS BIGINT) AS src, CAST(b.n_nationkey + 1 AS BIGINT) AS dst "
-    "FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey",
+    "matrix_edges": "SELECT DISTINCT CAST(l_partkey + 1 AS BIGINT) AS src, CAST(l_suppkey + 1 AS BIGINT) AS dst "
+    "FROM lineitem",
     "edge_list_file": _with(_GRAPH) + "SELECT src, dst FROM e",
     "label_file": _with(_LABELS) + "SELECT node, CAST(label AS BIGINT) AS label FROM lab",
     "id_file": _with(_GRAPH) + "SELECT DISTINCT v AS id FROM (SELECT src AS v FROM e UNION ALL SELECT dst FROM e)",

@@ -252,28 +252,31 @@ def q_vector_sum(spark, sf):
 
 
 def _matrix_path(spark: SparkSession, sf: str) -> str:
-    """Nations as a graph (an edge joins two nations of one region) written
-    as an N x N 0/1 text matrix, one line per nation in key order."""
+    """The part -> supplier graph of ``lineitem`` as an N x N 0/1 text matrix
+    (N = largest key + 1): line ``i`` is part ``i``, cell ``j`` is 1 when the
+    part was bought from supplier ``j``. Each line is built from that part's
+    own supplier set (no pairs are formed) and the lines are written as
+    range-ordered part files."""
     key = ("matrix", id(spark), sf)
     if key in _CACHE:
         return _CACHE[key]
-    nation = tables.read_table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
-    n = nation.agg(F.max("n_nationkey")).first()[0] + 1
-    a, b = nation.alias("a"), nation.alias("b")
-    nb = (
-        a.join(b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") != F.col("b.n_nationkey")), "left")
-        .groupBy(F.col("a.n_nationkey").alias("row"))
-        .agg(F.collect_set("b.n_nationkey").alias("nb"))
-    )
-    lines = nb.select(
+    li = tables.read_table(spark, sf, "lineitem").select("l_partkey", "l_suppkey")
+    n = li.agg(F.greatest(F.max("l_partkey"), F.max("l_suppkey"))).first()[0] + 1
+    sets = li.groupBy(F.col("l_partkey").alias("row")).agg(F.collect_set("l_suppkey").alias("nb"))
+    rows = spark.range(n).withColumnRenamed("id", "row").join(sets, "row", "left")
+    lines = rows.select(
         "row",
         F.array_join(
-            F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.array_contains("nb", j).cast("int")), " "
+            F.transform(
+                F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")),
+                lambda j: F.coalesce(F.array_contains("nb", j), F.lit(False)).cast("int"),
+            ),
+            " ",
         ).alias("value"),
     )
-    path = scratch_path(spark, "nation_matrix")
-    # the matrix layout is positional: one ordered file (N lines)
-    lines.coalesce(1).sortWithinPartitions("row").select("value").write.text(path)
+    path = scratch_path(spark, "part_supplier_matrix")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(parts, "row").sortWithinPartitions("row").select("value").write.text(path)
     _CACHE[key] = path
     return path
 

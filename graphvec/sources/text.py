@@ -43,10 +43,12 @@ def read_edge_list(spark: SparkSession, path: str, *, symmetric: bool = True) ->
     return symmetrize(edges) if symmetric else edges
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, line_no, value)`` with 0-based line numbers per file, computed
-    in parallel: lines of one file split are numbered in order, and each
-    split's offset is the line count of the earlier splits of its file. The
+def numbered_lines(spark: SparkSession, path: str, *, across_files: bool = False) -> DataFrame:
+    """``(file, line_no, value)`` with 0-based line numbers, computed in
+    parallel: lines of one file split are numbered in order, and each split's
+    offset is the line count of the splits before it. By default numbering
+    restarts in every file; with ``across_files`` it runs through all files
+    in name order (a positional table written as ordered part files). The
     tagged lines are written once so the numbering is stable on retry."""
     tagged = write_table(
         spark.read.text(path).select(
@@ -58,9 +60,11 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         "lines",
     )
     blocks = tagged.groupBy("file", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    w = Window.partitionBy("file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per file split: a bounded table whatever the file sizes
+    w = (Window.orderBy("file", "_blk") if across_files else Window.partitionBy("file").orderBy("_blk"))
+    w = w.rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return tagged.join(blocks, ["file", "_blk"]).select(
+    return tagged.join(F.broadcast(blocks), ["file", "_blk"]).select(
         "file", (F.col("_off") + F.col("_mid") - F.col("_first")).alias("line_no"), "value"
     )
 
@@ -68,8 +72,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_adjacency_matrix(spark: SparkSession, path: str, *, separator: str = " ") -> DataFrame:
     """Directed ``(src, dst)`` edges of an N x N 0/1 matrix: row ``i`` and
     column ``j`` (both 1-based) with cell ``1`` give the edge ``(i, j)``.
-    Not mirrored. Any non-integer cell fails the job."""
-    lines = numbered_lines(spark, path)
+    Not mirrored. Any non-integer cell fails the job. ``path`` is one file
+    or a folder of part files in row order (rows numbered across files)."""
+    lines = numbered_lines(spark, path, across_files=True)
     cells = lines.select(
         "line_no", F.posexplode(F.split(F.trim("value"), _regex_quote(separator))).alias("pos", "cell")
     )
