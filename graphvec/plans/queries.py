@@ -1,6 +1,6 @@
 """Named queries over the test tables, each with an equivalent DuckDB SQL.
 
-Every query reads whole tables (``lineitem``, ``embeddings``, ``nation``)
+Every query reads whole tables (``lineitem``, ``embeddings``)
 or data Spark derives from them. Arrays are returned as space-joined
 strings and doubles rounded to 6 places, so both engines hash the same
 values. The walk oracle is a recursive CTE that recomputes the md5 draw.
