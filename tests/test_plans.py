@@ -23,3 +23,21 @@ def test_job_and_scoring_round_trip(spark, tmp_path):
     assert runs.count() == 1
     m = means.first()
     assert 0.0 <= m.micro_f1 <= 1.0 and m.shuffles == 1
+
+
+def test_command_line_run_and_score(spark, tmp_path):
+    from graphvec.__main__ import main
+
+    edges = tmp_path / "data" / "edges.csv"
+    edges.parent.mkdir()
+    edges.write_text("\n".join(f"{i},{i % 7 + 1}" for i in range(1, 30)) + "\n")
+    labels = tmp_path / "group-edges.csv"
+    labels.write_text("\n".join(f"{i},{i % 2}" for i in range(1, 30)) + "\n")
+    out = tmp_path / "out"
+    out.mkdir()
+    args = ["run", "toy", str(edges.parent) + "/", "nodes.csv", "edges.csv", "groups.csv",
+            "group-edges.csv", str(out), "5", "4", "8", "1", "1", "3"]
+    assert main(args) == 0
+    assert (out / "toy_vec.txt").exists()
+    assert main(["score", "--emb", str(out / "toy_vec.txt"), "--edgelist", str(edges),
+                 "--labellist", str(labels)]) == 0
