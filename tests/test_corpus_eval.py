@@ -69,3 +69,11 @@ def test_node_without_labels_kept(spark):
     labels = spark.createDataFrame([("1", 0)], "node string, label int")
     f = {r.node: r.labels for r in evaluate.features_with_labels(vec, labels).collect()}
     assert f == {"1": [0], "9": []}
+
+
+def test_vocabulary_empty_after_min_count(spark):
+    c = _corpus(spark)
+    v = corpus.vocabulary(c, min_count=100)
+    assert v.count() == 0
+    assert corpus.corpus_size(v).first().train_words == 0
+    assert corpus.encode(c, v).count() == 0

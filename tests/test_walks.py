@@ -98,3 +98,11 @@ def test_partition_floor(spark):
     assert partitions_for(spark, 10) == base
     assert partitions_for(spark, ROWS_PER_PARTITION * (base + 5)) == base + 5
     assert partitions_for(spark, 10**12, explicit=3) == 3
+
+
+def test_empty_graph_gives_no_walks(spark):
+    e = edges_df(spark, [])
+    g = graph.walk_graph(e)
+    assert g.num_slots == 0 and g.num_starts == 0
+    for strategy in ("broadcast", "shuffle"):
+        assert walks.random_walks(g, length=4, walks_per_vertex=2, seed=1, strategy=strategy).count() == 0
