@@ -7,7 +7,8 @@
         [--num-shuffles N] [--all] [--seed S]
 
 ``run`` reads ``DATASET_DIR + EDGES_FILE`` (``src,dst`` lines), walks, trains
-and writes ``OUTPUT_DIR/NAME_vec.txt``; the node, label and node-tag file
+and writes ``OUTPUT_DIR/NAME_vec.txt`` (one file with the ``N D`` header, as
+the original; ``--parts`` writes part files instead, for large graphs); the node, label and node-tag file
 arguments are accepted for compatibility and not read (as in the original).
 ``score`` prints micro/macro F1 per training share and their means.
 The session comes from ``SparkSession.builder.getOrCreate()``, so cluster
@@ -39,6 +40,7 @@ def _parser() -> argparse.ArgumentParser:
         run.add_argument(a)
     run.add_argument("--seed", type=int, default=0)
     run.add_argument("--histogram", action="store_true", help="also write the visit histogram CSV")
+    run.add_argument("--parts", action="store_true", help="write vectors as part files (no single writer)")
     score = sub.add_parser("score", help="multi-label evaluation of a vector file")
     score.add_argument("--emb", required=True)
     score.add_argument("--edgelist", required=True)
@@ -46,6 +48,7 @@ def _parser() -> argparse.ArgumentParser:
     score.add_argument("--num-shuffles", type=int, default=1)
     score.add_argument("--all", action="store_true", help="training shares 10..90 %% instead of 10/50/90 %%")
     score.add_argument("--seed", type=int, default=500)
+    score.add_argument("--parts", action="store_true", help="--emb is a folder of part files")
     return p
 
 
@@ -68,6 +71,7 @@ def main(argv: list[str] | None = None) -> int:
                 window=int(args.window_size),
                 seed=args.seed,
             ),
+            single_file=not args.parts,
             write_histogram=args.histogram,
         )
         print(json.dumps({"vectors": res.num_vectors, "dim": res.dim, **res.extras}))
@@ -75,7 +79,7 @@ def main(argv: list[str] | None = None) -> int:
     shares = [i / 10 for i in range(1, 10)] if args.all else [0.1, 0.5, 0.9]
     runs, means = score_files(
         spark, args.emb, args.edgelist, args.labellist,
-        train_percents=shares, num_shuffles=args.num_shuffles, seed=args.seed,
+        train_percents=shares, num_shuffles=args.num_shuffles, seed=args.seed, header=not args.parts,
     )
     for r in runs.orderBy("train_percent", "shuffle").collect():
         print(json.dumps(r.asDict()))

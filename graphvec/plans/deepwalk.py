@@ -64,12 +64,14 @@ def run_job(
     name: str = "graph",
     walk_cfg: WalkConfig = WalkConfig(),
     embed_cfg: EmbedConfig = EmbedConfig(vector_size=128, window=10),
-    single_file: bool = True,
+    single_file: bool = False,
     write_histogram: bool = False,
 ) -> JobResult:
     """The original job: read ``src,dst`` lines (both directions), walk,
     train, write ``<name>_vec.txt`` (and optionally the visit histogram
-    ``<name>_vertex_visit_freq.csv``)."""
+    ``<name>_vertex_visit_freq.csv``). The vectors are part files plus
+    ``_meta.json`` by default; ``single_file`` writes the original one-file
+    layout with its ``N D`` header (one writer task: small exports only)."""
     edges = text.read_edge_list(spark, edges_path, symmetric=True)
     w, vec = embed_graph(edges, walk_cfg, embed_cfg)
     out = output_dir.rstrip("/")
@@ -91,12 +93,14 @@ def score_files(
     train_percents=(0.1, 0.5, 0.9),
     num_shuffles: int = 1,
     seed: int = 500,
+    header: bool = True,
     **fit_kw,
 ) -> tuple[DataFrame, DataFrame]:
     """The original scoring script: vectors of the graph's vertices, labels
     per vertex, one-vs-rest logistic regression per share and shuffle.
-    Returns (per-run results, means per share)."""
-    vec = text.read_vectors_text(spark, vectors_path)
+    ``header=False`` reads the part-file layout. Returns (per-run results,
+    means per share)."""
+    vec = text.read_vectors_text(spark, vectors_path, header=header)
     nodes = graph.vertices(text.read_edge_list(spark, edges_path, symmetric=False))
     keep = evaluate.nodes_with_features(nodes, vec)
     vec = vec.join(keep.withColumnRenamed("node", "word"), "word", "left_semi")

@@ -18,7 +18,7 @@ def test_job_and_scoring_round_trip(spark, tmp_path):
     assert res.num_vectors == 16 and res.dim == 8
     runs, means = score_files(
         spark, str(tmp_path / "out" / "cliques_vec.txt"), str(edges), str(labels),
-        train_percents=(0.5,), max_iter=20,
+        train_percents=(0.5,), max_iter=20, header=False,
     )
     assert runs.count() == 1
     m = means.first()
