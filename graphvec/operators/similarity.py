@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphvec.functions.vectors import array_l2
+from graphvec.operators.ranking import global_index
 
 DEFAULT_MAX_BATCH_BYTES = 64 * 1024 * 1024
 
@@ -139,12 +140,18 @@ def nearest(
     if nq == 0:
         return spark.createDataFrame([], _TOPK_SCHEMA.add("rank", T.IntegerType()))
     per_query = 8 * dim + 64
-    batches = max(1, math.ceil(nq * per_query / max_batch_bytes))
+    per_batch = max(1, max_batch_bytes // per_query)
+    batches = max(1, math.ceil(nq / per_batch))
+    if batches > 1:
+        # exact batches: number the queries (distributed sort), cut every
+        # per_batch rows, so each collected batch is provably bounded
+        qdf = global_index(qdf, ["query"], out="_qi").withColumn(
+            "_qb", (F.col("_qi") / F.lit(per_batch)).cast("bigint")
+        )
     parts = []
     for b in range(batches):
-        part = qdf if batches == 1 else qdf.where(F.pmod(F.xxhash64("query"), F.lit(batches)) == b)
-        # bounded by max_batch_bytes (hash batches; a batch is ~nq/batches rows)
-        rows = part.collect()
+        part = qdf if batches == 1 else qdf.where(F.col("_qb") == b)
+        rows = part.select("query", "vector").collect()
         if not rows:
             continue
         ids = np.array([r["query"] for r in rows], dtype=object)
