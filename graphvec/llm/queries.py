@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphvec.llm import bpe, packing, url_filter, warc
+from graphvec.llm import bpe, packing, substring, url_filter, warc
 from graphvec.session import scratch_path, write_table
 
 #: Vocabulary file of the tokenizing queries.
@@ -73,6 +73,34 @@ def op5_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, digest=True)
 
 
+_OP7_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 18)) AS start, ws FROM w WHERE len(ws) >= 20
+), judged AS (
+  SELECT doc_id, start,
+    row_number() OVER (PARTITION BY array_to_string(ws[start:start + 19], ' ') ORDER BY doc_id, start) > 1 AS again
+  FROM windows
+), gone AS (
+  SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(start, start + 20)) AS p FROM judged WHERE again) GROUP BY doc_id
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w
+), kept AS (
+  SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) AS kept, count(*) AS n
+  FROM words ANTI JOIN (SELECT doc_id, unnest(ps) AS p FROM gone) g ON g.doc_id = words.doc_id AND g.p = words.p
+  GROUP BY words.doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
+
+
+@register("op7_seed_extend", _OP7_SQL)
+def op7_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 @register("op9_bpe")
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), TOKENIZER)

@@ -55,4 +55,4 @@ def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (the file sizes for a plain scan). Used for partition
     counts only, never for what is computed."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString())
+    return int(str(size))
