@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphvec.llm import bpe, jaccard, langid, packing, quality, substring, url_filter, vptree, warc
+from graphvec.llm import bpe, jaccard, langid, packing, quality, substring, toxicity, url_filter, vptree, warc
 from graphvec.session import scratch_path, write_table
 
 #: Vocabulary file of the tokenizing queries.
@@ -78,6 +78,12 @@ def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+@register("op4_chain")
+def op4_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 @register("op5_pack_binary")
 def op5_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, digest=True)
