@@ -213,5 +213,7 @@ def keep_first(docs: DataFrame, *, similarity: float = SIMILARITY, n: int = WORD
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
     on = F.col("doc_id").eqNullSafe(F.col("_jc_id")) & (crc == F.col("_jc_crc"))
     gone = docs.join(state, on, "left_anti")
+    if state.where("_jc_stays").isEmpty():
+        return gone
     again = docs.join(state.where("_jc_stays"), on, "left_semi").dropDuplicates(["doc_id", "text"])
     return gone.unionByName(again)
