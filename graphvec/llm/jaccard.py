@@ -8,10 +8,11 @@
 3. Groups meet on prefix shingles; group pairs must pass the length filter and the position filter,
    are made distinct, and are then expanded to nodes and verified on the whole sets.
 4. Only reachability is asked for, so nodes that are already in one component need not be compared:
-   a first round compares each group that meets on a shingle with one leader (and the nodes of
-   a group with its first), a second one those still apart from the leader with another leader,
-   and the last round takes all pairs that are still in different components. No link between different components is
-   left out, and thousands of near copies cost one comparison each instead of one for each pair.
+   a first round compares each group with the one leader of its shingles that it shares most of
+   them with (and the nodes of a group with its first), a second one compares groups with other
+   leaders in components that they are still apart from, and the last round takes all pairs that are still in
+   different components. No link between different components is left out, and thousands of near
+   copies cost a few comparisons each instead of one for each pair.
 
 Every table between rounds is written below ``spark.checkpoint.dir``.
 
@@ -27,13 +28,14 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphvec.llm.components import components
-from graphvec.llm.repeats import find_repeats
-from graphvec.llm.text import blobs, shingles, word_hashes, words
+from graphvec.llm.repeats import Repeats, find_repeats
+from graphvec.llm.text import blobs, mix, shingles, word_hashes, words
 from graphvec.session import write_table
 
 WORDS, SIMILARITY = 5, 0.75
@@ -45,47 +47,65 @@ def _sets(b: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame, t: Fraction, n: int) -> DataFrame:
-    """One written row a document: doc_id, n_shingles, and for those that share a prefix shingle
-    with another the set's signature, its ordered prefix shingles with positions, the whole
-    prefix's signature, and the set."""
+    """One written row a document: doc_id, text checksum, n, and for those that share a prefix
+    shingle with another the signatures of the set and of its prefix, and the prefix shingles that
+    are shared, with their positions."""
     rows = docs.select("doc_id", "text")
     found = find_repeats(rows, ["doc_id", "text"], lambda b: _sets(b, n))
     seen = rows.sparkSession.sparkContext.broadcast(found)
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                yield part(b.slice(k, 500))
-
-    def part(b: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list] = [[] for _ in range(7)]
-        for s in _sets(b, n):
-            size = len(s)
-            level = seen.value.level(s)
-            s = s[np.lexsort((s, level))]
-            need = -(-size * t.numerator // t.denominator)
-            head = s[: size - need + 1] if size else s
-            at = np.flatnonzero(seen.value.repeated(head))
-            if len(at):
-                with np.errstate(over="ignore"):
-                    sig = int(np.bitwise_xor.reduce(s)), int((s * np.uint64(0x9FB21C651E98DF25) >> np.uint64(7)).sum(dtype=np.uint64))
-                    psig = int((head * np.uint64(0x9FB21C651E98DF25)).sum(dtype=np.uint64))
-                row = (size, *(np.array([*sig, psig], np.uint64).view(np.int64).tolist()), head[at].view(np.int64), at.astype(np.int32), s.view(np.int64))
-            else:
-                row = (size, None, None, None, None, None, None)
-            for c, v in zip(cols, row, strict=True):
-                c.append(v)
-        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays(
-            [b.column("doc_id").cast(pa.int64()), pa.array(map(zlib.crc32, blobs(b.column("text"))), pa.int64()), *(pa.array(c, x) for c, x in zip(cols, kinds, strict=True))],
-            ["doc_id", "crc", "n", "sig", "sig2", "psig", "toks", "pos", "shingles"],
-        )
-
-    schema = "doc_id long, crc long, n long, sig long, sig2 long, psig long, toks array<long>, pos array<int>, shingles array<long>"
+            cols: list[list] = [[] for _ in kinds]
+            for s in _sets(b, n):
+                for c, v in zip(cols, _signature(s, seen.value, t), strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").cast(pa.int64()), pa.array(map(zlib.crc32, blobs(b.column("text"))), pa.int64()), *(pa.array(c, x) for c, x in zip(cols, kinds, strict=True))],
+                ["doc_id", "crc", "n", "sig", "sig2", "psig", "toks", "pos"],
+            )
+
+    schema = "doc_id long, crc long, n long, sig long, sig2 long, psig long, toks array<long>, pos array<int>"
     out = rows.mapInArrow(run, schema)
     return write_table(out.withColumn("rid", F.monotonically_increasing_id()), "signatures")
 
 
+def _signature(s: np.ndarray, seen: Repeats, t: Fraction) -> tuple:
+    size = len(s)
+    need = -(-size * t.numerator // t.denominator)
+    level = seen.level(s)
+    s = s[np.lexsort((s, level))]
+    head = s[: size - need + 1] if size else s
+    at = np.flatnonzero(seen.repeated(head))
+    if not len(at):
+        return size, None, None, None, None, None
+    sums = [np.bitwise_xor.reduce(s), mix(s).sum(dtype=np.uint64), mix(head).sum(dtype=np.uint64)]
+    return (size, *np.array(sums, np.uint64).view(np.int64).tolist(), head[at].view(np.int64), at.astype(np.int32))
+
+
+def _met_shingles(live: DataFrame) -> DataFrame:
+    """``live`` without prefix shingles that only one document has in its prefix."""
+
+    def values(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield b.column("toks").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+    seen = live.sparkSession.sparkContext.broadcast(find_repeats(live, ["toks"], values))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            toks, pos = [], []
+            for x, p in zip(b.column("toks"), b.column("pos"), strict=True):
+                x, p = x.values.to_numpy(zero_copy_only=False), p.values.to_numpy(zero_copy_only=False)
+                at = seen.value.repeated(x.view(np.uint64))
+                toks.append(x[at])
+                pos.append(p[at])
+            yield pa.RecordBatch.from_arrays([b.column("gid"), b.column("n"), pa.array(toks, pa.list_(pa.int64())), pa.array(pos, pa.list_(pa.int32()))], ["gid", "n", "toks", "pos"])
+
+    rows = live.select(F.col("rid").alias("gid"), "n", "toks", "pos")
+    return rows.mapInArrow(run, "gid long, n long, toks array<long>, pos array<int>").where(F.size("toks") > 0)
+
+
 def _may_link(t: Fraction) -> Column:
     """Length and position filter of two groups that share a shingle (a.n, a.p, b.n, b.p)."""
     p, q = t.numerator, t.denominator
@@ -94,21 +114,70 @@ def _may_link(t: Fraction) -> Column:
     return length & ((most * (p + q)) >= ((F.col("an") + F.col("bn")) * p))
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets reach the similarity."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = (
-        sets.where(F.col("sig").isNotNull())
-        .select(F.col("rid").alias("node"), "shingles")
-        .join(need, "node")
-    )
-    held = write_table(held, "sets")
-    one = held.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    two = held.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b")
-    same = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - same
-    return both.where(same * t.denominator >= union * t.numerator).select("a", "b")
+MARK_BITS, MARK_SLICES = 24, 64
+#: What a null doc_id is fetched by.
+NULL_KEY = -(1 << 63)
+
+
+def _marks(need: DataFrame) -> np.ndarray:
+    """A bit for each text checksum in ``need``: 2 MB at any size, gathered by slices."""
+    width = (1 << MARK_BITS) // MARK_SLICES
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(width, bool)
+        bits[rows["bit"].to_numpy() % width] = True
+        return pd.DataFrame({"slice": [int(key[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    bit = (F.col("crc") % (1 << MARK_BITS)).alias("bit")
+    slices = need.select(bit).distinct().withColumn("slice", F.expr(f"bit div {width}"))
+    out = np.zeros((1 << MARK_BITS) // 8, np.uint8)
+    for row in slices.groupBy("slice").applyInPandas(pack, "slice long, bits binary").collect():
+        out[row["slice"] * width // 8 :][: width // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, t: Fraction, n: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets reach the similarity. The texts of nodes
+    in ``pairs`` are fetched by doc_id and checksum; most others stay behind in the scan."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "at"), "node")
+    need = write_table(need.select("node", F.coalesce("at.doc_id", F.lit(NULL_KEY)).alias("key"), "at.crc"), "needed")
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(need))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = blobs(b.column("text"))
+            crc = np.fromiter(map(zlib.crc32, texts), np.int64, len(texts))
+            bit = crc & ((1 << MARK_BITS) - 1)
+            hit = (marks.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+            at = np.flatnonzero(hit)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()).fill_null(NULL_KEY).take(pa.array(at)), pa.array(crc[at]), pa.array([texts[i] for i in at], pa.binary())], ["key", "crc", "text"])
+
+    found = docs.select("doc_id", "text").mapInArrow(fetch, "key long, crc long, text binary")
+    found = found.join(need, ["key", "crc"]).dropDuplicates(["key", "crc"])  # repeated rows
+    texts = write_table(found.select("node", "text"), "texts")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[int, np.ndarray] = {}
+
+        def get(node: int, text: pa.Scalar) -> np.ndarray:
+            if node not in last:
+                if len(last) >= 64:
+                    last.clear()
+                last[node] = shingles(word_hashes(words(text.as_py().lower())), n)
+            return last[node]
+
+        for b in batches:
+            a, c = b.column("a").to_pylist(), b.column("b").to_pylist()
+            linked = []
+            for i, (x, y) in enumerate(zip(a, c, strict=True)):
+                sa, sb = get(x, b.column("ta")[i]), get(y, b.column("tb")[i])
+                same = len(np.intersect1d(sa, sb, assume_unique=True))
+                linked.append(same * t.denominator >= (len(sa) + len(sb) - same) * t.numerator)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    both = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    return both.mapInArrow(check, "a long, b long")
 
 
 def join_components(docs: DataFrame, *, similarity: float = SIMILARITY, n: int = WORDS) -> DataFrame:
@@ -121,47 +190,45 @@ def _labelled(docs: DataFrame, similarity: float, n: int) -> DataFrame:
     t = Fraction(similarity).limit_denominator(10_000)
     if not 0 < t <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
-    sets = signatures(docs, t, n)
-    live = sets.where(F.col("sig").isNotNull())
-    nodes = write_table(
-        live.groupBy("sig", "sig2", "n", "psig").agg(F.min("rid").alias("node"), F.min("doc_id").alias("doc")), "nodes"
-    )
-    gid = F.min("node").alias("gid")
-    groups = nodes.groupBy("n", "psig").agg(gid)
-    members = write_table(nodes.join(groups, ["n", "psig"]).select("node", "gid", "n"), "members")
-    # One row a prefix shingle and group; shingles of one group only meet nobody.
-    heads = live.select(F.col("rid").alias("gid"), "toks", "pos").join(groups.select("gid", "n"), "gid")
+    sigs = signatures(docs, t, n)
+    live = sigs.where(F.col("sig").isNotNull())
+    at = F.min(F.struct("rid", "doc_id", "crc")).alias("at")
+    nodes = live.groupBy("sig", "sig2", "n", "psig").agg(at, F.min("doc_id").alias("doc"))
+    nodes = write_table(nodes.withColumn("node", F.col("at.rid")), "nodes")
+    groups = nodes.groupBy("n", "psig").agg(F.min("node").alias("gid"))
+    members = write_table(nodes.join(groups, ["n", "psig"]).select("node", "gid"), "members")
+    # One row a prefix shingle and group; a group's first node stands for it.
+    heads = _met_shingles(live).join(members.where("node = gid").select("gid"), "gid", "left_semi")
     meet = heads.select("gid", "n", F.explode(F.arrays_zip("toks", "pos")).alias("z")).select(
         F.col("z.toks").alias("tok"), "gid", "n", F.col("z.pos").alias("p")
     )
-    shared = meet.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("gid", "n", "p")).alias("lead"))
-    shared = shared.where("c > 1").select("tok", "lead")
-    meet = write_table(meet.join(shared, "tok"), "prefixes")
-
-    def led(lead: Column, rows: DataFrame) -> DataFrame:
-        pairs = rows.select(
-            lead.getField("gid").alias("ga"), lead.getField("n").alias("an"), lead.getField("p").alias("ap"),
-            F.col("gid").alias("gb"), F.col("n").alias("bn"), F.col("p").alias("bp"),
-        )
-        return pairs.where((F.col("ga") != F.col("gb")) & _may_link(t)).select("ga", "gb").distinct()
-
-    # Round 1: the first node of a group stands for it, and meets the other nodes of its group.
-    lead = led(F.col("lead"), meet).select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+    shared = meet.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("tok")
+    meet = write_table(meet.join(shared, "tok", "left_semi"), "prefixes")
+
+    # Round 1: each group meets the leader that it shares most shingles with, and its own nodes.
+    lead = meet.groupBy("tok").agg(F.min(F.struct("gid", "n", "p")).alias("lead"))
+    led = _against(meet.join(lead, "tok"), t).groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
     inside = members.where(F.col("node") != F.col("gid")).select(F.col("gid").alias("a"), F.col("node").alias("b"))
-    pairs = write_table(lead.unionByName(inside), "pairs")
-    links = write_table(_verify(pairs, nodes, sets, t), "linked")
+    pairs = write_table(led.select("a", "b").unionByName(inside), "pairs")
+    links = write_table(_verify(pairs, nodes, docs, t, n), "linked")
     comp = write_table(_spread(nodes, links), "components")
 
-    # Round 2: groups apart from their leader's component meet one other leader of their shingle.
+    # Round 2: groups that are apart from some leader of theirs, chosen anew for each shingle, meet one in each such component.
     apart = _apart(meet, members, comp)
-    second = apart.groupBy("tok").agg(F.min_by(F.struct("gid", "n", "p", "low"), F.xxhash64("tok", "gid")).alias("lead2"))
-    rows = apart.join(second, "tok").where((F.col("low") != F.col("lead2.low")) | (F.col("low") != F.col("high")))
-    pairs = write_table(led(F.col("lead2"), rows).select(F.col("ga").alias("a"), F.col("gb").alias("b")), "pairs")
-    links = write_table(links.unionByName(_verify(pairs, nodes, sets, t)), "linked")
+    lead = apart.groupBy("tok").agg(F.min_by(F.struct("gid", "n", "p", "low"), F.xxhash64("tok", "gid")).alias("lead"))
+    rows = apart.join(lead, "tok").where((F.col("low") != F.col("lead.low")) | (F.col("low") != F.col("high")))
+    led = _against(rows, t, F.col("lead.low").alias("there")).groupBy("b", "there").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+    some = F.struct(F.least("a", "b"), F.greatest("a", "b"))
+    more = led.select("a", "b").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    more = more.groupBy(some.alias("s")).agg(F.first("a").alias("a"), F.first("b").alias("b")).select("a", "b")
+    tested = write_table(pairs.unionByName(more), "pairs")
+    more = tested.join(pairs, ["a", "b"], "left_anti")
+    found = _verify(more, nodes, docs, t, n)
+    links = write_table(links.unionByName(found), "linked")
     comp = write_table(_spread(nodes, links), "components")
 
-    # Round 3: all pairs that are still in different components.
-    apart = _apart(meet, members, comp).select("tok", "gid", "n", "p", "low", "high")
+    # Round 3: all pairs that are still in different components and were not compared.
+    apart = _apart(meet, members, comp)
     one = apart.select("tok", *[F.col(c).alias(x) for c, x in (("gid", "ga"), ("n", "an"), ("p", "ap"), ("low", "la"), ("high", "ha"))])
     two = apart.select("tok", *[F.col(c).alias(x) for c, x in (("gid", "gb"), ("n", "bn"), ("p", "bp"), ("low", "lb"), ("high", "hb"))])
     differ = (F.col("la") != F.col("lb")) | (F.col("la") != F.col("ha")) | (F.col("lb") != F.col("hb"))
@@ -171,15 +238,28 @@ def _labelled(docs: DataFrame, similarity: float, n: int) -> DataFrame:
     met = met.unionByName(mixed.select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
     a = ours.select(F.col("gid").alias("ga"), F.col("node").alias("a"), F.col("comp").alias("ca"))
     b = ours.select(F.col("gid").alias("gb"), F.col("node").alias("b"), F.col("comp").alias("cb"))
-    pairs = met.join(a, "ga").join(b, "gb").where(F.col("ca") != F.col("cb"))
-    pairs = write_table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = write_table(links.unionByName(_verify(pairs, nodes, sets, t)), "linked")
+    rest = met.join(a, "ga").join(b, "gb").where(F.col("ca") != F.col("cb"))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = write_table(rest.join(known, ["a", "b"], "left_anti"), "pairs")
+    links = write_table(links.unionByName(_verify(rest, nodes, docs, t, n)), "linked")
     comp = _spread(nodes, links)
 
     least = nodes.join(comp, "node")
     smallest = least.groupBy("comp").agg(F.min("doc").alias("least_doc"))
-    named = least.join(smallest, "comp").select("sig", "sig2", "n", "psig", "node", "comp", "least_doc")
-    return sets.select("rid", "doc_id", "crc", "n", "sig", "sig2", "psig").join(named, ["sig", "sig2", "n", "psig"], "left")
+    named = least.join(smallest, "comp").select("sig", "sig2", "n", "psig", "comp", "least_doc")
+    return sigs.select("rid", "doc_id", "crc", "n", "sig", "sig2", "psig").join(named, ["sig", "sig2", "n", "psig"], "left")
+
+
+def _against(rows: DataFrame, t: Fraction, *more: Column) -> DataFrame:
+    """Each group with the leader of each of its shingles, where they may link: (a, b, shared)."""
+    lead = F.col("lead")
+    pairs = rows.select(
+        lead.getField("gid").alias("a"), lead.getField("n").alias("an"), lead.getField("p").alias("ap"),
+        F.col("gid").alias("b"), F.col("n").alias("bn"), F.col("p").alias("bp"), *more,
+    )
+    names = [c for c in pairs.columns if c not in ("a", "b", "an", "ap", "bn", "bp")]
+    return pairs.where((F.col("a") != F.col("b")) & _may_link(t)).groupBy("a", "b", *names).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def _spread(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -192,7 +272,7 @@ def _apart(meet: DataFrame, members: DataFrame, comp: DataFrame) -> DataFrame:
     """The rows of shingles whose groups are in more than one component, with the smallest and
     largest component of each group's nodes."""
     of = members.join(comp, "node").groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    rows = meet.drop("lead").join(of, "gid")
+    rows = meet.join(of, "gid")
     open_ = rows.groupBy("tok").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("tok")
     return write_table(rows.join(open_, "tok"), "apart")
 

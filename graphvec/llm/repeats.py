@@ -2,7 +2,7 @@
 as filters of fixed size.
 
 Tasks cut their values by the leading bits into blocks and send each block's distinct values (the
-lower 40 bits after the block's) as one binary row a chunk. A block is counted by one task; the
+32 bits after the block's, as differences) as one binary row a chunk. A block is counted by one task; the
 number of blocks follows the input's size, and a value occurs once a chunk at most, so a hot value
 adds a few bytes for each chunk. What comes back is a bit filter of the values seen twice or more
 and a small table of levels (log2 of the count) for frequent ones. Both have a fixed size; where a
@@ -33,22 +33,28 @@ def block_bits(df: DataFrame) -> int:
     return int(np.clip(np.ceil(np.log2(max(estimated_bytes(df), 1) / BLOCK_BYTES)), 6, 18))
 
 
+#: Bits of a value that are told apart within a block.
+LOW_BITS = 32
+
+
 def _low(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    """Ascending values as planes of the bytes of their differences; the upper planes are
+    nearly all zero and vanish in the shuffle's compression."""
+    low = values & np.uint64((1 << LOW_BITS) - 1)
+    step = np.diff(low, prepend=np.uint64(0)).astype("<u4")
+    return np.ascontiguousarray(step.view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
 def _wide(blob: bytes) -> np.ndarray:
-    five = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(five), 8), np.uint8)
-    out[:, :5] = five
-    return out.view("<u8").ravel()
+    planes = np.frombuffer(blob, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.uint64))
 
 
 def _chunk(values: np.ndarray, bits: int) -> pa.RecordBatch:
     """One row a block: its distinct values, then those found more than once with their counts."""
-    top = values >> np.uint64(64 - bits - 40)
+    top = values >> np.uint64(64 - bits - LOW_BITS)
     top, n = np.unique(top, return_counts=True)
-    block = (top >> np.uint64(40)).astype(np.int64)
+    block = (top >> np.uint64(LOW_BITS)).astype(np.int64)
     edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else np.array([0])
     rows: list[tuple] = []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -67,7 +73,7 @@ def _count_block(bits: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
         counts = np.concatenate([np.frombuffer(x, "<u4") for x in rows["counts"]]).astype(np.int64) - 1
         got, n = np.unique(vals, return_counts=True)
         np.add.at(n, np.searchsorted(got, many), counts)
-        got, n = got[n > 1] | np.uint64(block << 40), n[n > 1]
+        got, n = got[n > 1] | np.uint64(block << LOW_BITS), n[n > 1]
         filled = np.zeros(1 << (FILTER_BITS - bits), bool)
         levels = np.zeros(1 << (LEVEL_BITS - bits), np.uint8)
         for slot in _slots(got, bits, FILTER_BITS):
@@ -81,10 +87,10 @@ def _count_block(bits: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
 
 
 def _slots(top: np.ndarray, bits: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two slots of a value (given by its leading ``bits + 40`` bits), in its block's slice."""
-    slice_at = (top >> np.uint64(40)) << np.uint64(size - bits)
+    """Two slots of a value (given by its leading ``bits + LOW_BITS`` bits), in its block's slice."""
+    slice_at = (top >> np.uint64(LOW_BITS)) << np.uint64(size - bits)
     mask = np.uint64((1 << (size - bits)) - 1)
-    v = ((top & np.uint64((1 << 40) - 1)) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    v = ((top & np.uint64((1 << LOW_BITS) - 1)) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     v ^= v >> np.uint64(32)
     return (slice_at | (v & mask)).astype(np.int64), (slice_at | ((v >> np.uint64(34)) & mask)).astype(np.int64)
 
@@ -106,7 +112,7 @@ class Repeats:
         return self.levels[_slots(self._top(values), self.bits, LEVEL_BITS)[0]]
 
     def _top(self, values: np.ndarray) -> np.ndarray:
-        return values >> np.uint64(64 - self.bits - 40)
+        return values >> np.uint64(64 - self.bits - LOW_BITS)
 
     def _bit(self, slot: np.ndarray) -> np.ndarray:
         return (self.filled[slot >> 3] >> (slot & 7).astype(np.uint8)) & np.uint8(1)
