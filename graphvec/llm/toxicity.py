@@ -40,7 +40,7 @@ from graphvec.session import write_table
 BITS, FOLDS, TRAIN_ROWS, THRESHOLD = 18, 4, 16_000, 0.4
 BEGINNINGS = (4, 6)
 #: Columns that a model may use, and the fewest rows of a column.
-MOST_COLUMNS, LEAST_ROWS = 30_000, 3
+MOST_COLUMNS, LEAST_ROWS = 5_000, 3
 _FOLD_CASE = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -75,8 +75,9 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, earlier: np.ndarray, *, steps: int = 100, penalty: float = 1e-3) -> Linear:
-    """Logistic regression by accelerated full-batch gradients on scaled columns."""
+def fit(rows: list[np.ndarray], y: np.ndarray, earlier: np.ndarray, *, steps: int = 200, penalty: float = 1.0) -> Linear:
+    """Logistic regression (sum of losses and ``penalty / 2`` times the squared weights) by accelerated
+    full-batch gradients, each weight with a step from a bound of its curvature."""
     size = 1 << BITS
     weights = np.zeros(size, np.float32)
     share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
@@ -97,19 +98,22 @@ def fit(rows: list[np.ndarray], y: np.ndarray, earlier: np.ndarray, *, steps: in
     extra = _logit(earlier)
     w, v, b = np.zeros(len(used)), np.zeros(extra.shape[1]), np.log(share / (1 - share))
     value = x[col]
-    # the largest row norm bounds the curvature
-    norm = np.bincount(of, value * value, len(y)) + (extra**2).sum(axis=1) + 1
-    rate = 4.0 / float(np.percentile(norm, 99) * 2)
-    pw, pv, pb = w.copy(), v.copy(), b
-    for step in range(steps):
-        m = step / (step + 3)
+    spread = np.bincount(of, np.abs(value), len(y)) + np.abs(extra).sum(axis=1) + 1
+    rw = 1 / (np.bincount(col, np.abs(value) * spread[of], len(used)) / 4 + penalty)
+    rv = 1 / (np.abs(extra).T @ spread / 4 + penalty)
+    rb = 1 / (spread.sum() / 4)
+    pw, pv, pb, run = w.copy(), v.copy(), b, 0
+    for _ in range(steps):
+        m, run = run / (run + 3), run + 1
         aw, av, ab = w + m * (w - pw), v + m * (v - pv), b + m * (b - pb)
         z = np.bincount(of, value * aw[col], len(y)) + extra @ av + ab
-        g = (_sigmoid(z) - y) / len(y)
+        g = _sigmoid(z) - y
         pw, pv, pb = w, v, b
-        w = aw - rate * len(y) ** 0.5 * (np.bincount(col, value * g[of], len(used)) + penalty * aw)
-        v = av - rate * (extra.T @ g + penalty * av)
-        b = ab - rate * g.sum()
+        w = aw - rw * (np.bincount(col, value * g[of], len(used)) + penalty * aw)
+        v = av - rv * (extra.T @ g + penalty * av)
+        b = ab - rb * g.sum()
+        if np.dot((aw - w) / rw, w - pw) > 0:
+            run = 0  # the momentum points uphill
     weights[used] = w * x
     return Linear(weights, v, float(b))
 
