@@ -4,14 +4,13 @@
 
 Workloads (part-supplier graph from ``lineitem``, embeddings table):
   graph      build the walk tables (skew-safe numbering, bucketed slots)
-  walks      seeded walks, length 40, 10 per vertex (BASELINE yardstick), plan
-             chosen by the size check (broadcast at this scale)
-  walks_shuffle  the same walks forced onto the shuffle plan (the plan a
-             graph too large to broadcast runs)
+  walks      seeded walks, length 40, 10 per vertex (BASELINE yardstick), broadcast
+             plan (the slot table passes its size check at this scale)
+  walks_shuffle  the same walks by the default plan, for graphs of any size
   visits     vertex-visit histogram of those walks
   vocab      vocabulary (min_count 5) of those walks
   nearest    top-10 cosine neighbours of every embedding
-  train      Word2Vec, 128-d, window 10, on 2 walks per vertex
+  train      Word2Vec, 128-d, window 10, 4 replicas, on 2 walks per vertex
   evaluate   one-vs-rest logistic regression + F1 at 10/50/90 % training
 """
 
@@ -47,10 +46,10 @@ def main() -> None:
 
     edges = graph.symmetrize(tables.part_supplier_edges(spark, sf_dir))
     g = timed("graph", lambda: graph.walk_graph(edges))
-    w = timed("walks", lambda: walks.random_walks(g, length=40, walks_per_vertex=10, seed=42))
+    w = timed("walks", lambda: walks.random_walks(g, length=40, walks_per_vertex=10, seed=42, strategy="broadcast"))
     timed(
         "walks_shuffle",
-        lambda: walks.random_walks(g, length=40, walks_per_vertex=10, seed=42, strategy="shuffle").count(),
+        lambda: walks.random_walks(g, length=40, walks_per_vertex=10, seed=42).count(),
     )
     timed("visits", lambda: visits.visit_histogram(w).collect())
     tok = corpus.walk_tokens(w)
@@ -60,10 +59,10 @@ def main() -> None:
         "nearest",
         lambda: similarity.nearest_by_word(vec, vec.select(F.col("word").alias("query")), 10).count(),
     )
-    small = walks.random_walks(g, length=40, walks_per_vertex=2, seed=43)
+    small = walks.random_walks(g, length=40, walks_per_vertex=2, seed=43, strategy="broadcast")
     timed(
         "train",
-        lambda: train(corpus.walk_tokens(small), EmbedConfig(vector_size=128, window=10, seed=1)).count(),
+        lambda: train(corpus.walk_tokens(small), EmbedConfig(vector_size=128, window=10, seed=1, num_partitions=4)).count(),
     )
     timed(
         "evaluate",

@@ -1,18 +1,14 @@
-"""Command line for the two jobs of the engine this library re-creates.
+"""Command line for the two jobs.
 
-    python -m graphvec run NAME DATASET_DIR NODES_FILE EDGES_FILE LABELS_FILE \\
-        NODE_TAG_FILE OUTPUT_DIR WALK_LENGTH WALKS_PER_VERTEX VECTOR_DIM \\
-        NUM_PARTITIONS NUM_ITERATIONS WINDOW_SIZE
+    python -m graphvec run --edges FILE --out DIR [--name NAME] [--length L] [--walks N]
+        [--dim D] [--window W] [--replicas P] [--iterations I] [--seed S] [--header] [--histogram]
     python -m graphvec score --emb VEC --edgelist EDGES --labellist LABELS \\
-        [--num-shuffles N] [--all] [--seed S]
+        [--num-shuffles N] [--all] [--seed S] [--header each|first]
 
-``run`` reads ``DATASET_DIR + EDGES_FILE`` (``src,dst`` lines), walks, trains
-and writes ``OUTPUT_DIR/NAME_vec.txt`` (one file with the ``N D`` header, as
-the original; ``--parts`` writes part files instead, for large graphs); the node, label and node-tag file
-arguments are accepted for compatibility and not read (as in the original).
-``score`` prints micro/macro F1 per training share and their means.
-The session comes from ``SparkSession.builder.getOrCreate()``, so cluster
-settings (including ``spark.checkpoint.dir``) apply.
+``run`` reads ``src,dst`` lines, walks, trains and writes ``DIR/NAME_vec.txt``. ``score`` prints
+micro/macro F1 per training share and their means. The session comes from
+``SparkSession.builder.getOrCreate()``, so cluster settings (``spark.checkpoint.dir`` must
+be among them) apply.
 """
 
 from __future__ import annotations
@@ -24,23 +20,25 @@ import sys
 from pyspark.sql import SparkSession
 
 from graphvec.operators.embed import EmbedConfig
-from graphvec.plans.deepwalk import WalkConfig, run_job, score_files
-
-RUN_ARGS = (
-    "name dataset_dir nodes_file edges_file labels_file node_tag_file output_dir "
-    "walk_length walks_per_vertex vector_dim num_partitions num_iterations window_size"
-).split()
-
+from graphvec.plans.embedding_job import WalkConfig, run_job, score_files
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="graphvec")
     sub = p.add_subparsers(dest="cmd", required=True)
     run = sub.add_parser("run", help="walk, train and write vectors")
-    for a in RUN_ARGS:
-        run.add_argument(a)
+    run.add_argument("--edges", required=True, help="text file or folder with one 'src,dst' a line")
+    run.add_argument("--out", required=True, help="folder for the results")
+    run.add_argument("--name", default="graph", help="first part of the results' names")
+    walk, fit = WalkConfig(), EmbedConfig(vector_size=128, window=10)
+    run.add_argument("--length", type=int, default=walk.length, help="vertices in a walk")
+    run.add_argument("--walks", type=int, default=walk.walks_per_vertex, help="walks from each vertex")
+    run.add_argument("--dim", type=int, default=fit.vector_size, help="components of a vector")
+    run.add_argument("--window", type=int, default=fit.window, help="reach of a training pair")
+    run.add_argument("--replicas", type=int, default=fit.num_partitions, help="models trained in parallel and averaged")
+    run.add_argument("--iterations", type=int, default=fit.num_iterations, help="passes over the walks")
     run.add_argument("--seed", type=int, default=0)
+    run.add_argument("--header", action="store_true", help="put a line 'N D' into the first part file")
     run.add_argument("--histogram", action="store_true", help="also write the visit histogram CSV")
-    run.add_argument("--parts", action="store_true", help="write vectors as part files (no single writer)")
     score = sub.add_parser("score", help="multi-label evaluation of a vector file")
     score.add_argument("--emb", required=True)
     score.add_argument("--edgelist", required=True)
@@ -48,7 +46,7 @@ def _parser() -> argparse.ArgumentParser:
     score.add_argument("--num-shuffles", type=int, default=1)
     score.add_argument("--all", action="store_true", help="training shares 10..90 %% instead of 10/50/90 %%")
     score.add_argument("--seed", type=int, default=500)
-    score.add_argument("--parts", action="store_true", help="--emb is a folder of part files")
+    score.add_argument("--header", choices=("each", "first"), help="'N D' lines in each file, or in the first; default: _meta.json")
     return p
 
 
@@ -58,20 +56,15 @@ def main(argv: list[str] | None = None) -> int:
     if args.cmd == "run":
         res = run_job(
             spark,
-            args.dataset_dir + args.edges_file,
-            args.output_dir,
+            args.edges,
+            args.out,
             name=args.name,
-            walk_cfg=WalkConfig(
-                length=int(args.walk_length), walks_per_vertex=int(args.walks_per_vertex), seed=args.seed
-            ),
+            walk_cfg=WalkConfig(length=args.length, walks_per_vertex=args.walks, seed=args.seed),
             embed_cfg=EmbedConfig(
-                vector_size=int(args.vector_dim),
-                num_partitions=int(args.num_partitions),
-                num_iterations=int(args.num_iterations),
-                window=int(args.window_size),
-                seed=args.seed,
+                vector_size=args.dim, window=args.window, num_partitions=args.replicas,
+                num_iterations=args.iterations, seed=args.seed,
             ),
-            single_file=not args.parts,
+            header=args.header,
             write_histogram=args.histogram,
         )
         print(json.dumps({"vectors": res.num_vectors, "dim": res.dim, **res.extras}))
@@ -79,7 +72,8 @@ def main(argv: list[str] | None = None) -> int:
     shares = [i / 10 for i in range(1, 10)] if args.all else [0.1, 0.5, 0.9]
     runs, means = score_files(
         spark, args.emb, args.edgelist, args.labellist,
-        train_percents=shares, num_shuffles=args.num_shuffles, seed=args.seed, header=not args.parts,
+        train_percents=shares, num_shuffles=args.num_shuffles, seed=args.seed,
+        header={"each": True, "first": "first", None: False}[args.header],
     )
     for r in runs.orderBy("train_percent", "shuffle").collect():
         print(json.dumps(r.asDict()))

@@ -2,9 +2,10 @@
 exact seeded train/test split, per-node top-k labels, micro/macro F1, and a
 one-vs-rest logistic-regression scorer.
 
-Labels are long form ``(node STRING, label INT)``; predictions and truth are
-compared as sparse ``(node, label)`` pairs, so no node x label matrix is
-ever materialised.
+Labels are long form ``(node STRING, label INT)``. Multi-hot codes are the positions of a node's
+labels in the ordered label universe, which stays a table. A node's scores are compared with all
+labels inside its row, in blocks of labels of bounded size, and only its best k leave the row; predictions and
+truth are compared as ``(node, label)`` pairs.
 """
 
 from __future__ import annotations
@@ -12,15 +13,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphvec.functions.hashing import hash_int60
 from graphvec.operators.ranking import global_index
+from graphvec.session import scratch_path, write_table
 
-# A label universe is turned into a literal array for multi-hot coding; it
-# must stay a small, fixed set of classes.
-MAX_LABELS = 100_000
+#: Bytes of one block of coefficients sent to the tasks, and of one product there.
+BLOCK_BYTES = 16 * 1024 * 1024
 
 
 def label_sets(labels: DataFrame) -> DataFrame:
@@ -54,93 +60,82 @@ def features_with_labels(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _universe_array(labels: DataFrame) -> list[int]:
-    uni = label_universe(labels)
-    n = uni.count()
-    if n > MAX_LABELS:
-        raise ValueError(f"{n} labels: multi-hot coding needs a small label universe")
-    return sorted(int(r.label) for r in uni.collect())
+def label_positions(labels: DataFrame) -> DataFrame:
+    """``(label, pos)``: the label universe in order, numbered from 0."""
+    return write_table(global_index(label_universe(labels), ["label"], out="pos"), "label_positions")
 
 
-def multi_hot(sets: DataFrame, universe: Sequence[int]) -> DataFrame:
-    """``(node, y ARRAY<INT>)`` with ``y[i] = 1`` iff ``universe[i]`` is in
-    the node's labels. Row-local."""
-    uni = F.array(*[F.lit(int(u)) for u in universe])
-    return sets.select("node", F.transform(uni, lambda u: F.array_contains("labels", u).cast("int")).alias("y"))
+def multi_hot(labels: DataFrame, positions: DataFrame) -> DataFrame:
+    """``(node, ones ARRAY<BIGINT>)``: the positions, ascending, at which the node's multi-hot
+    vector holds a 1."""
+    coded = labels.select("node", "label").join(positions, "label")
+    return coded.groupBy("node").agg(F.array_sort(F.collect_set("pos")).alias("ones"))
 
 
-def multi_hot_decode(coded: DataFrame, universe: Sequence[int]) -> DataFrame:
-    """Back from ``(node, y)`` to ``(node, labels)``."""
-    uni = F.array(*[F.lit(int(u)) for u in universe])
-    pairs = F.arrays_zip(uni.alias("u"), F.col("y").alias("v"))
-    return coded.select(
-        "node", F.transform(F.filter(pairs, lambda p: p["v"] == 1), lambda p: p["u"]).alias("labels")
-    )
+def multi_hot_decode(coded: DataFrame, positions: DataFrame) -> DataFrame:
+    """Back from ``(node, ones)`` to ``(node, labels)``; a node without ones has no labels."""
+    pairs = coded.select("node", F.explode_outer("ones").alias("pos")).join(positions, "pos", "left")
+    return pairs.groupBy("node").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+
+
+def shuffle_order(nodes: DataFrame, *, seed: int = 500, shuffle_no: int = 0) -> DataFrame:
+    """``(node, pos)``: the nodes in the seeded order ``md5(seed|shuffle_no|node)`` (ties by
+    node), numbered from 0. One distributed sort serves every training share."""
+    keyed = nodes.select("node").withColumn("_key", hash_int60(seed, F.lit(shuffle_no), "node"))
+    return global_index(keyed, ["_key", "node"], out="pos").select("node", "pos")
 
 
 def split_nodes(
     nodes: DataFrame, train_fraction: float, *, seed: int = 500, shuffle_no: int = 0
 ) -> DataFrame:
-    """``(node, is_train)``: a seeded shuffle of the nodes; the first
-    ``int(train_fraction * n)`` rows train, the rest test. The shuffle order
-    is ``md5(seed|shuffle_no|node)`` (ties by node), so different shuffle
-    numbers give different splits. Exact sizes via a distributed sort."""
+    """``(node, is_train)``: the first ``int(train_fraction * n)`` nodes of the shuffle
+    train, the rest test."""
     if not 0.0 <= train_fraction <= 1.0:
         raise ValueError("train_fraction must be in [0, 1]")
-    keyed = nodes.select("node").withColumn("_key", hash_int60(seed, F.lit(shuffle_no), "node"))
-    n = keyed.count()
-    cut = int(train_fraction * n)
-    ranked = global_index(keyed, ["_key", "node"], out="_pos")
-    return ranked.select("node", (F.col("_pos") < F.lit(cut)).alias("is_train"))
+    ranked = shuffle_order(nodes, seed=seed, shuffle_no=shuffle_no)
+    cut = int(train_fraction * ranked.count())
+    return ranked.select("node", (F.col("pos") < F.lit(cut)).alias("is_train"))
 
 
 def topk_labels(
     scores: DataFrame, k_per_node: DataFrame, *, zero_k: str = "none"
 ) -> DataFrame:
-    """``(node, label, rank)``: each node's ``k`` best labels by score
-    (ties by label). ``k_per_node(node, k)``; nodes missing there predict
-    nothing. ``zero_k='all'`` makes k=0 predict every label (the quirk of a
-    ``[-0:]`` slice); the default predicts none."""
+    """``(node, label, rank)``: each node's ``k`` best labels by score (ties by label) from
+    ``scores(node, scores ARRAY<STRUCT<label, score>>)``, sorted in the row. ``k_per_node(node, k)``;
+    nodes missing there predict nothing. ``zero_k='all'`` makes k=0 predict every label (the
+    quirk of a ``[-0:]`` slice); the default predicts none."""
     if zero_k not in ("none", "all"):
         raise ValueError("zero_k must be 'none' or 'all'")
-    s = scores.join(k_per_node.select("node", "k"), "node")
-    w = Window.partitionBy("node").orderBy(F.col("score").desc(), F.col("label"))
-    ranked = s.withColumn("rank", F.row_number().over(w))
-    limit = F.col("rank") <= F.col("k")
-    if zero_k == "all":
-        limit = limit | (F.col("k") == 0)
-    return ranked.where(limit).select("node", "label", "rank")
-
-
-def f1_scores(truth: DataFrame, pred: DataFrame, universe: DataFrame) -> DataFrame:
-    """One row ``(micro_f1, macro_f1, tp, fp, fn)``. Micro pools all labels;
-    macro averages per-label F1 over the whole ``universe(label)``, labels
-    never seen in truth or prediction counting 0."""
-    t = truth.select("node", "label").distinct().withColumn("_t", F.lit(1))
-    p = pred.select("node", "label").distinct().withColumn("_p", F.lit(1))
-    both = t.join(p, ["node", "label"], "full_outer")
-    per_label = both.groupBy("label").agg(
-        F.sum(F.when(F.col("_t").isNotNull() & F.col("_p").isNotNull(), 1).otherwise(0)).alias("tp"),
-        F.sum(F.when(F.col("_t").isNull() & F.col("_p").isNotNull(), 1).otherwise(0)).alias("fp"),
-        F.sum(F.when(F.col("_t").isNotNull() & F.col("_p").isNull(), 1).otherwise(0)).alias("fn"),
+    s = scores.select("node", "scores").join(k_per_node.select("node", "k"), "node")
+    ranked = F.array_sort(F.transform("scores", lambda x: F.struct((-x["score"]).alias("s"), x["label"].alias("label"))))
+    k = F.when(F.col("k") > 0, F.col("k")).otherwise(F.size("scores") if zero_k == "all" else F.lit(0))
+    best = F.slice(ranked, F.lit(1), k.cast("int"))
+    return s.select("node", F.posexplode(best).alias("_i", "x")).select("node", "x.label", (F.col("_i") + 1).alias("rank"))
+
+
+def f1_scores(truth: DataFrame, pred: DataFrame, universe: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, micro_f1, macro_f1, tp, fp, fn)``, one row for each value of ``by`` found in truth or prediction (one row
+    if ``by`` is empty). Micro pools all labels; macro averages per-label F1 over the whole
+    ``universe(label)``, labels never seen in truth or prediction counting 0."""
+    by = list(by)
+    t = truth.select(*by, "node", "label").distinct().withColumn("_t", F.lit(1))
+    p = pred.select(*by, "node", "label").distinct().withColumn("_p", F.lit(1))
+    both = t.join(p, [*by, "node", "label"], "full_outer")
+    hit, miss = F.col("_t").isNotNull(), F.col("_p").isNotNull()
+    per_label = both.groupBy(*by, "label").agg(
+        F.sum((hit & miss).cast("bigint")).alias("tp"),
+        F.sum((~hit & miss).cast("bigint")).alias("fp"),
+        F.sum((hit & ~miss).cast("bigint")).alias("fn"),
     )
-    full = universe.select("label").distinct().join(per_label, "label", "left").fillna(0, ["tp", "fp", "fn"])
+    n = universe.select("label").distinct().agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    known = per_label.join(universe.select("label").distinct().withColumn("_u", F.lit(1)), "label", "left")
     den = 2 * F.col("tp") + F.col("fp") + F.col("fn")
-    full = full.withColumn("f1", F.when(den == 0, F.lit(0.0)).otherwise(2.0 * F.col("tp") / den))
-    agg = full.agg(
-        F.sum("tp").cast("bigint").alias("tp"),
-        F.sum("fp").cast("bigint").alias("fp"),
-        F.sum("fn").cast("bigint").alias("fn"),
-        F.avg("f1").alias("macro_f1"),
-    )
-    mden = 2 * F.col("tp") + F.col("fp") + F.col("fn")
-    return agg.select(
-        F.when(mden == 0, F.lit(0.0)).otherwise(2.0 * F.col("tp") / mden).alias("micro_f1"),
-        F.coalesce("macro_f1", F.lit(0.0)).alias("macro_f1"),
-        "tp",
-        "fp",
-        "fn",
+    known = known.where(F.col("_u").isNotNull()).withColumn("f1", F.when(den == 0, F.lit(0.0)).otherwise(2.0 * F.col("tp") / den))
+    agg = known.groupBy(*by).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("tp", "fp", "fn")],
+        (F.coalesce(F.sum("f1"), F.lit(0.0)) / F.lit(float(max(n, 1)))).alias("macro_f1"),
     )
+    return agg.select(*by, F.when(den == 0, F.lit(0.0)).otherwise(2.0 * F.col("tp") / den).alias("micro_f1"), "macro_f1", "tp", "fp", "fn")
 
 
 def f1_mean(results: DataFrame) -> DataFrame:
@@ -152,80 +147,134 @@ def f1_mean(results: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- classifier
 
+_COEF = "label int, coefficients array<double>, intercept double"
 
-def _to_features(df: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
 
-    return df.withColumn("features", array_to_vector(F.col("vector").cast("array<double>")))
+def label_means(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(label, coefficients, intercept)``: each label's mean vector as a scorer's weights."""
+    rows = labels.select(F.col("node").alias("word"), "label").join(vectors, "word")
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("vector").cast("array<double>"))))
+    return rows.groupBy("label").agg(mean.alias("coefficients")).withColumn("intercept", F.lit(0.0))
 
 
 def fit_one_vs_rest(
     train: DataFrame,
-    universe: Sequence[int],
+    universe: DataFrame,
     *,
     reg_param: float | None = None,
     max_iter: int = 100,
     parallelism: int = 8,
-):
-    """One binary ``LogisticRegression`` per label on ``train(node, vector,
-    labels)``; fitted concurrently from a thread pool over one cached
-    training frame. ``reg_param`` defaults to ``1/n`` (an L2 penalty of
-    strength C=1 on the summed loss), without standardization."""
+) -> DataFrame:
+    """``(label, coefficients, intercept)``: one binary ``LogisticRegression`` per label of
+    ``universe(label)`` on ``train(node, vector, labels)``. The labels come to the driver a few at a time, as
+    many fits run concurrently over one written training frame, and the weights go to a
+    table in blocks. ``reg_param`` defaults to ``1/n`` (an L2 penalty of strength C=1 on the summed loss),
+    without standardization. A label that all or no rows have scores by its share."""
     from pyspark.ml.classification import LogisticRegression
 
-    data = _to_features(train).select("features", "labels").cache()
+    spark = train.sparkSession
+    data = write_table(train.select("vector", "labels"), "training_rows")
+    data = data.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"), "labels")
     n = data.count()
     reg = (1.0 / max(n, 1)) if reg_param is None else reg_param
 
     def fit(label: int):
-        d = data.withColumn("y", F.array_contains("labels", F.lit(int(label))).cast("double"))
+        rows = data.withColumn("y", F.array_contains("labels", F.lit(int(label))).cast("double"))
         lr = LogisticRegression(
             featuresCol="features", labelCol="y", regParam=reg, elasticNetParam=0.0,
             maxIter=max_iter, standardization=False, family="binomial",
         )
-        return int(label), lr.fit(d)
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        models = dict(pool.map(fit, list(universe)))
-    data.unpersist()
-    return models
+        m = lr.fit(rows)
+        # an infinite intercept (one class only) stays usable in sums
+        return int(label), [float(x) for x in m.coefficients], float(np.clip(m.intercept, -700.0, 700.0))
 
+    base, block, number = scratch_path(spark, "coefficients"), [], 0
 
-def predict_scores(models: dict, test: DataFrame) -> DataFrame:
-    """Long-form ``(node, label, score)`` probabilities of every model."""
-    from pyspark.ml.functions import vector_to_array
+    def save() -> None:
+        nonlocal block, number
+        spark.createDataFrame(block, _COEF).coalesce(1).write.parquet(f"{base}/block={number}")
+        block, number = [], number + 1
 
-    base = _to_features(test).select("node", "features")
-    cols = []
-    for label, m in models.items():
-        m = m.copy()
-        m.setProbabilityCol(f"_p{label}").setRawPredictionCol(f"_r{label}").setPredictionCol(f"_y{label}")
-        base = m.transform(base).drop(f"_r{label}", f"_y{label}")
-        cols.append(F.struct(F.lit(label).alias("label"), vector_to_array(f"_p{label}")[1].alias("score")))
-    return base.select("node", F.explode(F.array(*cols)).alias("s")).select("node", "s.label", "s.score")
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        waiting: list = []
+        for row in universe.select("label").distinct().toLocalIterator():
+            waiting.append(pool.submit(fit, row["label"]))
+            if len(waiting) >= 2 * max(1, parallelism):
+                block.append(waiting.pop(0).result())
+            if len(block) >= 1000:
+                save()
+        block += [w.result() for w in waiting]
+    if block or not number:
+        save()
+    return spark.read.parquet(base).select("label", "coefficients", "intercept")
+
+
+def predict_topk(nodes: DataFrame, coefficients: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``(node, scores ARRAY<STRUCT<label, score>>)``: for ``nodes(node, vector, k)`` the probabilities
+    ``1 / (1 + exp(-(w x + b)))`` of the node's ``k`` best labels (ties by label), best first.
+
+    The coefficients are taken in blocks of bounded size, in the order of labels. Each block is one narrow
+    pass over the nodes, which carry their best so far, and is written before the next is read."""
+    coefficients = write_table(global_index(coefficients, ["label"], out="i"), "coefficients")
+    st = coefficients.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("coefficients")).alias("d")).first()
+    count, dim = int(st["n"]), int(st["d"] or 0)
+    size = max(1, block_bytes // (8 * (dim + 4)))
+    best = F.array().cast("array<struct<label:int,score:double>>")
+    now = nodes.select("node", F.col("vector").cast("array<double>").alias("vector"), F.col("k").cast("int").alias("k"), best.alias("scores"))
+    schema = "node string, vector array<double>, k int, scores array<struct<label:int,score:double>>"
+    for start in range(0, count, size):
+        rows = coefficients.where((F.col("i") >= start) & (F.col("i") < start + size)).orderBy("i").collect()
+        labels = np.array([r["label"] for r in rows], np.int32)
+        w = np.array([r["coefficients"] for r in rows], np.float64)
+        b = np.array([r["intercept"] for r in rows], np.float64)
+        now = write_table(now.mapInArrow(_scorer(labels, w, b, block_bytes), schema), "scored")
+    return now.select("node", "scores")
+
+
+def _scorer(labels: np.ndarray, w: np.ndarray, b: np.ndarray, budget: int):
+    def run(batches):
+        kind = pa.list_(pa.struct([("label", pa.int32()), ("score", pa.float64())]))
+        for batch in batches:
+            piece = max(1, budget // (8 * len(labels)))
+            for at in range(0, batch.num_rows, piece):
+                part = batch.slice(at, piece)
+                x = pc.list_flatten(part.column("vector")).to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                with np.errstate(over="ignore"):
+                    p = 1 / (1 + np.exp(-(x @ w.T + b)))
+                out = []
+                for row, k, had in zip(p, part.column("k").to_pylist(), part.column("scores").to_pylist(), strict=True):
+                    ids = np.concatenate([np.array([h["label"] for h in had], np.int32), labels])
+                    s = np.concatenate([np.array([h["score"] for h in had], np.float64), row])
+                    top = np.lexsort((ids, -s))[: k or 0]
+                    out.append([{"label": int(i), "score": float(v)} for i, v in zip(ids[top], s[top], strict=True)])
+                cols = [part.column("node"), part.column("vector"), part.column("k"), pa.array(out, kind)]
+                yield pa.RecordBatch.from_arrays(cols, ["node", "vector", "k", "scores"])
+
+    return run
 
 
 def evaluate_split(
     vectors: DataFrame, labels: DataFrame, train_fraction: float, *, seed: int = 500, shuffle_no: int = 0,
-    universe: Sequence[int] | None = None, **fit_kw
+    order: DataFrame | None = None, universe: DataFrame | None = None, **fit_kw
 ) -> DataFrame:
     """Train on the first share of a seeded shuffle, predict each test node's
-    ``k`` = (its true label count) best labels, score micro/macro F1."""
+    ``k`` = (its true label count) best labels, score micro/macro F1. ``order`` is
+    ``shuffle_order``'s result if the caller has it."""
     data = features_with_labels(vectors, labels)
-    uni = list(universe) if universe is not None else _universe_array(labels)
-    split = split_nodes(data.select("node"), train_fraction, seed=seed, shuffle_no=shuffle_no)
-    data = data.join(split, "node")
-    train = data.where("is_train")
-    test = data.where(~F.col("is_train"))
-    models = fit_one_vs_rest(train, uni, **fit_kw)
-    scores = predict_scores(models, test)
-    k = test.select("node", F.size("labels").alias("k"))
-    pred = topk_labels(scores, k)
+    uni = label_universe(labels) if universe is None else universe
+    order = shuffle_order(data.select("node"), seed=seed, shuffle_no=shuffle_no) if order is None else order
+    n = order.count()
+    cut = int(train_fraction * n)
+    data = write_table(data.join(order, "node"), "split")
+    train, test = data.where(F.col("pos") < cut), data.where(F.col("pos") >= cut)
+    test = test.withColumn("k", F.size("labels"))
+    scores = predict_topk(test, fit_one_vs_rest(train, uni, **fit_kw))
+    pred = topk_labels(scores, test.select("node", "k"))
     truth = test.select("node", F.explode("labels").alias("label"))
-    spark = vectors.sparkSession
-    uni_df = spark.createDataFrame([(int(u),) for u in uni], "label int")
-    return f1_scores(truth, pred, uni_df).select(
-        F.lit(float(train_fraction)).alias("train_percent"), F.lit(shuffle_no).alias("shuffle"), "micro_f1", "macro_f1"
+    return f1_scores(truth, pred, uni).select(
+        F.lit(float(train_fraction)).alias("train_percent"), F.lit(shuffle_no).alias("shuffle"), "micro_f1", "macro_f1",
+        F.lit(cut).cast("bigint").alias("n_train"), F.lit(n - cut).cast("bigint").alias("n_test"),
+        (F.col("tp") + F.col("fp")).alias("n_predicted"), (F.col("tp") + F.col("fn")).alias("n_true"),
     )
 
 
@@ -238,11 +287,12 @@ def evaluation_grid(
     seed: int = 500,
     **fit_kw,
 ) -> DataFrame:
-    """Every (share, shuffle) result and their means (``f1_mean``)."""
-    uni = _universe_array(labels)
+    """Every (share, shuffle) result (means: ``f1_mean``). The nodes are ranked once for each shuffle."""
+    uni = write_table(label_universe(labels), "labels")
     results = None
-    for p in train_percents:
-        for s in range(num_shuffles):
-            r = evaluate_split(vectors, labels, p, seed=seed, shuffle_no=s, universe=uni, **fit_kw)
+    for s in range(num_shuffles):
+        order = write_table(shuffle_order(vectors.select(F.col("word").alias("node")), seed=seed, shuffle_no=s), "order")
+        for p in train_percents:
+            r = evaluate_split(vectors, labels, p, seed=seed, shuffle_no=s, order=order, universe=uni, **fit_kw)
             results = r if results is None else results.unionByName(r)
     return results

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphvec.operators.ranking import global_index, index_within
-from graphvec.session import partitions_for, write_table
+from graphvec.session import write_table
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
@@ -48,16 +48,30 @@ def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct()
 
 
+# Copies of one edge that one array may list before it is exploded.
+_DUP_BLOCK = 4096
+
+
 def _with_dup_counter(edges: DataFrame) -> DataFrame:
     """Collapse duplicates, then re-expand with a counter so every row has a
-    unique sort key (a range partitioner can then split any hot vertex)."""
-    return (
+    unique sort key (a range partitioner can then split any hot vertex). The
+    counter is expanded in two steps, so that an edge repeated m times needs
+    arrays of m / _DUP_BLOCK and _DUP_BLOCK numbers."""
+    size = F.lit(_DUP_BLOCK).cast("bigint")
+    blocks = (
         edges.groupBy("src", "dst")
         .agg(F.count(F.lit(1)).alias("_mult"))
         .select(
-            "src", "dst", F.explode(F.sequence(F.lit(0), F.col("_mult") - 1)).alias("_dup")
+            "src", "dst", "_mult",
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_mult - 1) div {_DUP_BLOCK}"))).alias("_b"),
         )
     )
+    return blocks.select(
+        "src", "dst",
+        F.explode(
+            F.sequence(F.col("_b") * size, F.least(F.col("_b") * size + size, F.col("_mult")) - 1)
+        ).alias("_dup"),
+    )
 
 
 def indexed_neighbours(edges: DataFrame, *, num_partitions: int | None = None) -> DataFrame:
@@ -115,12 +129,9 @@ class WalkGraph:
 
 
 def walk_graph(edges: DataFrame, *, num_partitions: int | None = None) -> WalkGraph:
-    """Build and write the walk tables; ``slots`` is bucketed on ``slot`` so
-    shuffle-path steps move only the walkers."""
-    spark = edges.sparkSession
-    n = int(num_partitions or spark.conf.get("spark.sql.shuffle.partitions"))
+    """Build and write the walk tables."""
     ranked = global_index(
-        _with_dup_counter(edges), ["src", "dst", "_dup"], out="slot", num_partitions=n
+        _with_dup_counter(edges), ["src", "dst", "_dup"], out="slot", num_partitions=num_partitions
     ).select("src", "dst", "slot")
     starts = write_table(
         ranked.groupBy(F.col("src").alias("vertex")).agg(
@@ -143,10 +154,9 @@ def walk_graph(edges: DataFrame, *, num_partitions: int | None = None) -> WalkGr
         F.coalesce("dst_first", F.lit(-1)).cast("bigint").alias("dst_first"),
         F.coalesce("dst_degree", F.lit(0)).cast("bigint").alias("dst_degree"),
     )
-    num_slots = ranked.count()
-    buckets = partitions_for(spark, num_slots, num_partitions)
-    slots = write_table(slots, "walk_slots", bucket_by=["slot"], buckets=buckets)
-    return WalkGraph(slots=slots, starts=starts, num_slots=num_slots, num_starts=starts.count())
+    slots = write_table(slots, "walk_slots")
+    sums = starts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("degree"), F.lit(0)).alias("slots")).first()
+    return WalkGraph(slots=slots, starts=starts, num_slots=int(sums["slots"]), num_starts=int(sums["n"]))
 
 
 def indexed_edges(graph: WalkGraph) -> DataFrame:

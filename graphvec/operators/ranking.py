@@ -24,10 +24,19 @@ from graphvec.session import write_table
 _PID, _MID, _CNT, _FIRST, _OFF = "_gv_pid", "_gv_mid", "_gv_cnt", "_gv_first", "_gv_off"
 
 
+# Catalyst's size estimate a range partition may stand for; a floor on top of
+# spark.sql.shuffle.partitions, so that a small setting cannot make one task
+# sort hundreds of GB. Sizing only: the numbers do not depend on it.
+BYTES_PER_PARTITION = 256 * 1024 * 1024
+MAX_PARTITIONS = 100_000
+
+
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
         return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(base, min(MAX_PARTITIONS, -(-size // BYTES_PER_PARTITION)))
 
 
 def index_within(

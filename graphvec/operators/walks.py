@@ -14,17 +14,18 @@ Design for scale:
   * a walker at ``v`` drawing ``k`` joins on the single key
     ``slot = first(v) + k`` (see ``graph.WalkGraph``): a hub's walkers spread
     over its slots and no neighbour array is ever copied;
-  * two plans, chosen by an exact size check on the slot table:
-    - ``broadcast``: the slot table fits ``broadcast_limit_bytes``. Steps are
-      chained broadcast hash joins inside one stage (no shuffle at all); the
-      walk array grows in the row, and every ``chunk_steps`` steps the
-      walkers are written to the checkpoint folder to bound plan size and
+  * two plans, chosen by the caller; both give the same walks:
+    - ``shuffle`` (default): walker state is four numbers plus the positions of
+      the current chunk. Each step joins walkers and slots on ``slot``; the hash
+      table is built from the slots (unique keys), the walkers stream through.
+      Both sides are plain shuffles, so adaptive execution splits a busy slot's
+      walkers, and the slots' shuffle is reused by the steps of a job. Every
+      ``chunk_steps`` steps the walkers are written; a walk is assembled from
+      its few chunk rows.
+    - ``broadcast``: only on request and only if the slot table passes the size
+      check. Steps are chained broadcast joins in one stage; every
+      ``chunk_steps`` steps the walkers are written to bound plan size and
       recompute.
-    - ``shuffle``: beyond that size. Walker state is four numbers plus the
-      positions of the current chunk; each step shuffles only the walkers
-      against the table bucketed on ``slot``, ``chunk_steps`` steps run in
-      one job and each chunk is written once; walks are assembled at the end
-      with one shuffle keyed by walk (every group exactly ``length`` rows).
 """
 
 from __future__ import annotations
@@ -43,33 +44,34 @@ DEFAULT_BROADCAST_LIMIT = 256 * 1024 * 1024
 
 
 def walk_seeds(
-    graph: WalkGraph, walks_per_vertex: int, *, num_partitions: int | None = None
+    graph: WalkGraph, walks_per_vertex: int, *, num_partitions: int | None = None, spread: bool = False
 ) -> DataFrame:
-    """``(start, walk_no, first, deg)`` for every vertex with an out-edge,
-    hash-spread over ``num_partitions`` (default: shuffle partitions, at
-    least one partition per ``ROWS_PER_PARTITION`` walkers).
+    """``(start, walk_no, first, deg)`` for every vertex with an out-edge.
 
-    The vertex table is small and may sit in one file; without the spread
-    one task would run every walk. Keys are unique, so the spread is even
-    and a retried task sees the same rows.
+    With ``spread`` the vertices (not the walkers) are first dealt to
+    ``num_partitions`` (default: shuffle partitions, at least one for
+    ``ROWS_PER_PARTITION`` walkers): where no step shuffles, a vertex table in one small
+    file would run every walk in one task.
     """
     if walks_per_vertex <= 0:
         raise ValueError("walks_per_vertex must be positive")
-    spark = graph.starts.sparkSession
-    n = partitions_for(spark, graph.num_starts * walks_per_vertex, num_partitions)
-    return (
-        graph.starts.select(
-            F.col("vertex").alias("start"),
-            F.explode(F.sequence(F.lit(0), F.lit(walks_per_vertex - 1))).alias("walk_no"),
-            "first",
-            F.col("degree").alias("deg"),
-        ).repartition(n, "start", "walk_no")
+    starts = graph.starts
+    if spread:
+        n = partitions_for(starts.sparkSession, graph.num_starts * walks_per_vertex, num_partitions)
+        starts = starts.repartition(n, "vertex")
+    return starts.select(
+        F.col("vertex").alias("start"),
+        F.explode(F.sequence(F.lit(0), F.lit(walks_per_vertex - 1))).alias("walk_no"),
+        "first",
+        F.col("degree").alias("deg"),
     )
 
 
-def choose_strategy(graph: WalkGraph, broadcast_limit_bytes: int | None) -> str:
-    limit = DEFAULT_BROADCAST_LIMIT if broadcast_limit_bytes is None else broadcast_limit_bytes
-    return "broadcast" if graph.num_slots * SLOT_ROW_BYTES <= limit else "shuffle"
+def check_broadcast(graph: WalkGraph, limit_bytes: int) -> None:
+    """Raise if the slot table is too large to broadcast."""
+    size = graph.num_slots * SLOT_ROW_BYTES
+    if size > limit_bytes:
+        raise ValueError(f"slot table of about {size} bytes is over the broadcast limit of {limit_bytes}; use the shuffle plan")
 
 
 def _step(
@@ -93,11 +95,6 @@ def _step(
         "start", "walk_no", *carry,
         F.coalesce(F.col("first") + draw, F.lit(-1).cast("bigint")).alias("slot"),
     )
-    if drop_dead:
-        # shuffle plan: hash the walkers per bucket and stream the bucketed
-        # slot table through it, instead of sorting both sides every step
-        # (AQE still splits a partition made hot by one busy slot)
-        walkers = walkers.hint("shuffle_hash")
     moved = walkers.join(slots, "slot")
     return moved, [
         F.col("start"), F.col("walk_no"),
@@ -118,22 +115,22 @@ def _broadcast_walks(
     return write_table(cur.select("start", "walk_no", "walk"), "walks")
 
 
-def walk_steps(
+def walk_chunks(
     graph: WalkGraph, *, length: int, walks_per_vertex: int, seed: int, chunk_steps: int = 20
 ) -> DataFrame:
-    """Shuffle plan: walker positions ``(start, walk_no, step, vertex)``.
+    """Shuffle plan: ``(start, walk_no, step0, path)``, a walker's positions from
+    ``step0`` on, at most ``chunk_steps`` (plus the start) in a row.
 
-    ``chunk_steps`` shuffled steps run in one job; the walker row carries the
-    chunk's positions (at most ``chunk_steps`` ids) and each chunk is written
-    once to the checkpoint folder. A walker that dies at a sink loses only
-    positions of its current chunk; its walk is incomplete and dropped by
-    ``random_walks`` either way.
+    ``chunk_steps`` shuffled steps run in one job and each chunk is written once.
+    A walker that dies at a sink has no row for its last chunk; its walk is
+    incomplete and dropped by ``random_walks``.
     """
     if length <= 0:
         raise ValueError("length must be positive")
     spark = graph.slots.sparkSession
-    base = scratch_path(spark, "walk_steps")
-    slots = graph.slots.select("slot", "dst", "dst_first", "dst_degree")
+    base = scratch_path(spark, "walk_chunks")
+    # the hash table is built from the slots: unique keys, while walkers may pile up on one
+    slots = graph.slots.select("slot", "dst", "dst_first", "dst_degree").hint("shuffle_hash")
     empty = F.array().cast("array<bigint>")
 
     def save(df: DataFrame, chunk: int) -> DataFrame:
@@ -155,12 +152,7 @@ def walk_steps(
                 "start", "walk_no", "first", "deg", F.lit(step + 1).alias("step0"), empty.alias("path")
             )
     save(cur, chunk)
-    return spark.read.parquet(base).select(
-        "start",
-        "walk_no",
-        F.posexplode("path").alias("_i", "vertex"),
-        "step0",
-    ).select("start", "walk_no", (F.col("step0") + F.col("_i")).cast("int").alias("step"), "vertex")
+    return spark.read.parquet(base).select("start", "walk_no", "step0", "path")
 
 
 def random_walks(
@@ -169,15 +161,15 @@ def random_walks(
     length: int,
     walks_per_vertex: int = 1,
     seed: int = 0,
-    strategy: str = "auto",
-    broadcast_limit_bytes: int | None = None,
+    strategy: str = "shuffle",
+    broadcast_limit_bytes: int = DEFAULT_BROADCAST_LIMIT,
     chunk_steps: int = 20,
 ) -> DataFrame:
     """``(start, walk_no, walk ARRAY<BIGINT>)`` of full-length walks.
 
     ``graph`` comes from ``graph.walk_graph(edges)``. ``strategy`` is
-    ``auto`` (size check), ``broadcast`` or ``shuffle``; both give the same
-    walks for the same seed.
+    ``shuffle`` or ``broadcast`` (which raises over ``broadcast_limit_bytes``);
+    both give the same walks for the same seed.
     """
     if length <= 0:
         raise ValueError("length must be positive")
@@ -185,20 +177,17 @@ def random_walks(
         raise ValueError("walks_per_vertex must be positive")
     if chunk_steps <= 0:
         raise ValueError("chunk_steps must be positive")
-    if strategy == "auto":
-        strategy = choose_strategy(graph, broadcast_limit_bytes)
     if strategy == "broadcast":
+        check_broadcast(graph, broadcast_limit_bytes)
         return _broadcast_walks(graph, length, walks_per_vertex, seed, chunk_steps)
     if strategy != "shuffle":
         raise ValueError(f"unknown strategy {strategy!r}")
-    steps = walk_steps(
+    chunks = walk_chunks(
         graph, length=length, walks_per_vertex=walks_per_vertex, seed=seed, chunk_steps=chunk_steps
     )
+    walk = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("step0", "path"))), lambda x: x["path"]))
     return (
-        steps.groupBy("start", "walk_no")
-        .agg(F.array_sort(F.collect_list(F.struct("step", "vertex"))).alias("_w"))
-        .where(F.size("_w") == length)
-        .select("start", "walk_no", F.transform("_w", lambda x: x["vertex"]).alias("walk"))
+        chunks.groupBy("start", "walk_no").agg(walk.alias("walk")).where(F.size("walk") == length)
     )
 
 

@@ -21,7 +21,7 @@ class WalkConfig:
     length: int = 40
     walks_per_vertex: int = 80
     seed: int = 0
-    strategy: str = "auto"
+    strategy: str = "shuffle"
 
     def __post_init__(self):
         if self.length <= 0 or self.walks_per_vertex <= 0:
@@ -64,18 +64,18 @@ def run_job(
     name: str = "graph",
     walk_cfg: WalkConfig = WalkConfig(),
     embed_cfg: EmbedConfig = EmbedConfig(vector_size=128, window=10),
-    single_file: bool = False,
+    header: bool = False,
     write_histogram: bool = False,
 ) -> JobResult:
     """The original job: read ``src,dst`` lines (both directions), walk,
     train, write ``<name>_vec.txt`` (and optionally the visit histogram
     ``<name>_vertex_visit_freq.csv``). The vectors are part files plus
-    ``_meta.json`` by default; ``single_file`` writes the original one-file
-    layout with its ``N D`` header (one writer task: small exports only)."""
+    ``_meta.json``; with ``header`` the parts, in the order of their names, are the one-file layout with its
+    ``N D`` line."""
     edges = text.read_edge_list(spark, edges_path, symmetric=True)
     w, vec = embed_graph(edges, walk_cfg, embed_cfg)
     out = output_dir.rstrip("/")
-    meta = writers.write_vectors_text(vec, f"{out}/{name}_vec.txt", single_file=single_file)
+    meta = writers.write_vectors_text(vec, f"{out}/{name}_vec.txt", header=header)
     extras = {}
     if write_histogram:
         path = f"{out}/{name}_vertex_visit_freq.csv"
@@ -93,12 +93,12 @@ def score_files(
     train_percents=(0.1, 0.5, 0.9),
     num_shuffles: int = 1,
     seed: int = 500,
-    header: bool = True,
+    header: bool | str = False,
     **fit_kw,
 ) -> tuple[DataFrame, DataFrame]:
     """The original scoring script: vectors of the graph's vertices, labels
     per vertex, one-vs-rest logistic regression per share and shuffle.
-    ``header=False`` reads the part-file layout. Returns (per-run results,
+    ``header`` is that of ``read_vectors_text``. Returns (per-run results,
     means per share)."""
     vec = text.read_vectors_text(spark, vectors_path, header=header)
     nodes = graph.vertices(text.read_edge_list(spark, edges_path, symmetric=False))

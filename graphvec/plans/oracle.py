@@ -4,9 +4,13 @@
 from __future__ import annotations
 
 from graphvec.plans.queries import (
+    ADJACENCY_CHUNK,
     CHUNK,
+    DIRECTED_LENGTH,
+    DIRECTED_WALKS,
     MIN_COUNT,
     SEED,
+    SENTENCE,
     SPLIT_SEED,
     TOP_K,
     WALK_LENGTH,
@@ -16,17 +20,20 @@ from graphvec.plans.queries import (
 _DRAW = "('0x' || substr(md5({key}), 1, 15))::BIGINT"
 
 _GRAPH = """
-e AS (SELECT l_partkey AS src, l_suppkey + 1000000 AS dst FROM lineitem
-      UNION ALL SELECT l_suppkey + 1000000 AS src, l_partkey AS dst FROM lineitem),
+e AS (SELECT 2 * l_partkey AS src, 2 * l_suppkey + 1 AS dst FROM lineitem
+      UNION ALL SELECT 2 * l_suppkey + 1 AS src, 2 * l_partkey AS dst FROM lineitem),
 deg AS (SELECT src, count(*) AS degree FROM e GROUP BY src),
 ei AS (SELECT e.src, row_number() OVER (PARTITION BY e.src ORDER BY e.dst) - 1 AS idx, e.dst,
               coalesce(d.degree, 0) AS dst_degree
        FROM e LEFT JOIN deg d ON e.dst = d.src)"""
 
 
-def _walk_cte(n: int) -> str:
+_DIRECTED = _GRAPH[_GRAPH.index("deg AS") :]
+
+
+def _walk_cte(n: int, length: int = WALK_LENGTH) -> str:
     draw = _DRAW.format(key=f"'{SEED}|' || w.start || '|' || w.walk_no || '|' || (w.step + 1)")
-    last = WALK_LENGTH - 1
+    last = length - 1
     return f"""
 wk{n}(start, walk_no, step, cur, deg, walk) AS (
   SELECT src, r.walk_no, 0, src, degree, [src] FROM deg, range({n}) r(walk_no)
@@ -50,9 +57,10 @@ _VISITS = """
 vc AS (SELECT v AS vertex, count(*) AS visits FROM (SELECT unnest(walk) AS v FROM walks2) GROUP BY v),
 hist AS (SELECT visits AS number_of_visits, count(*) AS number_of_vertices FROM vc GROUP BY visits)"""
 
-_POSITIONS = """
-p AS (SELECT start, walk_no, walk, len(walk) AS n, generate_subscripts(walk, 1) - 1 AS pos,
-             CAST(unnest(walk) AS VARCHAR) AS target FROM walks2)"""
+_SENTENCES = f"""
+sent AS (SELECT start, walk_no, c AS chunk, ids[c * {SENTENCE} + 1 : c * {SENTENCE} + {SENTENCE}] AS ids
+         FROM (SELECT start, walk_no, ids, unnest(range(CAST(ceil(len(ids) / {SENTENCE}.0) AS BIGINT))) AS c FROM enc)),
+p AS (SELECT start, walk_no, chunk, ids, len(ids) AS n, generate_subscripts(ids, 1) - 1 AS pos, unnest(ids) AS target FROM sent)"""
 
 _VEC = """
 v AS (SELECT CAST(vec_id AS VARCHAR) AS word, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)"""
@@ -62,10 +70,12 @@ lab AS (SELECT DISTINCT node, label FROM (
           SELECT CAST(vec_id AS VARCHAR) AS node, label FROM embeddings
           UNION ALL SELECT CAST(vec_id AS VARCHAR), CAST(vec_id % 10 AS INTEGER) FROM embeddings)),
 kk AS (SELECT node, count(*) AS k FROM lab GROUP BY node),
-sc AS (SELECT CAST(vec_id AS VARCHAR) AS node, CAST(i - 1 AS INTEGER) AS label,
-              CAST(embedding[i] AS DOUBLE) AS score FROM embeddings, range(1, 11) t(i)),
-pred AS (SELECT node, label, rank FROM (
-           SELECT sc.node, sc.label, kk.k,
+comp AS (SELECT CAST(vec_id AS VARCHAR) AS node, generate_subscripts(embedding, 1) AS i,
+                CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+mean AS (SELECT label, i, avg(x) AS w FROM lab JOIN comp USING (node) GROUP BY label, i),
+sc AS (SELECT node, label, 1 / (1 + exp(-sum(x * w))) AS score FROM comp JOIN mean USING (i) GROUP BY node, label),
+pred AS (SELECT node, label, rank, score FROM (
+           SELECT sc.node, sc.label, sc.score, kk.k,
                   row_number() OVER (PARTITION BY sc.node ORDER BY sc.score DESC, sc.label) AS rank
            FROM sc JOIN kk USING (node)) WHERE rank <= k),
 u AS (SELECT DISTINCT label FROM lab)"""
@@ -90,8 +100,8 @@ ORACLE: dict[str, str] = {
     "edges_canonical": _with(_GRAPH)
     + "SELECT src, dst, count(*) AS multiplicity FROM e WHERE src <= dst GROUP BY src, dst",
     "adjacency": _with(_GRAPH)
-    + "SELECT src, idx // 1024 AS chunk, array_to_string(list(dst ORDER BY idx), ' ') AS neighbors "
-    "FROM ei GROUP BY src, idx // 1024",
+    + f"SELECT src, idx // {ADJACENCY_CHUNK} AS chunk, array_to_string(list(dst ORDER BY idx), ' ') AS neighbors "
+    f"FROM ei GROUP BY src, idx // {ADJACENCY_CHUNK}",
     "degree": _with(_GRAPH) + "SELECT src, count(*) AS degree FROM e GROUP BY src",
     "vertices": _with(_GRAPH) + "SELECT DISTINCT v AS vertex FROM (SELECT src AS v FROM e UNION ALL SELECT dst FROM e)",
     "edges_indexed": _with(_GRAPH) + "SELECT src, idx, dst, dst_degree FROM ei",
@@ -102,6 +112,10 @@ ORACLE: dict[str, str] = {
     + "SELECT start, walk_no, array_to_string(walk, ' ') AS walk FROM walks2",
     "walks_multi_shuffle": _with(_GRAPH, _W2)
     + "SELECT start, walk_no, array_to_string(walk, ' ') AS walk FROM walks2",
+    "walks_directed": _with(
+        "e AS (SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem),\n" + _DIRECTED, _walk_cte(DIRECTED_WALKS, DIRECTED_LENGTH)
+    )
+    + f"SELECT start, walk_no, array_to_string(walk, ' ') AS walk FROM walks{DIRECTED_WALKS}",
     "visit_counts": _with(_GRAPH, _W2, _VISITS) + "SELECT vertex, visits FROM vc",
     "visit_histogram": _with(_GRAPH, _W2, _VISITS) + "SELECT number_of_visits, number_of_vertices FROM hist",
     "visit_loglog": _with(_GRAPH, _W2, _VISITS)
@@ -129,28 +143,30 @@ ax AS (SELECT 'visits' AS axis, v AS mx FROM mx UNION ALL SELECT 'vertices' AS a
     "skipgram_pairs": _with(
         _GRAPH,
         _W2,
-        _POSITIONS,
+        _CORPUS,
+        _SENTENCES,
         f"""
-r AS (SELECT *, {WINDOW} - ({_DRAW.format(key=f"'{SEED}|' || start || '|' || walk_no || '|' || pos")} % {WINDOW}) AS reach FROM p),
-c AS (SELECT start, walk_no, pos, target, walk,
+r AS (SELECT *, {WINDOW} - ({_DRAW.format(key=f"'{SEED}|' || start || '|' || walk_no || '|' || chunk || '|' || pos")} % {WINDOW}) AS reach FROM p),
+c AS (SELECT start, walk_no, chunk, pos, target, ids,
              unnest(range(greatest(0, pos - reach), least(n - 1, pos + reach) + 1)) AS ctx_pos FROM r)""",
     )
-    + "SELECT start, walk_no, pos, ctx_pos, CAST(walk[ctx_pos + 1] AS VARCHAR) AS input, target FROM c WHERE ctx_pos <> pos",
+    + "SELECT start, walk_no, chunk, pos, ctx_pos, ids[ctx_pos + 1] AS input, target FROM c WHERE ctx_pos <> pos",
     "cooccurrence": _with(
         _GRAPH,
         _W2,
-        _POSITIONS,
+        _CORPUS,
+        _SENTENCES,
         f"""
-c AS (SELECT walk, pos, target,
+c AS (SELECT ids, pos, target,
              unnest(range(greatest(0, pos - {WINDOW}), least(n - 1, pos + {WINDOW}) + 1)) AS ctx_pos FROM p)""",
     )
-    + f"SELECT CAST(walk[ctx_pos + 1] AS VARCHAR) AS input, target, "
-    f"round(sum(({WINDOW} - abs(ctx_pos - pos) + 1) / {WINDOW}.0), 6) AS weight "
+    + f"SELECT ids[ctx_pos + 1] AS input, target, "
+    f"round(sum({WINDOW} - abs(ctx_pos - pos) + 1) / {WINDOW}.0, 6) AS weight "
     "FROM c WHERE ctx_pos <> pos GROUP BY 1, 2",
     "vector_norms": "SELECT CAST(vec_id AS VARCHAR) AS word, "
     "round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm "
     "FROM embeddings",
-    "vector_lookup": "WITH q AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS query FROM lineitem) "
+    "vector_lookup": "WITH q AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS query FROM lineitem) "
     "SELECT q.query, e.embedding IS NOT NULL AS found, "
     "CASE WHEN e.embedding IS NOT NULL THEN CAST(len(e.embedding) AS BIGINT) END AS dim, "
     "round(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total "
@@ -159,7 +175,7 @@ c AS (SELECT walk, pos, target,
         _VEC,
         f"""
 s AS (SELECT a.word AS query, b.word AS word, {_cos('a.vec', 'b.vec')} AS sim
-      FROM v a, v b WHERE a.word <> b.word),
+      FROM v a, v b WHERE a.word <> b.word AND a.word IN (SELECT CAST(label AS VARCHAR) FROM embeddings)),
 r AS (SELECT query, word, sim, row_number() OVER (PARTITION BY query ORDER BY sim DESC, word) AS rank FROM s)""",
     )
     + f"SELECT query, word, round(sim, 6) AS similarity, rank FROM r WHERE rank <= {TOP_K}",
@@ -177,8 +193,9 @@ r AS (SELECT query, word, sim, row_number() OVER (PARTITION BY query ORDER BY si
     "CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) "
     "SELECT CAST(label AS BIGINT) AS label, CAST(pos - 1 AS BIGINT) AS pos, round(sum(x), 6) AS value "
     "FROM ex GROUP BY label, pos",
-    "matrix_edges": "SELECT DISTINCT CAST(l_partkey + 1 AS BIGINT) AS src, CAST(l_suppkey + 1 AS BIGINT) AS dst "
-    "FROM lineitem",
+    "matrix_edges": "SELECT DISTINCT CAST(c_nationkey + 1 AS BIGINT) AS src, CAST(s_nationkey + 1 AS BIGINT) AS dst "
+    "FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey "
+    "JOIN supplier ON s_suppkey = l_suppkey",
     "edge_list_file": _with(_GRAPH) + "SELECT src, dst FROM e",
     "label_file": _with(_LABELS) + "SELECT node, CAST(label AS BIGINT) AS label FROM lab",
     "id_file": _with(_GRAPH) + "SELECT DISTINCT v AS id FROM (SELECT src AS v FROM e UNION ALL SELECT dst FROM e)",
@@ -202,14 +219,11 @@ ls AS (SELECT node, array_to_string(list_sort(list_distinct(list(label))), ' ')
     )
     + "SELECT CAST(vec_id AS VARCHAR) AS node, CAST(len(embedding) AS BIGINT) AS dim, coalesce(ls.labels, '') AS labels "
     "FROM embeddings LEFT JOIN ls ON ls.node = CAST(vec_id AS VARCHAR)",
-    "multi_hot": _with(
-        _LABELS,
-        """
-uni AS (SELECT list_sort(list_distinct(list(label))) AS u FROM lab),
-ls AS (SELECT node, list(label) AS labels FROM lab GROUP BY node)""",
-    )
-    + "SELECT node, array_to_string(list_transform(uni.u, lambda x: CASE WHEN list_contains(labels, x) THEN 1 ELSE 0 END), ' ') AS y "
-    "FROM ls, uni",
+    "multi_hot": _with(_LABELS, "\nps AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS pos FROM u)")
+    + "SELECT node, array_to_string(list(pos ORDER BY pos), ' ') AS ones FROM lab JOIN ps USING (label) GROUP BY node",
+    "multi_hot_decode": _with(_LABELS)
+    + "SELECT node, array_to_string(list(label ORDER BY label), ' ') AS labels FROM lab GROUP BY node",
+    "label_scores": _with(_LABELS) + "SELECT node, CAST(label AS BIGINT) AS label, round(score, 6) AS score FROM pred",
     "split_nodes": _with(
         f"""
 k AS (SELECT CAST(vec_id AS VARCHAR) AS node,
@@ -257,5 +271,21 @@ res AS (SELECT p, shuffle, {_F1} AS micro, macro FROM per)""",
     )
     + "SELECT CAST(p AS DOUBLE) AS train_percent, round(avg(micro), 6) AS micro_f1, round(avg(macro), 6) AS macro_f1, "
     "count(*) AS shuffles FROM res GROUP BY p",
-    "embed_vectors": _with(_GRAPH, _W2, _CORPUS) + "SELECT word, CAST(16 AS BIGINT) AS dim FROM vocab",
+    "embed_vectors": _with(_GRAPH, _W2, _CORPUS)
+    + "SELECT word, CAST(16 AS BIGINT) AS dim, true AS finite, true AS two_steps_closer FROM vocab",
+    "factorized_vectors": _with(_GRAPH, _W2, _CORPUS)
+    + "SELECT word, CAST(16 AS BIGINT) AS dim, true AS finite, true AS two_steps_closer FROM vocab",
+    "evaluation_grid": _with(
+        _LABELS,
+        f"""
+ranked AS (SELECT node, row_number() OVER (ORDER BY key, node) - 1 AS pos, count(*) OVER () AS n
+           FROM (SELECT CAST(vec_id AS VARCHAR) AS node,
+                        {_DRAW.format(key=f"'{SPLIT_SEED}|0|' || CAST(vec_id AS VARCHAR)")} AS key FROM embeddings)),
+shares AS (SELECT * FROM (VALUES (0.1), (0.5), (0.9)) v(p)),
+cut AS (SELECT p, node, pos, n, CAST(floor(p * n) AS BIGINT) AS c FROM ranked, shares)""",
+    )
+    + "SELECT CAST(p AS DOUBLE) AS train_percent, CAST(0 AS BIGINT) AS shuffle, any_value(c) AS n_train, any_value(n) - any_value(c) AS n_test, "
+    "CAST(sum(CASE WHEN pos >= c THEN coalesce(k, 0) ELSE 0 END) AS BIGINT) AS n_predicted, "
+    "CAST(sum(CASE WHEN pos >= c THEN coalesce(k, 0) ELSE 0 END) AS BIGINT) AS n_true, true AS in_range "
+    "FROM cut LEFT JOIN kk USING (node) GROUP BY p",
 }

@@ -1,15 +1,13 @@
 """Session helpers: building a local session for tests/bench and finding the
 checkpoint folder a job may use to cut lineage.
 
-On a cluster the checkpoint folder is whatever the cluster configured in
-``spark.checkpoint.dir`` (a shared, reliable file system). Only when that
-setting is missing *and* Spark runs in local mode do we create a scratch
-folder of our own, so tests and benchmarks work out of the box.
+The checkpoint folder is whatever ``spark.checkpoint.dir`` names (a shared, reliable file system);
+without it nothing is written. All tables of one application lie in one folder below it, which
+``drop_scratch`` deletes.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +27,8 @@ def local_session(
     driver_memory: str = "8g",
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
-    """A local session with the settings the library is designed for."""
+    """A local session with the settings the library is designed for. Jobs that write tables
+    between steps need ``spark.checkpoint.dir`` (``extra`` or Spark's own defaults)."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -48,26 +47,21 @@ def local_session(
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, registering it with the
-    SparkContext. Falls back to a fresh scratch folder only in local mode."""
+    SparkContext. Raises if ``spark.checkpoint.dir`` is not set."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get(_CONF_KEY, None) or sc.getConf().get(_CONF_KEY, None)
     if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(
-                f"{_CONF_KEY} is not set; a cluster job needs a shared, reliable "
-                "checkpoint folder to cut walk lineage"
-            )
-        configured = tempfile.mkdtemp(prefix="graphvec-ckpt-")
-        spark.conf.set(_CONF_KEY, configured)
+        raise RuntimeError(
+            f"{_CONF_KEY} is not set: tables between steps need a shared, reliable folder"
+        )
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
@@ -84,17 +78,27 @@ def partitions_for(spark: SparkSession, rows: int, explicit: int | None = None)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the checkpoint folder for a written table."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the application's folder for a written table."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The application's folder below the checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/graphvec-{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete every table this application wrote below the checkpoint folder. DataFrames that
+    read them are unusable afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_table(
     df: DataFrame,
     name: str,
     *,
-    bucket_by: list[str] | None = None,
-    buckets: int | None = None,
     partition_by: list[str] | None = None,
     path: str | None = None,
     mode: str = "error",
@@ -102,26 +106,9 @@ def write_table(
     """Write ``df`` as parquet below the shared checkpoint folder and return a
     DataFrame reading it back: lineage is cut, the rows survive executor loss,
     and Spark sees real file sizes when it picks a join strategy.
-
-    With ``bucket_by`` the table is bucketed (and sorted) on those columns in
-    ``buckets`` buckets, so later joins on exactly those keys shuffle only
-    the other side.
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
-    if bucket_by:
-        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        table = f"{name}_{uuid.uuid4().hex[:12]}"
-        (
-            df.repartition(n, *bucket_by)
-            .write.format("parquet")
-            .bucketBy(n, *bucket_by)
-            .sortBy(*bucket_by)
-            .option("path", path)
-            .mode(mode)
-            .saveAsTable(table)
-        )
-        return spark.table(table)
     w = df.write.format("parquet").mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)

@@ -16,27 +16,24 @@ def _vector_line(df: DataFrame) -> DataFrame:
     )
 
 
-def write_vectors_text(vectors: DataFrame, path: str, *, single_file: bool = False, mode: str = "error") -> dict:
-    """``node v1 .. vD`` lines. Default: a distributed directory of part
-    files plus ``_meta.json`` holding ``{"n": N, "d": D}``. With
-    ``single_file`` one file whose first line is the ``N D`` header (the
-    layout readers of the original tool expect) -- only for exports small
-    enough for one writer task."""
+def write_vectors_text(vectors: DataFrame, path: str, *, header: bool = False, mode: str = "error") -> dict:
+    """``node v1 .. vD`` lines as part files, and ``_meta.json`` holding ``{"n": N, "d": D}``.
+    With ``header`` the first part file, in the order of names, is the line ``N D`` and the rest follow
+    in the order of words, so the files one after the other are the one-file layout; no task writes more than its
+    part."""
     st = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
     n, d = int(st["n"]), int(st["d"] or 0)
-    lines = _vector_line(vectors)
-    if single_file:
-        spark = vectors.sparkSession
-        head = spark.createDataFrame([(f"{n} {d}", 0)], "value string, _o int")
-        body = lines.withColumn("_o", F.lit(1))
-        (head.unionByName(body).coalesce(1).sortWithinPartitions("_o").select("value")
-         .write.mode(mode).text(path))
+    spark = vectors.sparkSession
+    if header:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        body = _vector_line(vectors.repartitionByRange(parts, "word").sortWithinPartitions("word"))
+        head = spark.createDataFrame([(f"{n} {d}",)], "value string").coalesce(1)
+        lines = head.unionByName(body)  # a union keeps the order of its inputs' partitions
     else:
-        lines.write.mode(mode).text(path)
-        spark = vectors.sparkSession
-        spark.createDataFrame([(json.dumps({"n": n, "d": d}),)], "value string").coalesce(1).write.mode(
-            "overwrite"
-        ).text(f"{path}/_meta.json")
+        lines = _vector_line(vectors)
+    lines.write.mode(mode).text(path)
+    meta = spark.createDataFrame([(json.dumps({"n": n, "d": d}),)], "value string").coalesce(1)
+    meta.write.mode("overwrite").text(f"{path}/_meta.json")
     return {"n": n, "d": d}
 
 

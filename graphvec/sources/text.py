@@ -60,11 +60,11 @@ def numbered_lines(spark: SparkSession, path: str, *, across_files: bool = False
         "lines",
     )
     blocks = tagged.groupBy("file", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    # one row per file split: a bounded table whatever the file sizes
+    # one row per file split
     w = (Window.orderBy("file", "_blk") if across_files else Window.partitionBy("file").orderBy("_blk"))
     w = w.rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return tagged.join(F.broadcast(blocks), ["file", "_blk"]).select(
+    return tagged.join(blocks, ["file", "_blk"]).select(
         "file", (F.col("_off") + F.col("_mid") - F.col("_first")).alias("line_no"), "value"
     )
 
@@ -89,32 +89,55 @@ def _regex_quote(s: str) -> str:
     return re.escape(s)
 
 
-def read_vectors_text(spark: SparkSession, path: str, *, header: bool = True) -> DataFrame:
-    """``(word, vector ARRAY<FLOAT>)`` from ``node v1 .. vD`` lines. With
-    ``header`` the first line of the file is ``N D``: only rows with D+1
-    fields are kept and their count must equal N."""
-    if not header:
-        toks = spark.read.text(path).select(F.split(F.trim("value"), " ").alias("t")).where(F.size("t") > 1)
-        return toks.select(F.col("t")[0].alias("word"), F.slice("t", 2, F.size("t") - 1).cast("array<float>").alias("vector"))
-    lines = numbered_lines(spark, path).select("file", "line_no", F.split(F.trim("value"), " ").alias("t"))
-    # try_cast: Catalyst may evaluate these on body lines too
-    head = lines.where(F.col("line_no") == 0).select(
-        "file",
-        F.expr("try_cast(t[0] AS BIGINT)").alias("n"),
-        F.expr("try_cast(t[1] AS INT)").alias("d"),
+def read_vectors_text(spark: SparkSession, path: str, *, header: bool | str = True) -> DataFrame:
+    """``(word, vector ARRAY<FLOAT>)`` from ``node v1 .. vD`` lines.
+
+    ``header=True``: every file starts with a line ``N D`` and holds N vectors of D components.
+    ``header="first"``: the first file, in the order of names, starts with such a line for all files
+    (what ``writers.write_vectors_text(header=True)`` writes).
+    ``header=False``: part files and their ``_meta.json``, which must agree with the rows.
+
+    A missing or malformed header, a wrong number of vectors or components, and components that
+    are no numbers raise ``ValueError``; no line is ever left out.
+    """
+    if header is False:
+        meta = spark.read.text(f"{path.rstrip('/')}/_meta.json").collect()
+        meta = json.loads(meta[0].value)  # one line, written by the writer
+        lines = spark.read.text(path).select(F.lit("all").alias("file"), F.split(F.trim("value"), " ").alias("t"))
+        heads = spark.createDataFrame([("all", int(meta["n"]), int(meta["d"]))], "file string, n bigint, d int")
+        body = lines
+    else:
+        lines = numbered_lines(spark, path, across_files=header == "first")
+        lines = lines.select(F.lit("all").alias("file") if header == "first" else F.col("file"), "line_no", F.split(F.trim("value"), " ").alias("t"))
+        first = lines.where(F.col("line_no") == 0)
+        number = lambda i, kind: F.when(F.size("t") == 2, F.expr(f"try_cast(t[{i}] AS {kind})"))
+        heads = first.select("file", number(0, "BIGINT").alias("n"), number(1, "INT").alias("d"))
+        body = lines.where(F.col("line_no") > 0)
+    rows = write_table(
+        body.select(
+            "file", F.col("t")[0].alias("word"),
+            F.transform(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda x: x.try_cast("float")).alias("vector"),
+        ),
+        "vectors_text",
     )
-    body = lines.where(F.col("line_no") > 0).join(F.broadcast(head), "file")
-    out = body.where(F.size("t") == F.col("d") + 1).select(
-        F.col("t")[0].alias("word"), F.slice("t", 2, F.col("d")).cast("array<float>").alias("vector"), "n"
+    bad = F.exists("vector", lambda x: x.isNull())
+    counts = rows.groupBy("file").agg(
+        F.count(F.lit(1)).alias("rows"), F.min(F.size("vector")).alias("lo"), F.max(F.size("vector")).alias("hi"),
+        F.max(bad.cast("int")).alias("bad"),
     )
-    out = write_table(out, "vectors_text")
-    check = out.groupBy("n").count().collect()
-    if any(r["n"] is None for r in check):
-        raise ValueError("vector file header must be 'N D'")
-    for r in check:
-        if r["n"] != r["count"]:
-            raise ValueError(f"header says {r['n']} vectors, file has {r['count']}")
-    return out.drop("n")
+    checked = heads.join(counts, "file", "full_outer").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    wrong = checked.where(
+        F.col("n").isNull() | F.col("d").isNull() | (F.col("n") != F.col("rows"))
+        | ((F.col("rows") > 0) & ((F.col("lo") != F.col("d")) | (F.col("hi") != F.col("d")) | (F.col("bad") > 0)))
+    ).limit(1).collect()
+    if wrong:
+        w = wrong[0]
+        if w["n"] is None or w["d"] is None:
+            raise ValueError(f"{w['file']}: the first line must be 'N D'")
+        raise ValueError(f"{w['file']}: announced {w['n']} vectors of {w['d']}, found {w['rows']} of {w['lo']} to {w['hi']}" + " with components that are no numbers" * bool(w["bad"]))
+    if heads.limit(1).count() == 0:
+        raise ValueError(f"{path}: no vector file")
+    return rows.select("word", "vector")
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -145,10 +168,7 @@ def load_model(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("model metadata must be one line")
     meta = json.loads(meta_rows[0].value)
     if (meta.get("class"), meta.get("version")) != (MODEL_CLASS, MODEL_VERSION):
-        raise ValueError(
-            f"unsupported model ({meta.get('class')}, {meta.get('version')}); "
-            f"supported: ({MODEL_CLASS}, {MODEL_VERSION})"
-        )
+        raise ValueError(f"metadata names {meta.get('class')} {meta.get('version')}, this reads {MODEL_CLASS} {MODEL_VERSION}")
     data = spark.read.parquet(f"{path}/data")
     got = T.StructType([T.StructField(f.name, f.dataType) for f in data.select("word", "vector").schema])
     if got != MODEL_SCHEMA:
@@ -158,7 +178,7 @@ def load_model(spark: SparkSession, path: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min(F.size("vector")).alias("lo"), F.max(F.size("vector")).alias("hi")
     ).first()
     if st["n"] != meta["numWords"]:
-        raise ValueError(f"model requires {meta['numWords']} words, but got {st['n']}")
+        raise ValueError(f"metadata says {meta['numWords']} words, data has {st['n']}")
     if st["lo"] != meta["vectorSize"] or st["hi"] != meta["vectorSize"]:
-        raise ValueError(f"model requires vectors of size {meta['vectorSize']}, got {st['lo']}..{st['hi']}")
+        raise ValueError(f"metadata says {meta['vectorSize']} components, data has {st['lo']} to {st['hi']}")
     return data

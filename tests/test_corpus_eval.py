@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,12 +41,49 @@ def test_f1_perfect_and_absent_label(spark):
 
 
 def test_topk_zero_k(spark):
-    scores = spark.createDataFrame([("n", 0, 0.9), ("n", 1, 0.5), ("m", 0, 0.1), ("m", 1, 0.7)], "node string, label int, score double")
-    k = spark.createDataFrame([("n", 0), ("m", 1)], "node string, k int")
-    none = sorted((r.node, r.label) for r in evaluate.topk_labels(scores, k).collect())
-    assert none == [("m", 1)]
+    rows = [("n", [(0, 0.9), (1, 0.5)]), ("m", [(0, 0.1), (1, 0.7)]), ("t", [(5, 0.2), (4, 0.2), (6, 0.2)])]
+    scores = spark.createDataFrame(rows, "node string, scores array<struct<label:int,score:double>>")
+    k = spark.createDataFrame([("n", 0), ("m", 1), ("t", 2)], "node string, k int")
+    none = sorted((r.node, r.label, r.rank) for r in evaluate.topk_labels(scores, k).collect())
+    assert none == [("m", 1, 1), ("t", 4, 1), ("t", 5, 2)]
     allk = sorted((r.node, r.label) for r in evaluate.topk_labels(scores, k, zero_k="all").collect())
-    assert allk == [("m", 1), ("n", 0), ("n", 1)]
+    assert allk == [("m", 1), ("n", 0), ("n", 1), ("t", 4), ("t", 5)]
+
+
+@pytest.mark.parametrize("budget", [64, 1 << 20])
+def test_predict_topk_against_numpy(spark, budget):
+    rng = np.random.default_rng(0)
+    x, w, b = rng.normal(size=(30, 3)), rng.normal(size=(11, 3)), rng.normal(size=11)
+    w[7] = w[3]
+    b[7] = b[3]  # a tie
+    nodes = spark.createDataFrame([(str(i), v.tolist(), i % 5) for i, v in enumerate(x)], "node string, vector array<double>, k int")
+    coef = spark.createDataFrame([(int(i) * 2, v.tolist(), float(c)) for i, (v, c) in enumerate(zip(w, b))], "label int, coefficients array<double>, intercept double")
+    got = {r.node: [(s.label, s.score) for s in r.scores] for r in evaluate.predict_topk(nodes, coef, block_bytes=budget).collect()}
+    p = 1 / (1 + np.exp(-(x @ w.T + b)))
+    for i in range(30):
+        want = sorted(range(11), key=lambda j: (-p[i, j], j))[: i % 5]
+        assert [s for s, _ in got[str(i)]] == [2 * j for j in want]
+        np.testing.assert_allclose([s for _, s in got[str(i)]], p[i, want])
+
+
+def test_one_vs_rest_separates(spark):
+    rng = np.random.default_rng(1)
+    rows = [(str(i), (rng.normal(size=2) + [4 * (i % 2), 0]).tolist(), [i % 2, 7]) for i in range(120)]
+    data = spark.createDataFrame(rows, "node string, vector array<float>, labels array<int>")
+    uni = spark.createDataFrame([(0,), (1,), (7,), (9,)], "label int")
+    coef = evaluate.fit_one_vs_rest(data, uni, max_iter=50, parallelism=2)
+    assert sorted(r.label for r in coef.collect()) == [0, 1, 7, 9]
+    best = evaluate.predict_topk(data.withColumn("k", F.lit(2)), coef).collect()
+    right = [[s.label for s in r.scores] == [7, int(r.node) % 2] for r in best]
+    assert np.mean(right) > 0.95
+
+
+def test_grid_counts(spark):
+    vec = spark.createDataFrame([(str(i), [float(i % 3), 1.0 + i % 3]) for i in range(40)], "word string, vector array<float>")
+    lab = spark.createDataFrame([(str(i), i % 3) for i in range(40)] + [("1", 2)], "node string, label int")
+    rows = evaluate.evaluation_grid(vec, lab, train_percents=(0.25, 0.5), num_shuffles=2, max_iter=10).collect()
+    assert sorted((r.train_percent, r.shuffle, r.n_train, r.n_test) for r in rows) == [(0.25, 0, 10, 30), (0.25, 1, 10, 30), (0.5, 0, 20, 20), (0.5, 1, 20, 20)]
+    assert all(r.n_predicted == r.n_true and 0 <= r.macro_f1 <= 1 for r in rows)
 
 
 def test_split_exact_and_multi_hot(spark):
@@ -57,11 +95,14 @@ def test_split_exact_and_multi_hot(spark):
     b = {r.node for r in s2.where("is_train").collect()}
     assert a != b
     labels = spark.createDataFrame([("1", 3), ("1", 5), ("2", 5)], "node string, label int")
-    sets = evaluate.label_sets(labels)
-    mh = evaluate.multi_hot(sets, [3, 5, 7])
-    assert {r.node: r.y for r in mh.collect()} == {"1": [1, 1, 0], "2": [0, 1, 0]}
-    back = {r.node: r.labels for r in evaluate.multi_hot_decode(mh, [3, 5, 7]).collect()}
+    uni = spark.createDataFrame([("x", 3), ("x", 5), ("x", 7)], "node string, label int")
+    positions = evaluate.label_positions(uni)
+    mh = evaluate.multi_hot(labels, positions)
+    assert {r.node: r.ones for r in mh.collect()} == {"1": [0, 1], "2": [1]}
+    back = {r.node: r.labels for r in evaluate.multi_hot_decode(mh, positions).collect()}
     assert back == {"1": [3, 5], "2": [5]}
+    none = spark.createDataFrame([("z", [])], "node string, ones array<bigint>")
+    assert evaluate.multi_hot_decode(none, positions).first().labels == []
 
 
 def test_node_without_labels_kept(spark):

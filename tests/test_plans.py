@@ -1,5 +1,5 @@
 from graphvec.operators.embed import EmbedConfig
-from graphvec.plans.deepwalk import WalkConfig, run_job, score_files
+from graphvec.plans.embedding_job import WalkConfig, run_job, score_files
 
 
 def test_job_and_scoring_round_trip(spark, tmp_path):
@@ -18,7 +18,7 @@ def test_job_and_scoring_round_trip(spark, tmp_path):
     assert res.num_vectors == 16 and res.dim == 8
     runs, means = score_files(
         spark, str(tmp_path / "out" / "cliques_vec.txt"), str(edges), str(labels),
-        train_percents=(0.5,), max_iter=20, header=False,
+        train_percents=(0.5,), max_iter=20,
     )
     assert runs.count() == 1
     m = means.first()
@@ -35,9 +35,10 @@ def test_command_line_run_and_score(spark, tmp_path):
     labels.write_text("\n".join(f"{i},{i % 2}" for i in range(1, 30)) + "\n")
     out = tmp_path / "out"
     out.mkdir()
-    args = ["run", "toy", str(edges.parent) + "/", "nodes.csv", "edges.csv", "groups.csv",
-            "group-edges.csv", str(out), "5", "4", "8", "1", "1", "3"]
-    assert main(args) == 0
-    assert (out / "toy_vec.txt").exists()
-    assert main(["score", "--emb", str(out / "toy_vec.txt"), "--edgelist", str(edges),
-                 "--labellist", str(labels)]) == 0
+    for header in (False, True):
+        name = f"toy{header}"
+        args = ["run", "--edges", str(edges), "--out", str(out), "--name", name, "--length", "5", "--walks", "4", "--dim", "8", "--window", "3"]
+        assert main(args + ["--header"] * header) == 0
+        assert (out / f"{name}_vec.txt").exists()
+        score = ["score", "--emb", str(out / f"{name}_vec.txt"), "--edgelist", str(edges), "--labellist", str(labels)]
+        assert main(score + ["--header", "first"] * header) == 0

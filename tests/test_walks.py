@@ -1,7 +1,10 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from conftest import edges_df
 from graphvec.operators import graph, walks, visits
+from graphvec.session import write_table
 
 
 def _walks(spark, pairs, symmetric=True, **kw):
@@ -84,13 +87,60 @@ def test_directed_hot_vertex_both_plans_agree(spark):
     pairs = [(i, 0) for i in range(1, 400)] + [(0, 1)] + [(i, i + 1) for i in range(1, 399)]
     g = graph.walk_graph(edges_df(spark, pairs), num_partitions=6)
     a = {(r.start, r.walk_no): r.walk for r in walks.random_walks(g, length=6, walks_per_vertex=3, seed=2, strategy="broadcast").collect()}
-    b = {(r.start, r.walk_no): r.walk for r in walks.random_walks(g, length=6, walks_per_vertex=3, seed=2, strategy="shuffle", chunk_steps=2).collect()}
+    b = {(r.start, r.walk_no): r.walk for r in walks.random_walks(g, length=6, walks_per_vertex=3, seed=2, chunk_steps=2).collect()}
     assert a == b and len(a) > 0
     edges = set(pairs)
     for w in a.values():
         assert all((u, v) in edges for u, v in zip(w, w[1:]))
 
 
+def test_busy_slot_is_split_and_hash_table_holds_slots(spark):
+    """20,000 vertices point at one with a single out-edge: after a step all walkers join one slot."""
+    n = 20_000
+    edges = spark.range(1, n + 1).select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"))
+    edges = edges.unionByName(spark.sql("select 0L as src, 1L as dst"))
+    g = graph.walk_graph(edges)
+    slots = g.slots.select("slot", "dst", "dst_first", "dst_degree").hint("shuffle_hash")
+    small = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    old = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        cur = walks.walk_seeds(g, 4)
+        moved, keep = walks._step(cur, slots, 1, 1, drop_dead=True, carry=[])
+        cur = write_table(moved.select(*keep), "first_step")
+        moved, keep = walks._step(cur, slots, 1, 2, drop_dead=True, carry=[])
+        second = moved.select(*keep, F.spark_partition_id().alias("task"))
+        second.collect()
+        done = write_table(second, "second_step")  # whole rows, as a walk moves them
+        sizes = [r["count"] for r in done.groupBy("task").count().collect()]
+        plan = second._jdf.queryExecution().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(sizes) == 4 * n + 4
+    assert max(sizes) < 0.5 * sum(sizes)
+    assert "ShuffledHashJoin" in plan and "BuildRight" in plan and "BuildLeft" not in plan
+
+
+def test_broadcast_needs_a_small_table(spark):
+    g = graph.walk_graph(edges_df(spark, [(1, 2), (2, 1)]))
+    with pytest.raises(ValueError):
+        walks.random_walks(g, length=3, strategy="broadcast", broadcast_limit_bytes=64)
+    assert walks.random_walks(g, length=3, strategy="broadcast", broadcast_limit_bytes=128).count() == 2
+
+
+def test_repeated_edges_expand_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_DUP_BLOCK", 7)
+    e = edges_df(spark, [(1, 2)] * 50 + [(1, 3)] * 7 + [(2, 1)])
+    got = graph.indexed_neighbours(e).collect()
+    assert sorted((r.src, r.idx, r.dst) for r in got) == [(1, i, 2 if i < 50 else 3) for i in range(57)] + [(2, 0, 1)]
+
+
 def test_partition_floor(spark):
     from graphvec.session import ROWS_PER_PARTITION, partitions_for
 

@@ -24,9 +24,9 @@ def main():
     print("### degree (partial + final aggregate, 2-column ReadSchema)")
     graph.degree(edges).explain("formatted")
     g = graph.walk_graph(edges)
-    print("### one walk step, shuffle plan (walkers shuffled, slot table bucketed)")
+    print("### one walk step, shuffle plan (hash table from the slots)")
     seeds = walks.walk_seeds(g, 2)
-    moved, keep = walks._step(seeds, g.slots.select("slot", "dst", "dst_first", "dst_degree"), 42, 1,
+    moved, keep = walks._step(seeds, g.slots.select("slot", "dst", "dst_first", "dst_degree").hint("shuffle_hash"), 42, 1,
                               drop_dead=True, carry=[])
     moved.select(*keep).explain("formatted")
     w = walks.random_walks(g, length=10, walks_per_vertex=2, seed=42)
