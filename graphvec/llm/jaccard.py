@@ -5,8 +5,9 @@
    hash. Two sets that link share a shingle among their first ``n - ceil(t * n) + 1`` (the prefix).
    Prefix shingles that occur in one document only can't be shared and are left out.
 2. Rows with equal sets are one node. Nodes with the same size and prefix are one group.
-3. Groups meet on prefix shingles; group pairs must pass the length filter and the position filter,
-   are made distinct, and are then expanded to nodes and verified on the whole sets.
+3. Groups meet on prefix shingles; group pairs must pass the length filter, the position filter and
+   a bound from what their whole prefixes share, and are then expanded to nodes and verified on
+   the whole sets.
 4. Only reachability is asked for, so nodes that are already in one component need not be compared:
    a first round compares each group with the one leader of its shingles that it shares most of
    them with (and the nodes of a group with its first), a second one compares groups with other
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from graphvec.llm.components import components
 from graphvec.llm.repeats import Repeats, find_repeats
-from graphvec.llm.text import blobs, mix, shingles, word_hashes, words
+from graphvec.llm.text import blobs, mix, pieces, shingles, word_hashes, words
 from graphvec.session import write_table
 
 WORDS, SIMILARITY = 5, 0.75
@@ -56,7 +57,7 @@ def signatures(docs: DataFrame, t: Fraction, n: int) -> DataFrame:
     kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             cols: list[list] = [[] for _ in kinds]
             for s in _sets(b, n):
                 for c, v in zip(cols, _signature(s, seen.value, t), strict=True):
@@ -88,7 +89,8 @@ def _met_shingles(live: DataFrame) -> DataFrame:
     """``live`` without prefix shingles that only one document has in its prefix."""
 
     def values(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield b.column("toks").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        # the first in the order lie low: spread them over the blocks
+        yield mix(b.column("toks").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
 
     seen = live.sparkSession.sparkContext.broadcast(find_repeats(live, ["toks"], values))
 
@@ -97,7 +99,7 @@ def _met_shingles(live: DataFrame) -> DataFrame:
             toks, pos = [], []
             for x, p in zip(b.column("toks"), b.column("pos"), strict=True):
                 x, p = x.values.to_numpy(zero_copy_only=False), p.values.to_numpy(zero_copy_only=False)
-                at = seen.value.repeated(x.view(np.uint64))
+                at = seen.value.repeated(mix(x.view(np.uint64)))
                 toks.append(x[at])
                 pos.append(p[at])
             yield pa.RecordBatch.from_arrays([b.column("gid"), b.column("n"), pa.array(toks, pa.list_(pa.int64())), pa.array(pos, pa.list_(pa.int32()))], ["gid", "n", "toks", "pos"])
@@ -115,6 +117,8 @@ def _may_link(t: Fraction) -> Column:
 
 
 MARK_BITS, MARK_SLICES = 24, 64
+#: Prefix shingles of a group that tell which of the shared ones makes a pair.
+FIRST = 8
 #: What a null doc_id is fetched by.
 NULL_KEY = -(1 << 63)
 
@@ -144,13 +148,13 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, t: Fraction, n:
     marks = docs.sparkSession.sparkContext.broadcast(_marks(need))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             texts = blobs(b.column("text"))
             crc = np.fromiter(map(zlib.crc32, texts), np.int64, len(texts))
             bit = crc & ((1 << MARK_BITS) - 1)
             hit = (marks.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
             at = np.flatnonzero(hit)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()).fill_null(NULL_KEY).take(pa.array(at)), pa.array(crc[at]), pa.array([texts[i] for i in at], pa.binary())], ["key", "crc", "text"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()).fill_null(NULL_KEY).take(pa.array(at)), pa.array(crc[at]), pa.array([zlib.compress(texts[i], 1) for i in at], pa.binary())], ["key", "crc", "text"])
 
     found = docs.select("doc_id", "text").mapInArrow(fetch, "key long, crc long, text binary")
     found = found.join(need, ["key", "crc"]).dropDuplicates(["key", "crc"])  # repeated rows
@@ -163,10 +167,10 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, t: Fraction, n:
             if node not in last:
                 if len(last) >= 64:
                     last.clear()
-                last[node] = shingles(word_hashes(words(text.as_py().lower())), n)
+                last[node] = shingles(word_hashes(words(zlib.decompress(text.as_py()).lower())), n)
             return last[node]
 
-        for b in batches:
+        for b in pieces(batches):
             a, c = b.column("a").to_pylist(), b.column("b").to_pylist()
             linked = []
             for i, (x, y) in enumerate(zip(a, c, strict=True)):
@@ -198,7 +202,7 @@ def _labelled(docs: DataFrame, similarity: float, n: int) -> DataFrame:
     groups = nodes.groupBy("n", "psig").agg(F.min("node").alias("gid"))
     members = write_table(nodes.join(groups, ["n", "psig"]).select("node", "gid"), "members")
     # One row a prefix shingle and group; a group's first node stands for it.
-    heads = _met_shingles(live).join(members.where("node = gid").select("gid"), "gid", "left_semi")
+    heads = write_table(_met_shingles(live).join(members.where("node = gid").select("gid"), "gid", "left_semi"), "heads")
     meet = heads.select("gid", "n", F.explode(F.arrays_zip("toks", "pos")).alias("z")).select(
         F.col("z.toks").alias("tok"), "gid", "n", F.col("z.pos").alias("p")
     )
@@ -208,6 +212,7 @@ def _labelled(docs: DataFrame, similarity: float, n: int) -> DataFrame:
     # Round 1: each group meets the leader that it shares most shingles with, and its own nodes.
     lead = meet.groupBy("tok").agg(F.min(F.struct("gid", "n", "p")).alias("lead"))
     led = _against(meet.join(lead, "tok"), t).groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+    led = _enough(led.select("a", "b"), heads, t)
     inside = members.where(F.col("node") != F.col("gid")).select(F.col("gid").alias("a"), F.col("node").alias("b"))
     pairs = write_table(led.select("a", "b").unionByName(inside), "pairs")
     links = write_table(_verify(pairs, nodes, docs, t, n), "linked")
@@ -219,7 +224,7 @@ def _labelled(docs: DataFrame, similarity: float, n: int) -> DataFrame:
     rows = apart.join(lead, "tok").where((F.col("low") != F.col("lead.low")) | (F.col("low") != F.col("high")))
     led = _against(rows, t, F.col("lead.low").alias("there")).groupBy("b", "there").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
     some = F.struct(F.least("a", "b"), F.greatest("a", "b"))
-    more = led.select("a", "b").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    more = _enough(led.select("a", "b"), heads, t).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     more = more.groupBy(some.alias("s")).agg(F.first("a").alias("a"), F.first("b").alias("b")).select("a", "b")
     tested = write_table(pairs.unionByName(more), "pairs")
     more = tested.join(pairs, ["a", "b"], "left_anti")
@@ -228,11 +233,15 @@ def _labelled(docs: DataFrame, similarity: float, n: int) -> DataFrame:
     comp = write_table(_spread(nodes, links), "components")
 
     # Round 3: all pairs that are still in different components and were not compared.
-    apart = _apart(meet, members, comp)
-    one = apart.select("tok", *[F.col(c).alias(x) for c, x in (("gid", "ga"), ("n", "an"), ("p", "ap"), ("low", "la"), ("high", "ha"))])
-    two = apart.select("tok", *[F.col(c).alias(x) for c, x in (("gid", "gb"), ("n", "bn"), ("p", "bp"), ("low", "lb"), ("high", "hb"))])
+    # A pair that shares one of its first shingles is made by the first of these only.
+    apart = _apart(meet, members, comp).join(heads.select("gid", F.slice("toks", 1, FIRST).alias("f")), "gid")
+    one = apart.select("tok", *[F.col(c).alias(x) for c, x in (("gid", "ga"), ("n", "an"), ("p", "ap"), ("low", "la"), ("high", "ha"), ("f", "fa"))])
+    two = apart.select("tok", *[F.col(c).alias(x) for c, x in (("gid", "gb"), ("n", "bn"), ("p", "bp"), ("low", "lb"), ("high", "hb"), ("f", "fb"))])
+    both = F.array_intersect("fa", "fb")
+    differ_first = F.coalesce(F.get(both, F.lit(0)) == F.col("tok"), F.lit(True))
     differ = (F.col("la") != F.col("lb")) | (F.col("la") != F.col("ha")) | (F.col("lb") != F.col("hb"))
-    met = one.join(two, "tok").where((F.col("ga") < F.col("gb")) & differ & _may_link(t)).select("ga", "gb").distinct()
+    met = one.join(two, "tok").where((F.col("ga") < F.col("gb")) & differ & _may_link(t) & differ_first).select("ga", "gb").distinct()
+    met = _enough(met.select(F.col("ga").alias("a"), F.col("gb").alias("b")), heads, t).select(F.col("a").alias("ga"), F.col("b").alias("gb"))
     ours = members.join(comp, "node").select("gid", "node", "comp")
     mixed = ours.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("gid")
     met = met.unionByName(mixed.select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
@@ -262,6 +271,18 @@ def _against(rows: DataFrame, t: Fraction, *more: Column) -> DataFrame:
     return pairs.where((F.col("a") != F.col("b")) & _may_link(t)).groupBy("a", "b", *names).agg(F.count(F.lit(1)).alias("shared"))
 
 
+def _enough(pairs: DataFrame, heads: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) of groups whose prefixes share enough. Of two sets, all that both hold up to
+    the end of one prefix is in both prefixes, and the rest is behind that prefix: an intersection is at most the
+    prefixes' intersection and ``ceil(t * size) - 1`` of the larger set."""
+    p, q = t.numerator, t.denominator
+    one = heads.select(F.col("gid").alias("a"), F.col("n").alias("an"), F.col("toks").alias("ta"))
+    two = heads.select(F.col("gid").alias("b"), F.col("n").alias("bn"), F.col("toks").alias("tb"))
+    both = pairs.join(one, "a").join(two, "b")
+    most = F.size(F.array_intersect("ta", "tb")) + F.expr(f"(greatest(an, bn) * {p} + {q - 1}) div {q}") - 1
+    return both.where(most * (p + q) >= (F.col("an") + F.col("bn")) * p).select("a", "b")
+
+
 def _spread(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``(node, comp)`` of every node, those without links alone."""
     found = components(links).select("node", F.col("component").alias("comp"))

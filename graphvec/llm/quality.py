@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphvec.llm.text import blobs, words
+from graphvec.llm.text import blobs, pieces, words
 from graphvec.session import write_table
 
 #: Statistic -> floor of its standard deviation. log mean word length; square roots of the
@@ -99,7 +99,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     kind = pa.struct([*((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("x", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             found = [statistics(x) for x in blobs(b.column("text"))]
             cols = [pa.array(c, f.type) for c, f in zip(list(zip(*found, strict=True)) or [[]] * 6, kind, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays(cols, fields=list(kind))], [*b.schema.names, "_q"])
@@ -214,12 +214,15 @@ def judge(rows: DataFrame, *, core: float = CORE, steps: int = STEPS, least: int
     (null where there is no estimate) and ``_kept``."""
     fine = rows.where(~_base_failed()).select("lang", "source", F.col("_q.x").alias("x"))
     params = estimate(fine, core=core, steps=steps)
-    own, lang, whole = (g for g in _group())
-    groups = rows.select("lang", "source").distinct().withColumns({"_g3": own, "_g2": lang, "_g1": whole})
-    for level in (3, 2, 1):
-        part = params.where(F.col("level") == level).select(F.struct(*_KEYS).alias(f"_g{level}"), F.struct("n", "mean", "inverse", "scale").alias(f"_p{level}"))
+    own, lang, _ = _group()
+    kind = "struct<n:bigint,mean:array<double>,inverse:array<double>,scale:double>"
+    groups = rows.select("lang", "source").distinct().withColumns({"_g3": own, "_g2": lang})
+    for level in (3, 2):
+        part = params.where(F.col("level") == level).select(F.struct(*_KEYS).alias(f"_g{level}"), F.struct("n", "mean", "inverse", "scale").cast(kind).alias(f"_p{level}"))
         groups = groups.join(part, f"_g{level}", "left")
-    chosen = F.coalesce(*[F.when(F.col(f"_p{k}.n") >= least, F.col(f"_p{k}")) for k in (3, 2)], F.col("_p1"))
+    whole = params.where("level = 1").first()  # the one row for all
+    rest = F.lit(None) if whole is None else F.struct(F.lit(whole["n"]), *[F.array(*map(F.lit, whole[c])) for c in ("mean", "inverse")], F.lit(whole["scale"]))
+    chosen = F.coalesce(*[F.when(F.col(f"_p{k}.n") >= least, F.col(f"_p{k}")) for k in (3, 2)], rest.cast(kind))
     groups = write_table(groups.select(F.col("lang").alias("_ql"), F.col("source").alias("_qs"), chosen.alias("_qp")), "mcd_groups")
     met = rows.join(groups, F.col("lang").eqNullSafe(F.col("_ql")) & F.col("source").eqNullSafe(F.col("_qs")), "left")
     met = met.withColumns({"mean_": F.col("_qp.mean"), "inverse_": F.col("_qp.inverse")})

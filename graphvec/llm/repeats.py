@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graphvec.llm.text import estimated_bytes
+from graphvec.llm.text import estimated_bytes, pieces
 
 #: Bits of the filter of repeated values (16 MB) and slots of the table of levels (4 MB).
 FILTER_BITS, LEVEL_BITS = 27, 22
@@ -126,7 +126,7 @@ def find_repeats(docs: DataFrame, columns: list[str], values: Callable[[pa.Recor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for b in batches:
+        for b in pieces(batches):
             for v in values(b):
                 held.append(v)
                 n += len(v)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphvec.llm.repeats import block_bits, find_repeats
-from graphvec.llm.text import blobs, ngram_hashes, word_hashes, words
+from graphvec.llm.text import blobs, mix, ngram_hashes, pieces, word_hashes, words
 
 WINDOW, ANCHOR = 20, 10
 CHUNK_WINDOWS = 1_000_000
@@ -110,7 +110,7 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, k: int = ANCHOR) ->
         for _, _, h in _docs(b):
             grams, chosen = anchors(h, window, k)
             if len(chosen):
-                yield grams[np.unique(chosen)]
+                yield mix(grams[np.unique(chosen)])  # the smallest of many lie low: spread them over the blocks
 
     seen = rows.sparkSession.sparkContext.broadcast(find_repeats(rows, ["doc_id", "text"], seeds))
 
@@ -131,17 +131,18 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, k: int = ANCHOR) ->
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for b in batches:
+        for b in pieces(batches):
             for doc, crc, h in _docs(b):
                 grams, chosen = anchors(h, window, k)
                 if not len(chosen):
                     continue
-                at = np.flatnonzero(seen.value.repeated(grams)[chosen])
+                spread = mix(grams)
+                at = np.flatnonzero(seen.value.repeated(spread)[chosen])
                 if not len(at):
                     continue
                 e = np.empty(len(at), _ENTRY)
                 e["hash"] = ngram_hashes(h, window, seed=2)[at]
-                e["anchor"] = grams[chosen[at]] >> np.uint64(32)
+                e["anchor"] = spread[chosen[at]] >> np.uint64(32)
                 e["doc"], e["crc"], e["start"] = doc, crc, at
                 held.append(e)
                 n += len(e)
@@ -194,7 +195,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, k: int = ANCHOR) ->
     out = with_spans(docs, window=window, k=k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             texts, sizes = [], []
             for x, spans in zip(b.column("text").to_pylist(), b.column("_sd_spans").to_pylist(), strict=True):
                 if spans:
@@ -215,7 +216,7 @@ def digests(docs: DataFrame, *, window: int = WINDOW, k: int = ANCHOR) -> DataFr
     """``(doc_id, n_words, n_removed, kept_sha256)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             n, gone, sha = [], [], []
             for x, spans in zip(blobs(b.column("text")), b.column("_sd_spans").to_pylist(), strict=True):
                 tokens = words(x)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -11,6 +13,17 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 
 
+#: Rows of an Arrow batch that are turned into Python objects at a time.
+PIECE_ROWS = 256
+
+
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = PIECE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that no whole batch of texts is copied."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def blobs(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column, nulls as empty, without decoding."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

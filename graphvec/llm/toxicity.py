@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphvec.llm.text import blobs
+from graphvec.llm.text import blobs, pieces
 from graphvec.session import write_table
 
 BITS, FOLDS, TRAIN_ROWS, THRESHOLD = 18, 4, 16_000, 0.4
@@ -83,17 +83,24 @@ def fit(rows: list[np.ndarray], y: np.ndarray, earlier: np.ndarray, *, steps: in
     share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
     if not len(y) or y.min() == y.max():
         return Linear(weights, np.zeros(earlier.shape[1]), float(np.log(share / (1 - share))))
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    at = np.concatenate(rows) if len(of) else np.empty(0, np.int64)
-    pos, neg = np.bincount(at[y[of] > 0], minlength=size), np.bincount(at[y[of] == 0], minlength=size)
+    blocks = [slice(k, k + 1000) for k in range(0, len(rows), 1000)]
+    pos, neg = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for b in blocks:
+        for r, label in zip(rows[b], y[b], strict=True):
+            (pos if label > 0 else neg)[r] += 1
     ratio = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / ((y == 0).sum() + 1))
     worth = np.where(pos + neg >= LEAST_ROWS, np.abs(ratio) * np.sqrt(pos + neg), 0.0)
     used = np.sort(np.argsort(-worth, kind="stable")[:MOST_COLUMNS])
     used = used[worth[used] > 0]
     place = np.full(size, -1)
     place[used] = np.arange(len(used))
-    col = place[at]
-    of, col = of[col >= 0], col[col >= 0]
+    of, col = [], []
+    for b in blocks:
+        c = place[np.concatenate(rows[b])]
+        o = np.repeat(np.arange(b.start, b.start + len(rows[b])), [len(r) for r in rows[b]])
+        of.append(o[c >= 0])
+        col.append(c[c >= 0])
+    of, col = np.concatenate(of), np.concatenate(col)
     x = np.clip(ratio[used], -3, 3)
     extra = _logit(earlier)
     w, v, b = np.zeros(len(used)), np.zeros(extra.shape[1]), np.log(share / (1 - share))
@@ -144,7 +151,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             at = [features(x).tobytes() for x in blobs(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(at, pa.binary()), b.column("low_quality"), b.column("toxic")], ["rid", "at", "low_quality", "toxic"])
 
@@ -201,7 +208,7 @@ def predict(docs: DataFrame, chain: Chain, *, threshold: float = THRESHOLD) -> D
     names = ["doc_id", "p_low_quality", "p_toxic", "p_severe", "toxic"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             p = np.array([shared.value.predict(x) or [0.0] * 3 for x in blobs(b.column("text"))]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(p[:, i]) for i in range(3)), pa.array(p[:, 1] > threshold)], names)
 
@@ -214,7 +221,7 @@ def filter_toxic(docs: DataFrame, chain: Chain, *, threshold: float = THRESHOLD)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             p = [(shared.value.predict(x) or [0.0] * 3)[1] for x in blobs(b.column("text"))]
             yield b.filter(pa.array([x <= threshold for x in p], pa.bool_()))
 
