@@ -3,7 +3,8 @@
 1. A text's set is its distinct n-word shingles (64-bit hashes). Shingles are ordered from rare to
    frequent by a level that is a fixed function of the shingle (``repeats.Repeats.level``), then by
    hash. Two sets that link share a shingle among their first ``n - ceil(t * n) + 1`` (the prefix).
-   Prefix shingles that occur in one document only can't be shared and are left out.
+   Prefix shingles that occur in one document only can't be shared and are left out; so
+   are sets of which too few shingles occur in any other document.
 2. Rows with equal sets are one node. Nodes with the same size and prefix are one group.
 3. Groups meet on prefix shingles; group pairs must pass the length filter, the position filter and
    a bound from what their whole prefixes share, and are then expanded to nodes and verified on
@@ -54,7 +55,7 @@ def signatures(docs: DataFrame, t: Fraction, n: int) -> DataFrame:
     rows = docs.select("doc_id", "text")
     found = find_repeats(rows, ["doc_id", "text"], lambda b: _sets(b, n))
     seen = rows.sparkSession.sparkContext.broadcast(found)
-    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
+    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -64,10 +65,10 @@ def signatures(docs: DataFrame, t: Fraction, n: int) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").cast(pa.int64()), pa.array(map(zlib.crc32, blobs(b.column("text"))), pa.int64()), *(pa.array(c, x) for c, x in zip(cols, kinds, strict=True))],
-                ["doc_id", "crc", "n", "sig", "sig2", "psig", "toks", "pos"],
+                ["doc_id", "crc", "n", "most", "sig", "sig2", "psig", "toks", "pos"],
             )
 
-    schema = "doc_id long, crc long, n long, sig long, sig2 long, psig long, toks array<long>, pos array<int>"
+    schema = "doc_id long, crc long, n long, most long, sig long, sig2 long, psig long, toks array<long>, pos array<int>"
     out = rows.mapInArrow(run, schema)
     return write_table(out.withColumn("rid", F.monotonically_increasing_id()), "signatures")
 
@@ -78,11 +79,13 @@ def _signature(s: np.ndarray, seen: Repeats, t: Fraction) -> tuple:
     level = seen.level(s)
     s = s[np.lexsort((s, level))]
     head = s[: size - need + 1] if size else s
-    at = np.flatnonzero(seen.repeated(head))
-    if not len(at):
-        return size, None, None, None, None, None
+    repeated = seen.repeated(s)
+    at = np.flatnonzero(repeated[: len(head)])
+    most = int(repeated.sum())  # shingles that some other document may hold
+    if not len(at) or most * t.denominator < size * t.numerator:
+        return size, most, None, None, None, None, None
     sums = [np.bitwise_xor.reduce(s), mix(s).sum(dtype=np.uint64), mix(head).sum(dtype=np.uint64)]
-    return (size, *np.array(sums, np.uint64).view(np.int64).tolist(), head[at].view(np.int64), at.astype(np.int32))
+    return (size, most, *np.array(sums, np.uint64).view(np.int64).tolist(), head[at].view(np.int64), at.astype(np.int32))
 
 
 def _met_shingles(live: DataFrame) -> DataFrame:
@@ -109,11 +112,12 @@ def _met_shingles(live: DataFrame) -> DataFrame:
 
 
 def _may_link(t: Fraction) -> Column:
-    """Length and position filter of two groups that share a shingle (a.n, a.p, b.n, b.p)."""
+    """Length and position filter of two groups that share a shingle (n, p, and the shingles ``m`` that
+    others may hold, with a or b before)."""
     p, q = t.numerator, t.denominator
     length = (F.least("an", "bn") * q) >= (F.greatest("an", "bn") * p)
     most = 1 + F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) - 1
-    return length & ((most * (p + q)) >= ((F.col("an") + F.col("bn")) * p))
+    return length & ((F.least(most, "am", "bm") * (p + q)) >= ((F.col("an") + F.col("bn")) * p))
 
 
 MARK_BITS, MARK_SLICES = 24, 64
@@ -197,20 +201,20 @@ def _labelled(docs: DataFrame, similarity: float, n: int) -> DataFrame:
     sigs = signatures(docs, t, n)
     live = sigs.where(F.col("sig").isNotNull())
     at = F.min(F.struct("rid", "doc_id", "crc")).alias("at")
-    nodes = live.groupBy("sig", "sig2", "n", "psig").agg(at, F.min("doc_id").alias("doc"))
+    nodes = live.groupBy("sig", "sig2", "n", "psig").agg(at, F.min("doc_id").alias("doc"), F.max("most").alias("most"))
     nodes = write_table(nodes.withColumn("node", F.col("at.rid")), "nodes")
-    groups = nodes.groupBy("n", "psig").agg(F.min("node").alias("gid"))
+    groups = write_table(nodes.groupBy("n", "psig").agg(F.min("node").alias("gid"), F.max("most").alias("m")), "groups")
     members = write_table(nodes.join(groups, ["n", "psig"]).select("node", "gid"), "members")
     # One row a prefix shingle and group; a group's first node stands for it.
-    heads = write_table(_met_shingles(live).join(members.where("node = gid").select("gid"), "gid", "left_semi"), "heads")
-    meet = heads.select("gid", "n", F.explode(F.arrays_zip("toks", "pos")).alias("z")).select(
-        F.col("z.toks").alias("tok"), "gid", "n", F.col("z.pos").alias("p")
+    heads = write_table(_met_shingles(live).join(groups.select("gid", "m"), "gid"), "heads")
+    meet = heads.select("gid", "n", "m", F.explode(F.arrays_zip("toks", "pos")).alias("z")).select(
+        F.col("z.toks").alias("tok"), "gid", "n", F.col("z.pos").alias("p"), "m"
     )
     shared = meet.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("tok")
     meet = write_table(meet.join(shared, "tok", "left_semi"), "prefixes")
 
     # Round 1: each group meets the leader that it shares most shingles with, and its own nodes.
-    lead = meet.groupBy("tok").agg(F.min(F.struct("gid", "n", "p")).alias("lead"))
+    lead = meet.groupBy("tok").agg(F.min(F.struct("gid", "n", "p", "m")).alias("lead"))
     led = _against(meet.join(lead, "tok"), t).groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
     led = _enough(led.select("a", "b"), heads, t)
     inside = members.where(F.col("node") != F.col("gid")).select(F.col("gid").alias("a"), F.col("node").alias("b"))
@@ -220,7 +224,7 @@ def _labelled(docs: DataFrame, similarity: float, n: int) -> DataFrame:
 
     # Round 2: groups that are apart from some leader of theirs, chosen anew for each shingle, meet one in each such component.
     apart = _apart(meet, members, comp)
-    lead = apart.groupBy("tok").agg(F.min_by(F.struct("gid", "n", "p", "low"), F.xxhash64("tok", "gid")).alias("lead"))
+    lead = apart.groupBy("tok").agg(F.min_by(F.struct("gid", "n", "p", "m", "low"), F.xxhash64("tok", "gid")).alias("lead"))
     rows = apart.join(lead, "tok").where((F.col("low") != F.col("lead.low")) | (F.col("low") != F.col("high")))
     led = _against(rows, t, F.col("lead.low").alias("there")).groupBy("b", "there").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
     some = F.struct(F.least("a", "b"), F.greatest("a", "b"))
@@ -235,8 +239,8 @@ def _labelled(docs: DataFrame, similarity: float, n: int) -> DataFrame:
     # Round 3: all pairs that are still in different components and were not compared.
     # A pair that shares one of its first shingles is made by the first of these only.
     apart = _apart(meet, members, comp).join(heads.select("gid", F.slice("toks", 1, FIRST).alias("f")), "gid")
-    one = apart.select("tok", *[F.col(c).alias(x) for c, x in (("gid", "ga"), ("n", "an"), ("p", "ap"), ("low", "la"), ("high", "ha"), ("f", "fa"))])
-    two = apart.select("tok", *[F.col(c).alias(x) for c, x in (("gid", "gb"), ("n", "bn"), ("p", "bp"), ("low", "lb"), ("high", "hb"), ("f", "fb"))])
+    one = apart.select("tok", *[F.col(c).alias(x) for c, x in (("gid", "ga"), ("n", "an"), ("p", "ap"), ("m", "am"), ("low", "la"), ("high", "ha"), ("f", "fa"))])
+    two = apart.select("tok", *[F.col(c).alias(x) for c, x in (("gid", "gb"), ("n", "bn"), ("p", "bp"), ("m", "bm"), ("low", "lb"), ("high", "hb"), ("f", "fb"))])
     both = F.array_intersect("fa", "fb")
     differ_first = F.coalesce(F.get(both, F.lit(0)) == F.col("tok"), F.lit(True))
     differ = (F.col("la") != F.col("lb")) | (F.col("la") != F.col("ha")) | (F.col("lb") != F.col("hb"))
@@ -264,10 +268,10 @@ def _against(rows: DataFrame, t: Fraction, *more: Column) -> DataFrame:
     """Each group with the leader of each of its shingles, where they may link: (a, b, shared)."""
     lead = F.col("lead")
     pairs = rows.select(
-        lead.getField("gid").alias("a"), lead.getField("n").alias("an"), lead.getField("p").alias("ap"),
-        F.col("gid").alias("b"), F.col("n").alias("bn"), F.col("p").alias("bp"), *more,
+        lead.getField("gid").alias("a"), lead.getField("n").alias("an"), lead.getField("p").alias("ap"), lead.getField("m").alias("am"),
+        F.col("gid").alias("b"), F.col("n").alias("bn"), F.col("p").alias("bp"), F.col("m").alias("bm"), *more,
     )
-    names = [c for c in pairs.columns if c not in ("a", "b", "an", "ap", "bn", "bp")]
+    names = [c for c in pairs.columns if c not in ("a", "b", "an", "ap", "am", "bn", "bp", "bm")]
     return pairs.where((F.col("a") != F.col("b")) & _may_link(t)).groupBy("a", "b", *names).agg(F.count(F.lit(1)).alias("shared"))
 
 
