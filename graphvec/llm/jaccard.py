@@ -70,7 +70,10 @@ def signatures(docs: DataFrame, t: Fraction, n: int) -> DataFrame:
 
     schema = "doc_id long, crc long, n long, most long, sig long, sig2 long, psig long, toks array<long>, pos array<int>"
     out = rows.mapInArrow(run, schema)
-    return write_table(out.withColumn("rid", F.monotonically_increasing_id()), "signatures")
+    del found
+    written = write_table(out.withColumn("rid", F.monotonically_increasing_id()), "signatures")
+    seen.destroy()  # the table is written, nothing reads the filter again
+    return written
 
 
 def _signature(s: np.ndarray, seen: Repeats, t: Fraction) -> tuple:
@@ -163,6 +166,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, t: Fraction, n:
     found = docs.select("doc_id", "text").mapInArrow(fetch, "key long, crc long, text binary")
     found = found.join(need, ["key", "crc"]).dropDuplicates(["key", "crc"])  # repeated rows
     texts = write_table(found.select("node", "text"), "texts")
+    marks.destroy()  # the table is written, nothing reads the marks again
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, np.ndarray] = {}
