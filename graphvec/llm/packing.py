@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,9 @@ from graphvec.llm.bpe import PATTERN, byte_alphabet
 
 END_ID = 1
 MAX_LENGTH = 2048
+#: Whitespace runs from this length on do not go through tiktoken's pattern: it steps back over them and
+#: raises beyond a million characters.
+LONG_RUN = 500_000
 
 
 def cut_lengths(n: int, max_length: int = MAX_LENGTH) -> list[int]:
@@ -55,6 +59,30 @@ def tokenizer(path: str):
     return _LOADED[path]
 
 
+def encode(encoding, text: str) -> list[int]:
+    """Ids of a text, whatever the length of its whitespace runs. No pre-token looks behind or goes
+    on from other characters into a run, so a run can be taken out: it is one pre-token, without
+    its last character where other text follows (that character belongs to what follows)."""
+    if len(text) < LONG_RUN:
+        return encoding.encode(text, allowed_special="all")
+    run_of = regex.compile(rf"(?<!\s)\s{{{LONG_RUN},}}")
+    if not run_of.search(text):
+        return encoding.encode(text, allowed_special="all")
+    added = sorted(encoding.special_tokens_set, key=len, reverse=True)
+    out: list[int] = []
+    for part in regex.split("(" + "|".join(map(regex.escape, added)) + ")", text) if added else [text]:
+        if part in encoding.special_tokens_set:
+            out.append(encoding.encode_single_token(part))
+            continue
+        at = 0
+        for run in run_of.finditer(part):
+            out += encoding.encode_ordinary(part[at : run.start()])
+            at = run.end() if run.end() == len(part) else run.end() - 1
+            out += encoding._encode_single_piece(part[run.start() : at])
+        out += encoding.encode_ordinary(part[at:])
+    return out
+
+
 def pack(docs: DataFrame, path: str, *, max_length: int = MAX_LENGTH, end_id: int = END_ID, digest: bool = False) -> DataFrame:
     """``(doc_id, start, length, doc_tokens, ids, sequence_id, offset)``, one row a piece;
     ``length`` names the bucket. With ``digest`` the ids are replaced by ``ids_crc32``, the CRC-32
@@ -63,13 +91,13 @@ def pack(docs: DataFrame, path: str, *, max_length: int = MAX_LENGTH, end_id: in
     last = ("ids_crc32", "long") if digest else ("ids", "array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path)
+        encoding = tokenizer(path)
         for b in batches:
             ids_of = b.column("doc_id").cast(pa.int64()).to_pylist()
             cols: list[list] = [[], [], [], [], []]
             held = 0
             for doc_id, text in zip(ids_of, b.column("text"), strict=True):
-                ids = np.array([*encode.encode(text.as_py() or "", allowed_special="all"), end_id], dtype="<u4")
+                ids = np.array([*encode(encoding, text.as_py() or ""), end_id], dtype="<u4")
                 at = 0
                 for n in cut_lengths(len(ids), max_length):
                     piece = ids[at : at + n]

@@ -107,6 +107,32 @@ def test_pack_covers_every_id(documents, tokenizer_path):
     assert sums == sorted((r.doc_id, r.start, r.ids_crc32) for r in digest)
 
 
+LONG = 1_001_000
+
+
+@pytest.mark.parametrize("run", [" " * LONG, "\n" * LONG, " \n\t\u2003\u00a0" * (LONG // 5)], ids=["spaces", "newlines", "mixed"])
+def test_pack_of_very_long_whitespace(tokenizer_path, run):
+    """tiktoken's own pattern raises on these; the ids are the library's."""
+    theirs, encoding = Tokenizer.from_file(tokenizer_path), packing.tokenizer(tokenizer_path)
+    for text in [run, "a b" + run, run + "b c", f"don't {run}'s x{run}<|endoftext|>{run}12<|endoftext|> y"]:
+        assert packing.encode(encoding, text) == theirs.encode(text, add_special_tokens=False).ids
+
+
+def test_pack_cuts_whitespace_runs_anywhere(tokenizer_path, monkeypatch):
+    monkeypatch.setattr(packing, "LONG_RUN", 2)
+    theirs, encoding = Tokenizer.from_file(tokenizer_path), packing.tokenizer(tokenizer_path)
+    for text in [*ODD, "a  b   \n c\t\t1 \x1c \x85\u200b  !", "  <|endoftext|>   x<|endoftext|>  "]:
+        assert packing.encode(encoding, text or "") == theirs.encode(text or "", add_special_tokens=False).ids
+
+
+def test_pack_rows_of_very_long_whitespace(documents, tokenizer_path):
+    text = "a" + " " * LONG + "b"
+    rows = packing.pack(documents([(1, text), (2, "x")]), tokenizer_path).collect()
+    ids = [*Tokenizer.from_file(tokenizer_path).encode(text, add_special_tokens=False).ids, 1]
+    found = sorted((r for r in rows if r.doc_id == 1), key=lambda r: r.start)
+    assert [x for r in found for x in r.ids] == ids and sum(r.doc_id == 2 for r in rows) == 1
+
+
 def test_buckets_on_disk(spark, documents, tokenizer_path, tmp_path):
     pieces = packing.pack(documents([(1, "a b c d e f g"), (2, "a")]), tokenizer_path)
     packing.write_buckets(pieces, str(tmp_path / "buckets"))
