@@ -36,7 +36,7 @@ from graphvec.session import write_table
 #: Statistic -> floor of its standard deviation. log mean word length; square roots of the
 #: shares of symbols by word, of repeated lines, of words in repeated 3-word windows, of capitals and of
 #: ASCII punctuation by character.
-VECTOR = {"len": 0.05, "symbols": 0.08, "lines": 0.2, "repeats": 0.15, "capitals": 0.06, "marks": 0.05}
+VECTOR = {"len": 0.05, "symbols": 0.08, "lines": 0.13, "repeats": 0.14, "capitals": 0.06, "marks": 0.05}
 CORE, STEPS, LEAST, ALPHA = 0.75, 4, 200, 1e-7
 P = len(VECTOR)
 _CAPITALS = bytes(range(65, 91))

@@ -122,6 +122,21 @@ def test_quality_base_and_outliers(documents):
     assert not any(r.kept for r in got if r.base_failed)
 
 
+def test_quality_repeated_lines_alone(documents):
+    """A text whose lines are nearly all copies, of few words beside a long line, is an outlier by its lines alone."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, "en", rng.randint(80, 200)), "en", "s") for i in range(400)]
+    odd = prose(rng, "en", 6_000).replace("\n", " ") + "".join(f"\n{prose(rng, 'en', 1)}" for _ in range(2)) + f"\n{prose(rng, 'en', 1)}" * 300
+    got = {r.doc_id: r for r in quality.verdicts(documents([*rows, (900, odd, "en", "s")])).collect()}
+    assert got[900].n_dup_lines >= 299 and not got[900].base_failed and not got[900].kept
+    assert np.mean([got[i].kept for i in range(400)]) > 0.995
+
+
+@pytest.mark.parametrize("name", quality.VECTOR)
+def test_quality_each_statistic_can_pass_the_cut(name):
+    assert 1 / quality.VECTOR[name] ** 2 > quality.chi2_quantile(1 - quality.ALPHA, quality.P)
+
+
 def test_quality_estimate_against_plain_steps(spark):
     """One group: the same concentration steps in numpy, on whole bins as documented."""
     rng = np.random.default_rng(0)
