@@ -4,10 +4,9 @@ Seeds: k-word hashes, winnowed: of every ``window - k + 1`` consecutive ones the
 of equals) is an anchor. Equal passages of ``window`` words choose the same anchor, so passages that
 repeat share one. Anchors that occur once in the corpus drop out (``repeats.find_repeats``).
 
-Extension: each window of ``window`` words belongs to the anchor it chose. Around a seed a match
-extends to the left and right word by word as long as the windows there agree with an earlier
-occurrence of the seed; windows are compared by 64 bits of their own hash and 32 bits of the
-anchor's. Documents meet on anchors: all windows of an anchor go to the block of its hash, where
+Window hashes replace the extension: each window of ``window`` words belongs to the anchor it chose, and
+no words are compared to the left or right of a seed. Windows are compared by 64 bits of their own hash and
+32 bits of the anchor's. Windows meet in blocks of anchors: all windows of an anchor go to the block of its hash, where
 the earliest occurrence of each window is known and the others are repeats. Adjacent repeats are
 merged into maximal spans.
 
