@@ -198,10 +198,40 @@ def join_components(docs: DataFrame, *, similarity: float = SIMILARITY, n: int =
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least_doc", "doc_id").alias("component_id"))
 
 
-def _labelled(docs: DataFrame, similarity: float, n: int) -> DataFrame:
+def similarity_links(docs: DataFrame, *, similarity: float = SIMILARITY, n: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """The join's result, where ``join_components`` asks for reachability only: ``(a, b)``, every pair of
+    classes of equal sets that reaches the similarity, and ``(rid, doc_id, n_shingles, node)``, the class of each row. A class
+    is named by the smallest rid of its rows. Rows of one class (with shingles) link too. All candidate
+    pairs are compared, so the work grows with the links of a group of near copies."""
+    t = _fraction(similarity)
+    sigs, nodes, members, heads, meet = _candidates(docs, t, n)
+    meet = meet.join(heads.select("gid", F.slice("toks", 1, FIRST).alias("f")), "gid")
+    one = meet.select("tok", *[F.col(c).alias(x) for c, x in (("gid", "ga"), ("n", "an"), ("p", "ap"), ("m", "am"), ("f", "fa"))])
+    two = meet.select("tok", *[F.col(c).alias(x) for c, x in (("gid", "gb"), ("n", "bn"), ("p", "bp"), ("m", "bm"), ("f", "fb"))])
+    made_first = F.coalesce(F.get(F.array_intersect("fa", "fb"), F.lit(0)) == F.col("tok"), F.lit(True))
+    met = one.join(two, "tok").where((F.col("ga") < F.col("gb")) & _may_link(t) & made_first)
+    met = _enough(met.select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct(), heads, t)
+    met = met.select(F.col("a").alias("ga"), F.col("b").alias("gb"))
+    own = members.select(F.col("gid").alias("ga"), F.col("gid").alias("gb")).distinct()
+    a = members.select(F.col("gid").alias("ga"), F.col("node").alias("a"))
+    b = members.select(F.col("gid").alias("gb"), F.col("node").alias("b"))
+    pairs = met.unionByName(own).join(a, "ga").join(b, "gb").where((F.col("ga") != F.col("gb")) | (F.col("a") < F.col("b")))
+    pairs = write_table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
+    links = write_table(_verify(pairs, nodes, docs, t, n), "linked")
+    keys = ["sig", "sig2", "n", "psig"]
+    rows = sigs.select("rid", "doc_id", *keys).join(nodes.select(*keys, "node"), keys, "left")
+    return links, rows.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("node", "rid").alias("node"))
+
+
+def _fraction(similarity: float) -> Fraction:
     t = Fraction(similarity).limit_denominator(10_000)
     if not 0 < t <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
+    return t
+
+
+def _candidates(docs: DataFrame, t: Fraction, n: int) -> tuple[DataFrame, ...]:
+    """Signatures, nodes, members of groups, prefixes of groups, and a row for each prefix shingle that groups share."""
     sigs = signatures(docs, t, n)
     live = sigs.where(F.col("sig").isNotNull())
     at = F.min(F.struct("rid", "doc_id", "crc")).alias("at")
@@ -215,7 +245,12 @@ def _labelled(docs: DataFrame, similarity: float, n: int) -> DataFrame:
         F.col("z.toks").alias("tok"), "gid", "n", F.col("z.pos").alias("p"), "m"
     )
     shared = meet.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("tok")
-    meet = write_table(meet.join(shared, "tok", "left_semi"), "prefixes")
+    return sigs, nodes, members, heads, write_table(meet.join(shared, "tok", "left_semi"), "prefixes")
+
+
+def _labelled(docs: DataFrame, similarity: float, n: int) -> DataFrame:
+    t = _fraction(similarity)
+    sigs, nodes, members, heads, meet = _candidates(docs, t, n)
 
     # Round 1: each group meets the leader that it shares most shingles with, and its own nodes.
     lead = meet.groupBy("tok").agg(F.min(F.struct("gid", "n", "p", "m")).alias("lead"))

@@ -139,3 +139,32 @@ def test_repeats_lose_none(spark):
     assert seen.repeated(values[400:].astype(np.uint64)).mean() < 0.01
     assert (seen.level(often.astype(np.uint64)) >= 6).all()
     assert (seen.level(values[400:].astype(np.uint64)) == 0).mean() > 0.99
+
+
+def test_similarity_links_against_all_pairs(documents):
+    """Every linked pair, those inside a component too."""
+    rng, rows = random.Random(11), []
+    for family in range(6):
+        base = [f"w{rng.randrange(3000)}" for _ in range(60)]
+        for _ in range(12):
+            text = list(base)
+            for _ in range(rng.randint(0, 3)):
+                text[rng.randrange(60)] = f"x{rng.randrange(3000)}"
+            rows.append((len(rows), " ".join(text)))
+    rows += [(200, None), (201, ""), (202, "a b"), (203, "a  B"), (204, rows[0][1]), (None, rows[13][1] + " tail")]
+
+    def brute(text):
+        w = (text or "").lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
+
+    links, member = jaccard.similarity_links(documents(rows))
+    sets = {i: brute(t) for i, t in rows}
+    classes = {}
+    for r in member.collect():
+        assert r.n_shingles == len(sets[r.doc_id])
+        assert classes.setdefault(r.node, sets[r.doc_id]) == sets[r.doc_id]
+    live = {s for s in sets.values() if s}
+    assert sorted(map(len, (s for s in classes.values() if s))) == sorted(map(len, live))
+    got = [frozenset((classes[r.a], classes[r.b])) for r in links.collect()]
+    want = {frozenset((x, y)) for x in live for y in live if x != y and 100 * len(x & y) >= 75 * len(x | y)}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
