@@ -31,7 +31,20 @@ BYTES_PER_PARTITION = 256 * 1024 * 1024
 MAX_PARTITIONS = 100_000
 
 
+_NARROW = {"Project", "Filter"}
+
+
+def _scan_only(df: DataFrame) -> bool:
+    """Is ``df`` a filter or projection of files?"""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in _NARROW:
+        node = node.children().head()
+    return node.children().isEmpty() and "Relation" in node.nodeName()
+
+
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
+    """Partitions for a frame that reads files: Catalyst's estimate is then the files' size. (Over a
+    join it is the product of both sides.)"""
     if num_partitions:
         return int(num_partitions)
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -57,6 +70,9 @@ def index_within(
     a retry.
     """
     keys = [key] if key else []
+    if not _scan_only(df):
+        # A range partitioner reads its input twice (sample, sort), and only files have a known size.
+        df = write_table(df, "unranked")
     n = _partitions(df, num_partitions)
     sort_cols = [*keys, *order]
     tagged = write_table(

@@ -14,7 +14,7 @@ Design for scale:
   * a walker at ``v`` drawing ``k`` joins on the single key
     ``slot = first(v) + k`` (see ``graph.WalkGraph``): a hub's walkers spread
     over its slots and no neighbour array is ever copied;
-  * two plans, chosen by the caller; both give the same walks:
+  * three plans, chosen by the caller; all give the same walks:
     - ``shuffle`` (default): walker state is four numbers plus the positions of
       the current chunk. Each step joins walkers and slots on ``slot``; the hash
       table is built from the slots (unique keys), the walkers stream through.
@@ -22,6 +22,8 @@ Design for scale:
       walkers, and the slots' shuffle is reused by the steps of a job. Every
       ``chunk_steps`` steps the walkers are written; a walk is assembled from
       its few chunk rows.
+    - ``auto``: the same steps without a hint, so Spark broadcasts a slot table
+      that its own estimate says is small enough and shuffles any other.
     - ``broadcast``: only on request and only if the slot table passes the size
       check. Steps are chained broadcast joins in one stage; every
       ``chunk_steps`` steps the walkers are written to bound plan size and
@@ -43,23 +45,17 @@ SLOT_ROW_BYTES = 64
 DEFAULT_BROADCAST_LIMIT = 256 * 1024 * 1024
 
 
-def walk_seeds(
-    graph: WalkGraph, walks_per_vertex: int, *, num_partitions: int | None = None, spread: bool = False
-) -> DataFrame:
+def walk_seeds(graph: WalkGraph, walks_per_vertex: int, *, num_partitions: int | None = None) -> DataFrame:
     """``(start, walk_no, first, deg)`` for every vertex with an out-edge.
 
-    With ``spread`` the vertices (not the walkers) are first dealt to
-    ``num_partitions`` (default: shuffle partitions, at least one for
-    ``ROWS_PER_PARTITION`` walkers): where no step shuffles, a vertex table in one small
-    file would run every walk in one task.
+    The vertices (not the walkers) are first dealt to ``num_partitions`` (default: shuffle
+    partitions, at least one for ``ROWS_PER_PARTITION`` walkers): a vertex table in one small file
+    would otherwise start every walk in one task, and where no step shuffles also end it there.
     """
     if walks_per_vertex <= 0:
         raise ValueError("walks_per_vertex must be positive")
-    starts = graph.starts
-    if spread:
-        n = partitions_for(starts.sparkSession, graph.num_starts * walks_per_vertex, num_partitions)
-        starts = starts.repartition(n, "vertex")
-    return starts.select(
+    n = partitions_for(graph.starts.sparkSession, graph.num_starts * walks_per_vertex, num_partitions)
+    return graph.starts.repartition(n, "vertex").select(
         F.col("vertex").alias("start"),
         F.explode(F.sequence(F.lit(0), F.lit(walks_per_vertex - 1))).alias("walk_no"),
         "first",
@@ -116,9 +112,9 @@ def _broadcast_walks(
 
 
 def walk_chunks(
-    graph: WalkGraph, *, length: int, walks_per_vertex: int, seed: int, chunk_steps: int = 20
+    graph: WalkGraph, *, length: int, walks_per_vertex: int, seed: int, chunk_steps: int = 20, hint: bool = True
 ) -> DataFrame:
-    """Shuffle plan: ``(start, walk_no, step0, path)``, a walker's positions from
+    """Shuffle plan (without ``hint`` Spark chooses the join): ``(start, walk_no, step0, path)``, a walker's positions from
     ``step0`` on, at most ``chunk_steps`` (plus the start) in a row.
 
     ``chunk_steps`` shuffled steps run in one job and each chunk is written once.
@@ -130,7 +126,8 @@ def walk_chunks(
     spark = graph.slots.sparkSession
     base = scratch_path(spark, "walk_chunks")
     # the hash table is built from the slots: unique keys, while walkers may pile up on one
-    slots = graph.slots.select("slot", "dst", "dst_first", "dst_degree").hint("shuffle_hash")
+    slots = graph.slots.select("slot", "dst", "dst_first", "dst_degree")
+    slots = slots.hint("shuffle_hash") if hint else slots
     empty = F.array().cast("array<bigint>")
 
     def save(df: DataFrame, chunk: int) -> DataFrame:
@@ -168,8 +165,8 @@ def random_walks(
     """``(start, walk_no, walk ARRAY<BIGINT>)`` of full-length walks.
 
     ``graph`` comes from ``graph.walk_graph(edges)``. ``strategy`` is
-    ``shuffle`` or ``broadcast`` (which raises over ``broadcast_limit_bytes``);
-    both give the same walks for the same seed.
+    ``shuffle``, ``auto`` or ``broadcast`` (which raises over ``broadcast_limit_bytes``);
+    all give the same walks for the same seed.
     """
     if length <= 0:
         raise ValueError("length must be positive")
@@ -180,10 +177,11 @@ def random_walks(
     if strategy == "broadcast":
         check_broadcast(graph, broadcast_limit_bytes)
         return _broadcast_walks(graph, length, walks_per_vertex, seed, chunk_steps)
-    if strategy != "shuffle":
+    if strategy not in ("shuffle", "auto"):
         raise ValueError(f"unknown strategy {strategy!r}")
     chunks = walk_chunks(
-        graph, length=length, walks_per_vertex=walks_per_vertex, seed=seed, chunk_steps=chunk_steps
+        graph, length=length, walks_per_vertex=walks_per_vertex, seed=seed, chunk_steps=chunk_steps,
+        hint=strategy == "shuffle",
     )
     walk = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("step0", "path"))), lambda x: x["path"]))
     return (

@@ -14,7 +14,3 @@ def spark(tmp_path_factory):
     s = local_session("*", shuffle_partitions=8, extra={"spark.checkpoint.dir": str(folder)})
     yield s
     drop_scratch(s)
-
-
-def edges_df(spark, pairs):
-    return spark.createDataFrame([(int(a), int(b)) for a, b in pairs], "src bigint, dst bigint")

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import edges_df
+from graph_helpers import edges_df
 from graphvec.operators import graph, ranking
 
 

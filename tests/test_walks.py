@@ -2,7 +2,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from conftest import edges_df
+from graph_helpers import edges_df
 from graphvec.operators import graph, walks, visits
 from graphvec.session import write_table
 
@@ -156,3 +156,37 @@ def test_empty_graph_gives_no_walks(spark):
     assert g.num_slots == 0 and g.num_starts == 0
     for strategy in ("broadcast", "shuffle"):
         assert walks.random_walks(g, length=4, walks_per_vertex=2, seed=1, strategy=strategy).count() == 0
+
+
+def test_registered_walk_query_needs_no_broadcast(spark, monkeypatch):
+    """Every registered walk query but the one that leaves the join to Spark runs where a broadcast is impossible."""
+    from graphvec.plans import queries
+
+    seen = []
+    real = walks.random_walks
+
+    def small(graph, **kw):
+        seen.append(kw.get("strategy"))
+        return real(graph, **{**kw, "broadcast_limit_bytes": 1})
+
+    monkeypatch.setattr(queries.walks, "random_walks", small)
+    assert queries.q_visit_histogram(spark, "/root/testdata/sf0.001").count() > 0
+    assert queries.q_walks_multi(spark, "/root/testdata/sf0.001").count() > 0
+    assert seen == ["shuffle", "auto"]
+
+
+@pytest.mark.parametrize("strategy", ["auto", "broadcast", "shuffle"])
+def test_walkers_are_spread_from_the_start(spark, strategy):
+    g, w = _walks(spark, [(i, (i * 7 + 3) % 500) for i in range(500)], length=4, walks_per_vertex=2, seed=1, strategy=strategy)
+    assert walks.walk_seeds(g, 2).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert w.count() == 1000
+
+
+def test_partitions_come_from_written_sizes(spark):
+    from graphvec.operators import ranking
+
+    a = spark.range(20_000).withColumnRenamed("id", "x")
+    wide = a.join(a.selectExpr("x", "x + 1 as y"), "x")
+    assert ranking._partitions(write_table(wide, "wide"), None) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert not ranking._scan_only(wide) and ranking._scan_only(write_table(wide, "wide").where("y > 3").select("y"))
+    assert [r["idx"] for r in ranking.global_index(wide.where("x < 5"), ["x"]).orderBy("x").collect()] == [0, 1, 2, 3, 4]
