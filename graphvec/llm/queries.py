@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphvec.llm import bpe, jaccard, langid, packing, quality, substring, toxicity, url_filter, vptree, warc
+from graphvec.llm import bpe, divergence, jaccard, langid, packing, quality, substring, toxicity, url_filter, vptree, warc
 from graphvec.session import scratch_path, write_table
 
 #: Vocabulary file of the tokenizing queries.
@@ -191,3 +191,48 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     found = write_table(warc.read_records(warc.read_chunks(spark, path)), "warc_records")
     return warc.resolve_revisits(found)
+
+
+_OP13_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS rid,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), t AS (
+  SELECT lang, source, rid, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS held FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 30
+), l AS (
+  SELECT lang, count(*) AS v, sum(held) AS n FROM kept GROUP BY lang
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term
+), gn AS (
+  SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source
+), p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (coalesce(gn.n, 0) + 5 * l.v) AS p,
+    1 + 1000000000::HUGEINT * (kept.held + 5) // (l.n + 5 * l.v) AS q
+  FROM g JOIN l ON l.lang = g.lang JOIN kept ON kept.lang = g.lang
+  LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), found AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), both_parts AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(found.value, 0) AS value
+  FROM g JOIN g h ON h.lang = g.lang AND h.source <> g.source
+  LEFT JOIN found ON found.lang = g.lang AND found.source = g.source AND found.item = h.source
+  UNION ALL
+  SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@register("op13_divergence_cube", _OP13_SQL)
+def op13_divergence_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
