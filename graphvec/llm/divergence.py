@@ -134,7 +134,9 @@ def _cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         first += [name] * (len(others) - start)
         second += others[start:]
         value.append(np.abs(b[start:] - a[i]).sum(axis=1))
-    return pd.DataFrame({"lang": lang, "a": first, "b": second, "value": np.concatenate(value) if value else np.zeros(0, np.int64)})
+    # object columns: an empty frame of strings has none of the chunks that Arrow asks for
+    text = {c: pd.Series(x, dtype=object) for c, x in (("lang", [lang] * len(first)), ("a", first), ("b", second))}
+    return pd.DataFrame({**text, "value": np.concatenate(value) if value else np.zeros(0, np.int64)})
 
 
 def prepare(docs: DataFrame, *, least_docs: int = LEAST_DOCS, group_block: int = GROUP_BLOCK, term_block: int = TERM_BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
