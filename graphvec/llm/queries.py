@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphvec.llm import bpe, divergence, jaccard, langid, packing, quality, substring, toxicity, url_filter, vptree, warc
+from graphvec.llm import alignment, bpe, divergence, jaccard, langid, packing, quality, substring, toxicity, url_filter, vptree, warc
 from graphvec.session import scratch_path, write_table
 
 #: Vocabulary file of the tokenizing queries.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Model file that alignment sets against it.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Host and path rules of op1 (fixed values).
 URL_RULES = [
     ("allow", "com", "/"),
@@ -236,3 +238,8 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank F
 @register("op13_divergence_cube", _OP13_SQL)
 def op13_divergence_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@register("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)[0]
