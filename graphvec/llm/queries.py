@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphvec.llm import alignment, bpe, divergence, jaccard, langid, packing, quality, substring, toxicity, url_filter, vptree, warc
+from graphvec.llm import alignment, bpe, divergence, jaccard, langid, language_model, packing, quality, substring, toxicity, url_filter, vptree, warc
 from graphvec.session import scratch_path, write_table
 
 #: Vocabulary file of the tokenizing queries.
@@ -243,3 +243,8 @@ def op13_divergence_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_alignment")
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)[0]
+
+
+@register("op11_recurrent_lm")
+def op11_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
