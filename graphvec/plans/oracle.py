@@ -10,12 +10,15 @@ from graphvec.plans.queries import (
     DIRECTED_WALKS,
     MIN_COUNT,
     SEED,
+    SEGMENT_BLOCK,
     SENTENCE,
     SPLIT_SEED,
     TOP_K,
     WALK_LENGTH,
+    WALKS_PER_VERTEX,
     WINDOW,
 )
+from graphvec.operators import segments
 
 _DRAW = "('0x' || substr(md5({key}), 1, 15))::BIGINT"
 
@@ -91,6 +94,45 @@ def _with(*parts: str) -> str:
     return "WITH RECURSIVE " + ",".join(parts) + "\n"
 
 
+def _segment_cte() -> str:
+    """Segment doubling, round by round; the last table is ``seg<rounds>``."""
+    lengths = segments.head_lengths(WALK_LENGTH - 1)
+    top, unit, block = len(lengths) - 1, segments.UNIT, SEGMENT_BLOCK
+    parts = [f"push0 AS (SELECT src AS vertex, degree, {WALKS_PER_VERTEX * unit} AS a0 FROM deg)"]
+    for k in (1, 2, 3):
+        given = ", ".join(f"p.a{i}" for i in range(k))
+        parts.append(
+            f"push{k} AS (SELECT p.vertex, p.degree, {given}, coalesce(s.x, 0)::BIGINT AS a{k} FROM push{k - 1} p LEFT JOIN "
+            f"(SELECT e.dst, sum(q.a{k - 1} // q.degree) AS x FROM e JOIN push{k - 1} q ON q.vertex = e.src GROUP BY e.dst) s ON s.dst = p.vertex)"
+        )
+    c, columns = f"a0 // {unit}", []
+    for i, weights in reversed(list(enumerate([*segments.tail_weights(lengths, WALKS_PER_VERTEX), None]))):
+        if weights:
+            c += " + (" + " + ".join(f"{w} * a{k}" for k, w in enumerate(weights)) + f") // {1000 * unit} + {segments.ADDED}"
+        columns.append(f"({c})::BIGINT AS c{i}")
+    parts.append(f"sup AS (SELECT vertex, degree, {', '.join(columns)} FROM push3)")
+    count = lambda i, t="": f"greatest(({t}c{i} - {t}c{i + 1} + {block - 1}) // {block}, 1)"
+    role = " ".join(f"WHEN j >= c{i + 1} THEN {i}" for i in range(top))
+    part = " ".join(f"WHEN j >= c{i + 1} THEN (j - c{i + 1}) % {count(i)}" for i in range(top))
+    draw = _DRAW.format(key=f"'{SEED}|segment|' || vertex || '|' || j")
+    parts.append(f"one AS (SELECT *, CASE {role} ELSE {top} END AS role, CASE {part} ELSE 0 END AS part FROM (SELECT *, unnest(range(c0)) AS j FROM sup))")
+    parts.append(f"seg0 AS (SELECT vertex AS start, j, role, part, [ei.dst] AS path FROM one JOIN ei ON ei.src = vertex AND ei.idx = {draw} % degree)")
+    for i in range(top):
+        drawn = _DRAW.format(key=f"'{SEED}|part|' || start || '|' || j || '|{i}'")
+        parts.append(
+            f"spot{i} AS (SELECT s.*, role = {i} AS tail, CASE WHEN role = {i} THEN start ELSE path[-1] END AS spot, "
+            f"CASE WHEN role = {i} THEN part WHEN u.vertex IS NULL THEN 0 ELSE {drawn} % {count(i, 'u.')} END AS part_at "
+            f"FROM seg{i} s LEFT JOIN sup u ON u.vertex = path[-1])"
+        )
+        parts.append(f"place{i} AS (SELECT *, row_number() OVER (PARTITION BY spot, part_at, tail ORDER BY start, j) AS place FROM spot{i})")
+        parts.append(
+            f"seg{i + 1} AS (SELECT h.start, h.j, h.role, h.part, CASE WHEN t.path IS NULL THEN h.path ELSE (h.path || t.path)[1:{lengths[i + 1]}] END AS path "
+            f"FROM place{i} h LEFT JOIN place{i} t ON t.tail AND t.spot = h.spot AND t.part_at = h.part_at AND t.place = h.place WHERE NOT h.tail)"
+        )
+    return ",\n".join(parts)
+
+
+_ROUNDS = len(segments.head_lengths(WALK_LENGTH - 1)) - 1
 _W1 = _walk_cte(1)
 _W2 = _walk_cte(2)
 _F1 = "CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END"
@@ -116,6 +158,10 @@ ORACLE: dict[str, str] = {
         "e AS (SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem),\n" + _DIRECTED, _walk_cte(DIRECTED_WALKS, DIRECTED_LENGTH)
     )
     + f"SELECT start, walk_no, array_to_string(walk, ' ') AS walk FROM walks{DIRECTED_WALKS}",
+    "walk_segments": _with(_GRAPH, _segment_cte())
+    + f"SELECT start, j AS walk_no, len(path) AS steps, array_to_string(path, ' ') AS path FROM seg{_ROUNDS}",
+    "walks_doubled": _with(_GRAPH)
+    + f"SELECT src AS start, r.walk_no AS walk_no, {WALK_LENGTH}::BIGINT AS vertices, true AS along_edges FROM deg, range({WALKS_PER_VERTEX}) r(walk_no)",
     "visit_counts": _with(_GRAPH, _W2, _VISITS) + "SELECT vertex, visits FROM vc",
     "visit_histogram": _with(_GRAPH, _W2, _VISITS) + "SELECT number_of_visits, number_of_vertices FROM hist",
     "visit_loglog": _with(_GRAPH, _W2, _VISITS)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphvec.functions.vectors import cosine, rounded
-from graphvec.operators import corpus, evaluate, graph, similarity, visits, walks
+from graphvec.operators import corpus, evaluate, graph, segments, similarity, visits, walks
 from graphvec.sources import tables
 from graphvec.sinks import writers
 from graphvec.sources import text
@@ -43,6 +43,7 @@ SENTENCE = 7
 ADJACENCY_CHUNK = 100
 DIRECTED_LENGTH = 3
 DIRECTED_WALKS = 20
+SEGMENT_BLOCK = 100
 
 
 def _norm(df: DataFrame) -> DataFrame:
@@ -169,6 +170,26 @@ def q_walks_directed(spark, sf):
     return _norm(w.select("start", "walk_no", _text("walk").alias("walk")))
 
 
+def q_walk_segments(spark, sf):
+    """Walks by segment doubling, as far as the segments set aside suffice (blocks of 100 tails, so that the hubs are
+    paired in parts)."""
+    g = _walk_graph(spark, sf)
+    starts = g.starts.select("vertex", F.lit(WALKS_PER_VERTEX).cast("long").alias("n"))
+    s = segments.walk_segments(g, starts, steps=WALK_LENGTH - 1, walks=WALKS_PER_VERTEX, seed=SEED, block=SEGMENT_BLOCK)
+    return _norm(s.select("start", F.col("j").alias("walk_no"), F.size("path").alias("steps"), _text("path").alias("path")))
+
+
+def q_walks_doubled(spark, sf):
+    """The finished walks of segment doubling: for each its vertices, and whether every step is an edge."""
+    g = _walk_graph(spark, sf)
+    w = write_table(segments.doubled_walks(g, length=WALK_LENGTH, walks_per_vertex=WALKS_PER_VERTEX, seed=SEED), "doubled")
+    at = F.explode(F.sequence(F.lit(1), F.size("walk") - 1))
+    steps = w.withColumn("i", at).select("start", "walk_no", F.get("walk", F.col("i") - 1).alias("src"), F.get("walk", F.col("i")).alias("dst"))
+    known = steps.join(g.slots.select("src", "dst").distinct(), ["src", "dst"]).groupBy("start", "walk_no").agg(F.count(F.lit(1)).alias("hits"))
+    out = w.join(known, ["start", "walk_no"], "left")
+    return _norm(out.select("start", "walk_no", F.size("walk").alias("vertices"), (F.col("hits") == F.size("walk") - 1).alias("along_edges")))
+
+
 def q_visit_counts(spark, sf):
     return visits.visit_counts(_walks(spark, sf))
 
@@ -464,6 +485,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "walks_multi": q_walks_multi,
     "walks_multi_shuffle": q_walks_multi_shuffle,
     "walks_directed": q_walks_directed,
+    "walk_segments": q_walk_segments,
+    "walks_doubled": q_walks_doubled,
     "visit_counts": q_visit_counts,
     "visit_histogram": q_visit_histogram,
     "visit_loglog": q_visit_loglog,
