@@ -319,6 +319,8 @@ res AS (SELECT p, shuffle, {_F1} AS micro, macro FROM per)""",
     "count(*) AS shuffles FROM res GROUP BY p",
     "embed_vectors": _with(_GRAPH, _W2, _CORPUS)
     + "SELECT word, CAST(16 AS BIGINT) AS dim, true AS finite, true AS two_steps_closer FROM vocab",
+    "block_vectors": _with(_GRAPH, _W2, _CORPUS)
+    + "SELECT word, CAST(16 AS BIGINT) AS dim, true AS finite, true AS two_steps_closer FROM vocab",
     "factorized_vectors": _with(_GRAPH, _W2, _CORPUS)
     + "SELECT word, CAST(16 AS BIGINT) AS dim, true AS finite, true AS two_steps_closer FROM vocab",
     "evaluation_grid": _with(

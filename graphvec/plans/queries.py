@@ -458,6 +458,11 @@ def q_embed_vectors(spark, sf):
     return _trained(spark, sf, "skipgram")
 
 
+def q_block_vectors(spark, sf):
+    """The same checks for vectors trained in four blocks of words."""
+    return _trained(spark, sf, "blocks")
+
+
 def q_factorized_vectors(spark, sf):
     """The same checks for vectors factorised from co-occurrence counts."""
     return _trained(spark, sf, "factorize")
@@ -523,6 +528,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "f1_scores": q_f1_scores,
     "f1_mean": q_f1_mean,
     "embed_vectors": q_embed_vectors,
+    "block_vectors": q_block_vectors,
     "factorized_vectors": q_factorized_vectors,
     "evaluation_grid": q_evaluation_grid,
 }
