@@ -25,12 +25,10 @@ none). Repeated rows share a component. Empty tables give no rows; extra columns
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,8 +50,8 @@ def signatures(docs: DataFrame, t: Fraction, n: int) -> DataFrame:
     """One written row a document: doc_id, text checksum, n, and for those that share a prefix
     shingle with another the signatures of the set and of its prefix, and the prefix shingles that
     are shared, with their positions."""
-    rows = docs.select("doc_id", "text")
-    found = find_repeats(rows, ["doc_id", "text"], lambda b: _sets(b, n))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _crc().alias("crc"), "text")
+    found = find_repeats(docs.select("text"), ["text"], lambda b: _sets(b, n))
     seen = rows.sparkSession.sparkContext.broadcast(found)
     kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
 
@@ -64,7 +62,7 @@ def signatures(docs: DataFrame, t: Fraction, n: int) -> DataFrame:
                 for c, v in zip(cols, _signature(s, seen.value, t), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array(map(zlib.crc32, blobs(b.column("text"))), pa.int64()), *(pa.array(c, x) for c, x in zip(cols, kinds, strict=True))],
+                [b.column("doc_id"), b.column("crc"), *(pa.array(c, x) for c, x in zip(cols, kinds, strict=True))],
                 ["doc_id", "crc", "n", "most", "sig", "sig2", "psig", "toks", "pos"],
             )
 
@@ -111,7 +109,10 @@ def _met_shingles(live: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("gid"), b.column("n"), pa.array(toks, pa.list_(pa.int64())), pa.array(pos, pa.list_(pa.int32()))], ["gid", "n", "toks", "pos"])
 
     rows = live.select(F.col("rid").alias("gid"), "n", "toks", "pos")
-    return rows.mapInArrow(run, "gid long, n long, toks array<long>, pos array<int>").where(F.size("toks") > 0)
+    met = rows.mapInArrow(run, "gid long, n long, toks array<long>, pos array<int>").where(F.size("toks") > 0)
+    met = write_table(met, "met")
+    seen.destroy()  # the table is written, nothing reads the filter again
+    return met
 
 
 def _may_link(t: Fraction) -> Column:
@@ -123,73 +124,38 @@ def _may_link(t: Fraction) -> Column:
     return length & ((F.least(most, "am", "bm") * (p + q)) >= ((F.col("an") + F.col("bn")) * p))
 
 
-MARK_BITS, MARK_SLICES = 24, 64
 #: Prefix shingles of a group that tell which of the shared ones makes a pair.
 FIRST = 8
 #: What a null doc_id is fetched by.
 NULL_KEY = -(1 << 63)
+#: Nodes (24 bytes each) up to which the list of needed texts is sent to the scan of the documents; a longer one
+#: is joined by a shuffle.
+BROADCAST_NODES = 400_000
 
 
-def _marks(need: DataFrame) -> np.ndarray:
-    """A bit for each text checksum in ``need``: 2 MB at any size, gathered by slices."""
-    width = (1 << MARK_BITS) // MARK_SLICES
-
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(width, bool)
-        bits[rows["bit"].to_numpy() % width] = True
-        return pd.DataFrame({"slice": [int(key[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    bit = (F.col("crc") % (1 << MARK_BITS)).alias("bit")
-    slices = need.select(bit).distinct().withColumn("slice", F.expr(f"bit div {width}"))
-    out = np.zeros((1 << MARK_BITS) // 8, np.uint8)
-    for row in slices.groupBy("slice").applyInPandas(pack, "slice long, bits binary").collect():
-        out[row["slice"] * width // 8 :][: width // 8] = np.frombuffer(row["bits"], np.uint8)
-    return out
+def _crc() -> Column:
+    return F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, t: Fraction, n: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets reach the similarity. The texts of nodes
-    in ``pairs`` are fetched by doc_id and checksum; most others stay behind in the scan."""
+    """The pairs (a, b) of nodes whose whole sets reach the similarity. The texts of nodes in ``pairs`` are
+    fetched by doc_id and checksum, their sets made once, and each pair's sets met a row at a time."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "at"), "node")
     need = write_table(need.select("node", F.coalesce("at.doc_id", F.lit(NULL_KEY)).alias("key"), "at.crc"), "needed")
-    marks = docs.sparkSession.sparkContext.broadcast(_marks(need))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            texts = blobs(b.column("text"))
-            crc = np.fromiter(map(zlib.crc32, texts), np.int64, len(texts))
-            bit = crc & ((1 << MARK_BITS) - 1)
-            hit = (marks.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
-            at = np.flatnonzero(hit)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()).fill_null(NULL_KEY).take(pa.array(at)), pa.array(crc[at]), pa.array([zlib.compress(texts[i], 1) for i in at], pa.binary())], ["key", "crc", "text"])
-
-    found = docs.select("doc_id", "text").mapInArrow(fetch, "key long, crc long, text binary")
-    found = found.join(need, ["key", "crc"]).dropDuplicates(["key", "crc"])  # repeated rows
-    texts = write_table(found.select("node", "text"), "texts")
-    marks.destroy()  # the table is written, nothing reads the marks again
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[int, np.ndarray] = {}
-
-        def get(node: int, text: pa.Scalar) -> np.ndarray:
-            if node not in last:
-                if len(last) >= 64:
-                    last.clear()
-                last[node] = shingles(word_hashes(words(zlib.decompress(text.as_py()).lower())), n)
-            return last[node]
+    few = F.broadcast(need) if need.count() <= BROADCAST_NODES else need
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), _crc().alias("crc"), "text")
+    found = keyed.join(few, ["key", "crc"]).dropDuplicates(["key", "crc"])  # repeated rows
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            a, c = b.column("a").to_pylist(), b.column("b").to_pylist()
-            linked = []
-            for i, (x, y) in enumerate(zip(a, c, strict=True)):
-                sa, sb = get(x, b.column("ta")[i]), get(y, b.column("tb")[i])
-                same = len(np.intersect1d(sa, sb, assume_unique=True))
-                linked.append(same * t.denominator >= (len(sa) + len(sb) - same) * t.numerator)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            sets = pa.array([x.view(np.int64) for x in _sets(b, n)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), sets], ["node", "set"])
 
-    both = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return both.mapInArrow(check, "a long, b long")
+    sets = write_table(found.select("node", "text").mapInArrow(run, "node long, set array<long>"), "sets")
+    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    same = F.size(F.array_intersect("sa", "sb"))
+    return both.where(same * t.denominator >= (F.size("sa") + F.size("sb") - same) * t.numerator).select("a", "b")
 
 
 def join_components(docs: DataFrame, *, similarity: float = SIMILARITY, n: int = WORDS) -> DataFrame:
@@ -354,8 +320,7 @@ def keep_first(docs: DataFrame, *, similarity: float = SIMILARITY, n: int = WORD
         .where(~F.col("_jc_stays") | (F.col("_jc_copies") > 1))
     )
     state = write_table(state, "judged")
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    on = F.col("doc_id").eqNullSafe(F.col("_jc_id")) & (crc == F.col("_jc_crc"))
+    on = F.col("doc_id").eqNullSafe(F.col("_jc_id")) & (_crc() == F.col("_jc_crc"))
     gone = docs.join(state, on, "left_anti")
     if state.where("_jc_stays").isEmpty():
         return gone
