@@ -46,6 +46,7 @@ def _parser() -> argparse.ArgumentParser:
     score.add_argument("--num-shuffles", type=int, default=1)
     score.add_argument("--all", action="store_true", help="training shares 10..90 %% instead of 10/50/90 %%")
     score.add_argument("--seed", type=int, default=500)
+    score.add_argument("--zero-k", choices=("none", "all"), default="none", help="labels predicted for a vertex without labels")
     score.add_argument("--header", choices=("each", "first"), help="'N D' lines in each file, or in the first; default: _meta.json")
     return p
 
@@ -72,7 +73,7 @@ def main(argv: list[str] | None = None) -> int:
     shares = [i / 10 for i in range(1, 10)] if args.all else [0.1, 0.5, 0.9]
     runs, means = score_files(
         spark, args.emb, args.edgelist, args.labellist,
-        train_percents=shares, num_shuffles=args.num_shuffles, seed=args.seed,
+        train_percents=shares, num_shuffles=args.num_shuffles, seed=args.seed, zero_k=args.zero_k,
         header={"each": True, "first": "first", None: False}[args.header],
     )
     for r in runs.orderBy("train_percent", "shuffle").collect():

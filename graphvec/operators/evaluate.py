@@ -11,7 +11,6 @@ truth are compared as ``(node, label)`` pairs.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphvec.functions.hashing import hash_int60
-from graphvec.operators.ranking import global_index
-from graphvec.session import scratch_path, write_table
+from graphvec.operators.logistic import fit_cells, predict_cells
+from graphvec.operators.ranking import global_index, index_within
+from graphvec.session import write_table
 
 #: Bytes of one block of coefficients sent to the tasks, and of one product there.
 BLOCK_BYTES = 16 * 1024 * 1024
@@ -147,9 +147,6 @@ def f1_mean(results: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- classifier
 
-_COEF = "label int, coefficients array<double>, intercept double"
-
-
 def label_means(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     """``(label, coefficients, intercept)``: each label's mean vector as a scorer's weights."""
     rows = labels.select(F.col("node").alias("word"), "label").join(vectors, "word")
@@ -157,56 +154,12 @@ def label_means(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.groupBy("label").agg(mean.alias("coefficients")).withColumn("intercept", F.lit(0.0))
 
 
-def fit_one_vs_rest(
-    train: DataFrame,
-    universe: DataFrame,
-    *,
-    reg_param: float | None = None,
-    max_iter: int = 100,
-    parallelism: int = 8,
-) -> DataFrame:
-    """``(label, coefficients, intercept)``: one binary ``LogisticRegression`` per label of
-    ``universe(label)`` on ``train(node, vector, labels)``. The labels come to the driver a few at a time, as
-    many fits run concurrently over one written training frame, and the weights go to a
-    table in blocks. ``reg_param`` defaults to ``1/n`` (an L2 penalty of strength C=1 on the summed loss),
-    without standardization. A label that all or no rows have scores by its share."""
-    from pyspark.ml.classification import LogisticRegression
-
-    spark = train.sparkSession
-    data = write_table(train.select("vector", "labels"), "training_rows")
-    data = data.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"), "labels")
-    n = data.count()
-    reg = (1.0 / max(n, 1)) if reg_param is None else reg_param
-
-    def fit(label: int):
-        rows = data.withColumn("y", F.array_contains("labels", F.lit(int(label))).cast("double"))
-        lr = LogisticRegression(
-            featuresCol="features", labelCol="y", regParam=reg, elasticNetParam=0.0,
-            maxIter=max_iter, standardization=False, family="binomial",
-        )
-        m = lr.fit(rows)
-        # an infinite intercept (one class only) stays usable in sums
-        return int(label), [float(x) for x in m.coefficients], float(np.clip(m.intercept, -700.0, 700.0))
-
-    base, block, number = scratch_path(spark, "coefficients"), [], 0
-
-    def save() -> None:
-        nonlocal block, number
-        spark.createDataFrame(block, _COEF).coalesce(1).write.parquet(f"{base}/block={number}")
-        block, number = [], number + 1
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        waiting: list = []
-        for row in universe.select("label").distinct().toLocalIterator():
-            waiting.append(pool.submit(fit, row["label"]))
-            if len(waiting) >= 2 * max(1, parallelism):
-                block.append(waiting.pop(0).result())
-            if len(block) >= 1000:
-                save()
-        block += [w.result() for w in waiting]
-    if block or not number:
-        save()
-    return spark.read.parquet(base).select("label", "coefficients", "intercept")
+def fit_one_vs_rest(train: DataFrame, universe: DataFrame, *, reg_param: float | None = None, max_iter: int = 100, **settings) -> DataFrame:
+    """``(label, coefficients, intercept)``: one binary logistic regression for each label of ``universe(label)`` on
+    ``train(node, vector, labels)``, all fitted in the same passes (``logistic``). ``reg_param`` is the penalty for each row; it
+    defaults to ``1/n`` (an L2 penalty of strength C=1 on the summed loss). A label that all or no rows have scores by that."""
+    data = write_table(train.select("vector", "labels", F.array(F.lit(0)).alias("positions")), "training_rows")
+    return fit_cells(data, universe, [(0, 1)], reg_param=reg_param, max_iter=max_iter, **settings).drop("cell")
 
 
 def predict_topk(nodes: DataFrame, coefficients: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -253,29 +206,19 @@ def _scorer(labels: np.ndarray, w: np.ndarray, b: np.ndarray, budget: int):
     return run
 
 
-def evaluate_split(
-    vectors: DataFrame, labels: DataFrame, train_fraction: float, *, seed: int = 500, shuffle_no: int = 0,
-    order: DataFrame | None = None, universe: DataFrame | None = None, **fit_kw
-) -> DataFrame:
-    """Train on the first share of a seeded shuffle, predict each test node's
-    ``k`` = (its true label count) best labels, score micro/macro F1. ``order`` is
-    ``shuffle_order``'s result if the caller has it."""
-    data = features_with_labels(vectors, labels)
-    uni = label_universe(labels) if universe is None else universe
-    order = shuffle_order(data.select("node"), seed=seed, shuffle_no=shuffle_no) if order is None else order
-    n = order.count()
-    cut = int(train_fraction * n)
-    data = write_table(data.join(order, "node"), "split")
-    train, test = data.where(F.col("pos") < cut), data.where(F.col("pos") >= cut)
-    test = test.withColumn("k", F.size("labels"))
-    scores = predict_topk(test, fit_one_vs_rest(train, uni, **fit_kw))
-    pred = topk_labels(scores, test.select("node", "k"))
-    truth = test.select("node", F.explode("labels").alias("label"))
-    return f1_scores(truth, pred, uni).select(
-        F.lit(float(train_fraction)).alias("train_percent"), F.lit(shuffle_no).alias("shuffle"), "micro_f1", "macro_f1",
-        F.lit(cut).cast("bigint").alias("n_train"), F.lit(n - cut).cast("bigint").alias("n_test"),
-        (F.col("tp") + F.col("fp")).alias("n_predicted"), (F.col("tp") + F.col("fn")).alias("n_true"),
-    )
+def shuffle_positions(nodes: DataFrame, num_shuffles: int, *, seed: int = 500) -> DataFrame:
+    """``(node, positions ARRAY<BIGINT>)``: the place of each node in each of the seeded shuffles, from one
+    numbering of all of them."""
+    every = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(num_shuffles - 1))).alias("shuffle"))
+    keyed = every.withColumn("_key", hash_int60(seed, "shuffle", "node"))
+    ranked = index_within(keyed, "shuffle", ["_key", "node"], out="pos")
+    return ranked.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("shuffle", "pos"))), lambda x: x["pos"]).alias("positions"))
+
+
+def evaluate_split(vectors: DataFrame, labels: DataFrame, train_fraction: float, *, seed: int = 500, **settings) -> DataFrame:
+    """Train on the first share of the first seeded shuffle, predict each test node's ``k`` = (its true label count) best
+    labels, score micro/macro F1."""
+    return evaluation_grid(vectors, labels, train_percents=[train_fraction], num_shuffles=1, seed=seed, **settings)
 
 
 def evaluation_grid(
@@ -285,14 +228,25 @@ def evaluation_grid(
     train_percents: Sequence[float] = (0.1, 0.5, 0.9),
     num_shuffles: int = 1,
     seed: int = 500,
+    zero_k: str = "none",
     **fit_kw,
 ) -> DataFrame:
-    """Every (share, shuffle) result (means: ``f1_mean``). The nodes are ranked once for each shuffle."""
+    """Every (share, shuffle) result (means: ``f1_mean``), all fitted, predicted and scored in the same jobs. ``zero_k`` as
+    in ``topk_labels``."""
+    data = features_with_labels(vectors, labels)
+    data = write_table(data.join(shuffle_positions(data.select("node"), num_shuffles, seed=seed), "node"), "evaluated_rows")
     uni = write_table(label_universe(labels), "labels")
-    results = None
-    for s in range(num_shuffles):
-        order = write_table(shuffle_order(vectors.select(F.col("word").alias("node")), seed=seed, shuffle_no=s), "order")
-        for p in train_percents:
-            r = evaluate_split(vectors, labels, p, seed=seed, shuffle_no=s, order=order, universe=uni, **fit_kw)
-            results = r if results is None else results.unionByName(r)
-    return results
+    n = data.count()
+    grid = [(float(p), s, int(p * n)) for s in range(num_shuffles) for p in train_percents]
+    cells = [(s, cut) for _, s, cut in grid]
+    pred = predict_cells(data, fit_cells(data, uni, cells, **fit_kw), cells, zero_k=zero_k)
+    cell = F.explode(F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(s).alias("shuffle"), F.lit(cut).cast("long").alias("cut")) for i, (s, cut) in enumerate(cells)])).alias("c")
+    tested = data.select("node", "labels", "positions", cell).where(F.element_at("positions", F.col("c.shuffle") + 1) >= F.col("c.cut"))
+    truth = tested.select("c.cell", "node", F.explode("labels").alias("label"))
+    scored = f1_scores(truth, pred, uni, by=["cell"])
+    named = vectors.sparkSession.createDataFrame([(i, *g, n - g[2]) for i, g in enumerate(grid)], "cell int, train_percent double, shuffle int, n_train long, n_test long")
+    scored = named.join(scored, "cell", "left").na.fill(0)
+    return scored.select(
+        "train_percent", "shuffle", "micro_f1", "macro_f1", "n_train", "n_test",
+        (F.col("tp") + F.col("fp")).alias("n_predicted"), (F.col("tp") + F.col("fn")).alias("n_true"),
+    )

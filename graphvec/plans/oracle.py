@@ -323,6 +323,8 @@ res AS (SELECT p, shuffle, {_F1} AS micro, macro FROM per)""",
     + "SELECT word, CAST(16 AS BIGINT) AS dim, true AS finite, true AS two_steps_closer FROM vocab",
     "factorized_vectors": _with(_GRAPH, _W2, _CORPUS)
     + "SELECT word, CAST(16 AS BIGINT) AS dim, true AS finite, true AS two_steps_closer FROM vocab",
+    "fitted_labels": _with(_LABELS)
+    + "SELECT CAST(label AS BIGINT) AS label, (SELECT count(*) FROM embeddings) AS n_rows, count(*) AS positives, true AS at_optimum FROM lab GROUP BY label",
     "evaluation_grid": _with(
         _LABELS,
         f"""

@@ -468,6 +468,23 @@ def q_factorized_vectors(spark, sf):
     return _trained(spark, sf, "factorize")
 
 
+def q_fitted_labels(spark, sf):
+    """The fitted classifier of every label, held against its own optimum: with the returned weights, every component of the
+    gradient of summed loss and penalty, added up here by plain expressions, is below 1e-4."""
+    data = write_table(evaluate.features_with_labels(_vectors(spark, sf), _labels(spark, sf)), "rows")
+    universe = write_table(evaluate.label_universe(_labels(spark, sf)), "universe")
+    fitted = write_table(evaluate.fit_one_vs_rest(data, universe), "fitted")
+    every = data.select(F.col("vector").cast("array<double>").alias("x"), "labels", F.explode(F.array(*[F.lit(r["label"]) for r in fitted.select("label").collect()])).alias("label"))
+    met = every.join(fitted, "label").withColumn("y", F.array_contains("labels", F.col("label")).cast("double"))
+    z = F.aggregate(F.zip_with("x", "coefficients", lambda a, b: a * b), F.col("intercept"), lambda s, v: s + v)
+    off = met.withColumn("r", 1 / (1 + F.exp(-z)) - F.col("y")).withColumn("x", F.concat("x", F.array(F.lit(1.0))))
+    parts = off.select("label", "y", "coefficients", F.posexplode(F.transform("x", lambda v: v * F.col("r"))).alias("i", "g"))
+    whole = parts.groupBy("label", "i").agg(F.sum("g").alias("g"), F.first("coefficients").alias("w"), F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"))
+    slope = F.abs(F.col("g") + F.coalesce(F.get("w", F.col("i")), F.lit(0.0)))
+    out = whole.groupBy("label").agg(F.max("n").alias("n_rows"), F.max("y").cast("bigint").alias("positives"), (F.max(slope) < 1e-4).alias("at_optimum"))
+    return _norm(out)
+
+
 def q_evaluation_grid(spark, sf):
     """One-vs-rest logistic regression on the embeddings: sizes and counts of every split, and whether
     the scores are scores."""
@@ -530,5 +547,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "embed_vectors": q_embed_vectors,
     "block_vectors": q_block_vectors,
     "factorized_vectors": q_factorized_vectors,
+    "fitted_labels": q_fitted_labels,
     "evaluation_grid": q_evaluation_grid,
 }

@@ -71,7 +71,7 @@ def test_one_vs_rest_separates(spark):
     rows = [(str(i), (rng.normal(size=2) + [4 * (i % 2), 0]).tolist(), [i % 2, 7]) for i in range(120)]
     data = spark.createDataFrame(rows, "node string, vector array<float>, labels array<int>")
     uni = spark.createDataFrame([(0,), (1,), (7,), (9,)], "label int")
-    coef = evaluate.fit_one_vs_rest(data, uni, max_iter=50, parallelism=2)
+    coef = evaluate.fit_one_vs_rest(data, uni, max_iter=50)
     assert sorted(r.label for r in coef.collect()) == [0, 1, 7, 9]
     best = evaluate.predict_topk(data.withColumn("k", F.lit(2)), coef).collect()
     right = [[s.label for s in r.scores] == [7, int(r.node) % 2] for r in best]
