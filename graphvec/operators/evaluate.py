@@ -20,11 +20,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphvec.functions.hashing import hash_int60
+from graphvec.functions.hashing import HASH_BITS, hash_int60
 from graphvec.operators.logistic import fit_cells, predict_cells
 from graphvec.operators.ranking import global_index, index_within
 from graphvec.session import write_table
 
+#: Leading bits of a key that a selection counts at a time, and rows that it sorts in the end.
+SELECT_BITS, SELECT_ROWS = 12, 10_000
 #: Bytes of one block of coefficients sent to the tasks, and of one product there.
 BLOCK_BYTES = 16 * 1024 * 1024
 
@@ -88,13 +90,41 @@ def shuffle_order(nodes: DataFrame, *, seed: int = 500, shuffle_no: int = 0) ->
 def split_nodes(
     nodes: DataFrame, train_fraction: float, *, seed: int = 500, shuffle_no: int = 0
 ) -> DataFrame:
-    """``(node, is_train)``: the first ``int(train_fraction * n)`` nodes of the shuffle
-    train, the rest test."""
+    """``(node, is_train)``: the first ``int(train_fraction * n)`` nodes of the shuffle train, the rest test (``node`` is
+    unique). Nothing is sorted: the key of the first test node is selected by counts."""
     if not 0.0 <= train_fraction <= 1.0:
         raise ValueError("train_fraction must be in [0, 1]")
-    ranked = shuffle_order(nodes, seed=seed, shuffle_no=shuffle_no)
-    cut = int(train_fraction * ranked.count())
-    return ranked.select("node", (F.col("pos") < F.lit(cut)).alias("is_train"))
+    keyed = nodes.select("node", hash_int60(seed, F.lit(shuffle_no), "node").alias("_key"))
+    n = keyed.count()
+    first = select_row(keyed, int(train_fraction * n)) if int(train_fraction * n) < n else None
+    if first is None:
+        return keyed.select("node", F.lit(True).alias("is_train"))
+    key, node = first
+    before = (F.col("_key") < F.lit(key)) | ((F.col("_key") == F.lit(key)) & (F.col("node") < F.lit(node)))
+    return keyed.select("node", before.alias("is_train"))
+
+
+def select_row(keyed: DataFrame, rank: int) -> tuple[int, str]:
+    """The row ``(_key, node)`` with ``rank`` rows before it in that order. A histogram of the keys' leading bits names the bin
+    that holds it, one of the bin's next bits a narrower one, until the bin's few rows can be sorted: two or three passes
+    that return ``2**SELECT_BITS`` counts each."""
+    low, width = 0, HASH_BITS
+    while True:
+        inside = keyed.where(F.col("_key").between(low, low + (1 << width) - 1))
+        if width == 0:
+            break
+        width = max(0, width - SELECT_BITS)
+        bins = inside.groupBy(F.shiftright(F.col("_key") - F.lit(low).cast("long"), width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        for r in sorted(bins.collect()):
+            if rank < r["n"]:
+                break
+            rank -= r["n"]
+        low += r["bin"] << width
+        if r["n"] <= SELECT_ROWS:
+            inside = keyed.where(F.col("_key").between(low, low + (1 << width) - 1))
+            break
+    r = inside.orderBy("_key", "node").limit(rank + 1).collect()[-1]
+    return r["_key"], r["node"]
 
 
 def topk_labels(

@@ -110,6 +110,21 @@ def index_within(
     )
 
 
+def running_total(df: DataFrame, order: Sequence[str], value: str, *, out: str = "before") -> DataFrame:
+    """Add ``out``: the sum of ``value`` over all rows before this one in ``order`` (unique). Range partitions add up
+    their own rows; their totals, one row for each partition, give the offsets."""
+    df = df if _scan_only(df) else write_table(df, "unranked")
+    n = _partitions(df, None)
+    tagged = write_table(df.repartitionByRange(n, *order).withColumn(_PID, F.spark_partition_id()), "ranked")
+    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    totals = tagged.groupBy(_PID).agg(F.sum(value).alias(_CNT))
+    totals = totals.select(_PID, F.coalesce(F.sum(_CNT).over(before), F.lit(0)).alias(_OFF))
+    inside = Window.partitionBy(_PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = tagged.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    joined = rows.join(F.broadcast(totals), _PID)  # at most ``n`` rows
+    return joined.select(*df.columns, (F.col(out) + F.col(_OFF)).cast("bigint").alias(out))
+
+
 def global_index(
     df: DataFrame, order: Sequence[str], *, out: str = "idx", num_partitions: int | None = None
 ) -> DataFrame:

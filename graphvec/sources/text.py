@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphvec.operators.graph import symmetrize
+from graphvec.operators.ranking import running_total
 from graphvec.session import write_table
 
 # Fixed values of the saved-model layout (shared with Spark's own mllib
@@ -61,9 +62,9 @@ def numbered_lines(spark: SparkSession, path: str, *, across_files: bool = False
     )
     blocks = tagged.groupBy("file", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     # one row per file split
-    w = (Window.orderBy("file", "_blk") if across_files else Window.partitionBy("file").orderBy("_blk"))
-    w = w.rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    blocks = running_total(blocks, ["file", "_blk"], "_n", out="_off")
+    if not across_files:
+        blocks = blocks.withColumn("_off", F.col("_off") - F.min("_off").over(Window.partitionBy("file")))
     return tagged.join(blocks, ["file", "_blk"]).select(
         "file", (F.col("_off") + F.col("_mid") - F.col("_first")).alias("line_no"), "value"
     )
@@ -71,16 +72,14 @@ def numbered_lines(spark: SparkSession, path: str, *, across_files: bool = False
 
 def read_adjacency_matrix(spark: SparkSession, path: str, *, separator: str = " ") -> DataFrame:
     """Directed ``(src, dst)`` edges of an N x N 0/1 matrix: row ``i`` and
-    column ``j`` (both 1-based) with cell ``1`` give the edge ``(i, j)``.
-    Not mirrored. Any non-integer cell fails the job. ``path`` is one file
+    column ``j`` (both 1-based) with cell ``1`` give the edge ``(i, j)``. The places of the
+    ones are found inside the line, so only ones become rows. Not mirrored. Any non-integer cell fails the job. ``path`` is one file
     or a folder of part files in row order (rows numbered across files)."""
     lines = numbered_lines(spark, path, across_files=True)
-    cells = lines.select(
-        "line_no", F.posexplode(F.split(F.trim("value"), _regex_quote(separator))).alias("pos", "cell")
-    )
-    return cells.where(_strict_bigint(F.col("cell"), "matrix cell") == 1).select(
-        (F.col("line_no") + 1).cast("bigint").alias("src"), (F.col("pos") + 1).cast("bigint").alias("dst")
-    )
+    cells = F.split(F.trim("value"), _regex_quote(separator))
+    ones = F.transform(cells, lambda c, j: F.when(_strict_bigint(c, "matrix cell") == 1, j + 1))
+    found = F.explode(F.filter(ones, lambda j: j.isNotNull()))
+    return lines.select((F.col("line_no") + 1).cast("bigint").alias("src"), found.alias("dst")).select("src", F.col("dst").cast("bigint"))
 
 
 def _regex_quote(s: str) -> str:
