@@ -9,15 +9,22 @@ A worker keeps the ids of pieces it has seen in two generations of at most ``CAC
 pieces each, so memory is bounded whatever the vocabulary of the corpus. Pieces over
 ``CACHE_BYTES`` bytes are never kept.
 
+The installed ``regex`` module and the tokenizers library know different versions of the letter and number classes. The driver
+asks the library's pre-tokenizer for the class of every code point once (``class_differences``); texts that hold a
+code point on which the two differ are cut by a pattern with the library's classes.
+
 Defined results: null or empty text has no ids and decodes to the empty text. Rows are
 independent, so repeated rows repeat their result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
+import itertools
 import json
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,10 +46,70 @@ def byte_alphabet() -> dict[int, str]:
     return out | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _ranges(points: list[int]) -> str:
+    """Ascending code points as the inside of a character class."""
+    out, start = [], None
+    for i, p in enumerate(points):
+        start = p if start is None else start
+        if i + 1 == len(points) or points[i + 1] != p + 1:
+            out.append(f"\\U{start:08X}-\\U{p:08X}")
+            start = None
+    return "".join(out)
+
+
+@functools.cache
+def class_differences(path: str) -> tuple[tuple[str, str], ...]:
+    """For letters, numbers and whitespace: code points that only the tokenizer file's pre-tokenizer, and that only the
+    ``regex`` module counts among them, as insides of character classes."""
+    from tokenizers import Tokenizer
+
+    cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
+    whole = "".join(map(chr, points))
+    names = (r"\p{L}", r"\p{N}", r"\s")
+    ours = [set(map(ord, regex.findall(name, whole))) for name in names]
+    kind = {c: k for k, found in enumerate(ours) for c in found}  # all others are 3
+    theirs = [set(x) for x in ours]
+
+    def is_all(k: int, part: list[int]) -> bool:
+        """Do these go on with a letter, a number, or a mark as one pre-token? Blanks go on with none."""
+        first, *more = cut("a1 !"[k] + "".join(map(chr, part)))
+        return not more if k != 2 else not any(is_all(x, part) for x in (0, 1, 3))
+
+    def compare(k: int, part: list[int]) -> None:
+        if len(part) == 1 or k != 2:
+            if is_all(k, part):
+                return
+            if len(part) == 1:
+                if k < 3:
+                    theirs[k].discard(part[0])
+                now = next((x for x in (0, 1, 3) if is_all(x, part)), 2)
+                if now < 3:
+                    theirs[now].add(part[0])
+                return
+        half = len(part) // 2
+        compare(k, part[:half])
+        compare(k, part[half:])
+
+    for k, run in itertools.groupby(points, key=lambda c: kind.get(c, 3)):
+        compare(k, list(run))
+    return tuple((_ranges(sorted(t - o)), _ranges(sorted(o - t))) for t, o in zip(theirs, ours, strict=True))
+
+
+def _exact_pattern(differences: tuple[tuple[str, str], ...]) -> str:
+    """``PATTERN`` with the library's classes."""
+    letter, number, space = (
+        f"[{name}{more}]" if not less else f"[[{name}{more}]--[{less}]]" for name, (more, less) in zip((r"\p{L}", r"\p{N}", r"\s"), differences, strict=True)
+    )
+    rest = f"(?!{letter}|{number}|{space})."
+    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?(?:{rest})+|{space}+(?!(?!{space}).)|{space}+"
+
+
 class Bpe:
     """Vocabulary and merges of a tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, differences: tuple[tuple[str, str], ...] | None = None):
+        differences = class_differences(path) if differences is None else differences
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
@@ -57,6 +124,9 @@ class Bpe:
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.strings |= {i: s.encode("utf-8") for s, i in self.added.items()}
         self.pattern = regex.compile(PATTERN)
+        self.exact = regex.compile(_exact_pattern(differences), regex.V1 | regex.S)
+        self.differ = "".join(x for pair in differences for x in pair)
+        self.unlike = regex.compile(f"[{self.differ}]") if self.differ else None
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
         self.pieces = _Pieces(self)
@@ -103,14 +173,17 @@ class Bpe:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        pattern = self.pattern
+        if not text.isascii() and self.unlike and self.unlike.search(text):
+            pattern = self.exact
         if self.cut is None:
-            return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+            return b"".join(map(self.pieces.__getitem__, pattern.findall(text)))
         out = []
         for part in self.cut.split(text):
             if part in self.added:
                 out.append(self.added[part].to_bytes(4, "little"))
             elif part:
-                out += map(self.pieces.__getitem__, self.pattern.findall(part))
+                out += map(self.pieces.__getitem__, pattern.findall(part))
         return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
@@ -146,18 +219,19 @@ class _Pieces(dict):
 _LOADED: dict[str, Bpe] = {}
 
 
-def load(path: str) -> Bpe:
-    """The vocabulary, once a worker."""
+def load(path: str, differences: tuple[tuple[str, str], ...] | None = None) -> Bpe:
+    """The vocabulary, once a worker; tasks are given the ``class_differences`` of the driver."""
     if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
+        _LOADED[path] = Bpe(path, differences)
     return _LOADED[path]
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """``(doc_id, ids array<int>)`` of every text."""
+    differences = class_differences(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = load(path, differences)
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
@@ -173,8 +247,10 @@ def decode_ids(rows: DataFrame, path: str, col: str = "ids", out: str = "text")
     """The rows of ``(doc_id, ids)`` with the text that the ids stand for."""
     import struct
 
+    differences = class_differences(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = load(path, differences)
         for b in batches:
             texts = [
                 bpe.decode_packed(struct.pack(f"<{len(x)}I", *x)).decode("utf-8") if x else ""
@@ -188,9 +264,10 @@ def decode_ids(rows: DataFrame, path: str, col: str = "ids", out: str = "text")
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: encode and decode in one pass, so that
     no ids travel through a shuffle."""
+    differences = class_differences(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = load(path, differences)
         for b in batches:
             n, ids_sha, text_sha = [], [], []
             for text in b.column("text"):

@@ -138,3 +138,31 @@ def test_buckets_on_disk(spark, documents, tokenizer_path, tmp_path):
     packing.write_buckets(pieces, str(tmp_path / "buckets"))
     back = spark.read.parquet(str(tmp_path / "buckets"))
     assert sorted((r.doc_id, r.start, r.length) for r in back.collect()) == sorted((r.doc_id, r.start, r.length) for r in pieces.collect())
+
+
+def test_every_code_point_is_cut_as_the_library_does(tokenizer_path):
+    """All code points between letters, digits, marks and blanks, in both encoders."""
+    import random
+
+    theirs, ours, fast = Tokenizer.from_file(tokenizer_path), bpe.load(tokenizer_path), packing.tokenizer(tokenizer_path)
+    rng = random.Random(1)
+    near = ["a", "1", "!", " ", "\n", ""]
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(points), 60):
+        text = "".join(rng.choice(near) + chr(c) + rng.choice(near) for c in points[at : at + 60])
+        want = theirs.encode(text, add_special_tokens=False).ids
+        assert ours.encode(text) == want and packing.encode(fast, text) == want, hex(points[at])
+
+
+def test_packing_encodes_arbitrary_texts(tokenizer_path):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    theirs, fast = Tokenizer.from_file(tokenizer_path), packing.tokenizer(tokenizer_path)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.text(st.characters(exclude_categories=["Cs"]), max_size=60))
+    def same(text):
+        assert packing.encode(fast, text) == theirs.encode(text, add_special_tokens=False).ids
+
+    same()
