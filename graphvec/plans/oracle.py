@@ -339,3 +339,5 @@ cut AS (SELECT p, node, pos, n, CAST(floor(p * n) AS BIGINT) AS c FROM ranked, s
     "CAST(sum(CASE WHEN pos >= c THEN coalesce(k, 0) ELSE 0 END) AS BIGINT) AS n_true, true AS in_range "
     "FROM cut LEFT JOIN kk USING (node) GROUP BY p",
 }
+#: The same queries, another way to their result.
+ORACLE["nearest_pruned"] = ORACLE["nearest_by_word"]

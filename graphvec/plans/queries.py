@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphvec.functions.vectors import cosine, rounded
-from graphvec.operators import corpus, evaluate, graph, segments, similarity, visits, walks
+from graphvec.operators import corpus, evaluate, graph, pruned, segments, similarity, visits, walks
 from graphvec.sources import tables
 from graphvec.sinks import writers
 from graphvec.sources import text
@@ -267,6 +267,15 @@ def q_nearest_by_word(spark, sf):
     return _norm(r.select("query", "word", rounded("similarity").alias("similarity"), "rank"))
 
 
+def q_nearest_pruned(spark, sf):
+    """The same queries through parts of vectors that are left unread where their angles rule them out."""
+    v = _vectors(spark, sf)
+    ids = tables.read_table(spark, sf, "embeddings").where(F.col("vec_id") % 100 == 0)
+    asked = ids.select(F.col("vec_id").cast("string").alias("query"), F.col("embedding").alias("vector"))
+    r = pruned.search(pruned.build(v), asked, TOP_K, exclude_self=True)
+    return _norm(r.select("query", "word", rounded("similarity").alias("similarity"), "rank"))
+
+
 def q_nearest_by_vector(spark, sf):
     emb = tables.read_table(spark, sf, "embeddings").select(
         F.col("label").cast("string").alias("label"), F.col("embedding").alias("vector")
@@ -523,6 +532,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vector_norms": q_vector_norms,
     "vector_lookup": q_vector_lookup,
     "nearest_by_word": q_nearest_by_word,
+    "nearest_pruned": q_nearest_pruned,
     "nearest_by_vector": q_nearest_by_vector,
     "vector_sum": q_vector_sum,
     "matrix_edges": q_matrix_edges,
