@@ -7,6 +7,7 @@ Workloads (part-supplier graph from ``lineitem``, embeddings table):
   walks      seeded walks, length 40, 10 per vertex (BASELINE yardstick), broadcast
              plan (the slot table passes its size check at this scale)
   walks_shuffle  the same walks by the default plan, for graphs of any size
+  walks_doubled  as many walks of that length by segment doubling
   visits     vertex-visit histogram of those walks
   vocab      vocabulary (min_count 5) of those walks
   nearest    top-10 cosine neighbours of every embedding
@@ -25,7 +26,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from graphvec.operators import corpus, evaluate, graph, similarity, visits, walks  # noqa: E402
+from graphvec.operators import corpus, evaluate, graph, segments, similarity, visits, walks  # noqa: E402
 from graphvec.operators.embed import EmbedConfig, train  # noqa: E402
 from graphvec.session import local_session  # noqa: E402
 from graphvec.sources import tables  # noqa: E402
@@ -51,6 +52,7 @@ def main() -> None:
         "walks_shuffle",
         lambda: walks.random_walks(g, length=40, walks_per_vertex=10, seed=42).count(),
     )
+    timed("walks_doubled", lambda: segments.doubled_walks(g, length=40, walks_per_vertex=10, seed=42).count())
     timed("visits", lambda: visits.visit_histogram(w).collect())
     tok = corpus.walk_tokens(w)
     timed("vocab", lambda: corpus.vocabulary(tok, min_count=5).count())

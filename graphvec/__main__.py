@@ -3,7 +3,7 @@
     python -m graphvec run --edges FILE --out DIR [--name NAME] [--length L] [--walks N]
         [--dim D] [--window W] [--replicas P] [--iterations I] [--seed S] [--header] [--histogram]
     python -m graphvec score --emb VEC --edgelist EDGES --labellist LABELS \\
-        [--num-shuffles N] [--all] [--seed S] [--header each|first]
+        [--num-shuffles N] [--all] [--seed S] [--zero-k none|all] [--header each|first]
 
 ``run`` reads ``src,dst`` lines, walks, trains and writes ``DIR/NAME_vec.txt``. ``score`` prints
 micro/macro F1 per training share and their means. The session comes from
@@ -21,6 +21,8 @@ from pyspark.sql import SparkSession
 
 from graphvec.operators.embed import EmbedConfig
 from graphvec.plans.embedding_job import WalkConfig, run_job, score_files
+from graphvec.session import drop_scratch
+
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="graphvec")
@@ -54,6 +56,13 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("graphvec").getOrCreate()
+    try:
+        return _run(spark, args)
+    finally:
+        drop_scratch(spark)  # results are written or printed by now
+
+
+def _run(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.cmd == "run":
         res = run_job(
             spark,
