@@ -254,7 +254,7 @@ def read_records(chunks: DataFrame) -> DataFrame:
 
 def resolve_revisits(found: DataFrame) -> DataFrame:
     """Records as ``read_records`` returns them, revisits with the length that the referred
-    record has."""
+    record has. A revisit of a record that is not there, or has another digest, raises."""
     revisit = F.col("record_type") == "revisit"
     there = (
         found.where(~revisit & F.col("page_id").isNotNull() & (F.col("payload_bytes") > 0))
@@ -262,5 +262,7 @@ def resolve_revisits(found: DataFrame) -> DataFrame:
         .distinct()
     )
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    looked_up = found.where(revisit).join(there, ["refers_to", "payload_digest"]).withColumn("payload_bytes", F.col("_bytes"))
+    lost = F.raise_error(F.concat_ws(" ", F.lit("no response for the revisit of page"), F.col("page_id").cast("string"), F.lit("by page"), F.col("refers_to").cast("string")))
+    looked_up = found.where(revisit).join(there, ["refers_to", "payload_digest"], "left")
+    looked_up = looked_up.withColumn("payload_bytes", F.when(F.col("_bytes").isNull(), lost.cast("long")).otherwise(F.col("_bytes")))
     return found.where(~revisit).select(*cols).unionByName(looked_up.select(*cols))

@@ -15,7 +15,8 @@ OPS = ["op1_url_filter", "op2_langid", "op3_robust_outliers", "op4_chain", "op5_
 def test_registered():
     names = entry.queries()
     assert [n for n in names if n in OPS] == OPS and "pipeline" in names
-    assert {"op1_url_filter", "op6_prefix_groups", "op7_seed_extend", "op8_vp_tree", "op10_warc"} <= set(entry.oracle_sql())
+    assert {"op11_recurrent_lm", "op12_alignment", "op13_divergence_cube"} <= set(names)
+    assert {"op13_divergence_cube", "op1_url_filter", "op6_prefix_groups", "op7_seed_extend", "op8_vp_tree", "op10_warc"} <= set(entry.oracle_sql())
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["drop_toxic", "drop_low_quality", "drop_near_copies", "drop_repeats", "pack_tokens"]
 
 

@@ -104,3 +104,13 @@ def test_no_pages(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archives(pages, str(tmp_path / "w"))
     assert warc.resolve_revisits(warc.read_records(warc.read_chunks(spark, str(tmp_path / "w")))).count() == 0
+
+
+def test_a_revisit_without_its_response_raises(spark):
+    kinds = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    rows = [(2, 1500, "aa", "response", None), (1, 0, "aa", "revisit", 2)]
+    got = sorted(tuple(r) for r in warc.resolve_revisits(spark.createDataFrame(rows, kinds)).collect())
+    assert got == [(1, 1500, "aa", "revisit", 2), rows[0]]
+    for lost in ([(1, 0, "aa", "revisit", 3)], [(1, 0, "bb", "revisit", 2)]):
+        with pytest.raises(Exception, match="no response"):
+            warc.resolve_revisits(spark.createDataFrame(rows[:1] + lost, kinds)).collect()
