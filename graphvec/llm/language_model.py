@@ -12,8 +12,8 @@ Tokens are the words of a text and one end token. Three things are learned from
    class, with shares ``(c + 0.1) / (n + 0.1 (v + 1))`` over that class. So a word's probability is that of its class
    given the state times that of the word in its class, and the network starts at the unigram distribution.
 
-Training takes every document of a fixed share (``SHARE``, by a hash of its id and text) whole: its cost grows with the input. Documents of a task run
-side by side in lanes, in windows of ``WINDOW`` steps; the state is carried from window to window and gradients stop at
+Training takes every training row whole: its cost grows with the input. A caller may give a smaller ``share`` (by a hash of
+id and text). Documents of a task run side by side in lanes, in windows of ``WINDOW`` steps; the state is carried from window to window and gradients stop at
 the window's start. Replicas train on ``REPLICA_TOKENS`` tokens a round each and are averaged by their tokens after each of
 ``ROUNDS`` rounds, in two levels of blocks, so that no task holds more than a few hundred blocks. The model's size is fixed.
 
@@ -47,9 +47,10 @@ from graphvec.session import write_table
 ADDED = 0.1
 KNOWN, LONG = 200_000, 64
 CLASSES, MEMBERS, BANDS, HIDDEN = 64, 64, 8, 32
-SHARE, ROUNDS, REPLICA_TOKENS = 0.1, 4, 300_000
-LANES, WINDOW, STEP_SIZE, MOST_NORM = 128, 32, 0.01, 1.0
-LEAST_LANES, UPDATES = 8, 64
+#: The network learns from every training row; a smaller ``share`` is the caller's choice.
+SHARE, ROUNDS, REPLICA_TOKENS = 1.0, 4, 1_200_000
+LANES, WINDOW, STEP_SIZE, MOST_NORM = 512, 32, 0.01, 1.0
+LEAST_LANES, SCORED_LANES, UPDATES = 8, 256, 64
 #: Tokens whose documents a task scores side by side.
 CHUNK_TOKENS = 2_000_000
 #: Words that a task counts before it passes its sums on, and numbers of the model in a block.
@@ -301,7 +302,7 @@ def _row(some: Iterable[int], docs: list[np.ndarray], end: int) -> tuple[np.ndar
     return want, np.repeat(np.array(some, np.int32), size), read, fresh
 
 
-def log_probabilities(m: dict, s: Sizes, docs: list[np.ndarray], end: int, *, lanes: int = 2 * LANES, window: int = WINDOW) -> np.ndarray:
+def log_probabilities(m: dict, s: Sizes, docs: list[np.ndarray], end: int, *, lanes: int = SCORED_LANES, window: int = WINDOW) -> np.ndarray:
     """Natural log of the probability of the symbols of each document."""
     total = np.zeros(len(docs))
     h = np.zeros((max(1, min(lanes, len(docs))), s.hidden), np.float32)

@@ -174,3 +174,16 @@ def test_empty_tables_and_no_training_rows(documents):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
     got = lm.score(documents([(i, "some words") for i in held]), sizes=SMALL).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, abs(r.base_score) + abs(r.score)) for r in got] == [(3, 0, 0, 0.0)] * 3
+
+
+def test_the_network_learns_from_every_training_row(documents, monkeypatch):
+    rows = [(i, f"only{i} the same words again") for i in range(60)]
+    seen, real = [], lm.write_table
+
+    def write(df, name):
+        seen.extend([df.count()] if name == "training_symbols" else [])
+        return real(df, name)
+
+    monkeypatch.setattr(lm, "write_table", write)
+    got = lm.score(documents(rows), sizes=SMALL, rounds=1).collect()
+    assert seen == [sum(not r["held_out"] for r in got)] and seen[0] > 40
