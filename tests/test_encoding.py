@@ -87,3 +87,36 @@ def test_running_total_over_many_partitions(spark):
     df = spark.range(1000).select(F.pmod(F.col("id") * 37, F.lit(1000)).alias("k"), F.lit(2).alias("n"))
     got = ranking.running_total(df, ["k"], "n").collect()
     assert all(r.before == 2 * r.k for r in got) and len(got) == 1000
+
+
+def test_cooccurrence_shuffles_one_row_for_both_directions(spark):
+    """Weights of both directions are those of a plain count (nulls and repeated tokens included); a pair is shuffled once."""
+    rows = [["a", "b", "a", None, "c"], ["b", "a"], [None, None, "a"], ["c"], ["d", "c", "b", "a", "a", "d"]]
+    df = spark.createDataFrame([(i, 0, r) for i, r in enumerate(rows)], "start bigint, walk_no int, tokens array<string>")
+    window, want = 3, {}
+    for r in rows:
+        for p, x in enumerate(r):
+            for c, y in enumerate(r):
+                if p != c and abs(p - c) <= window:
+                    want[y, x] = want.get((y, x), 0) + (window + 1 - abs(p - c))
+    out = corpus.cooccurrence(df, window=window)
+    got = out.collect()
+    assert {(r["input"], r["target"]): r["weight"] for r in got} == {k: n / window for k, n in want.items()} and len(got) == len(want)
+    assert len({frozenset(k) for k in want}) < len(want)
+    assert "low" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_skipgram_pairs_are_compiled_and_match_the_plain_version(spark):
+    import hashlib
+
+    rows = [["a", "b", "c", "d", "e", "f"], ["x", None], ["y"], ["p", "q", "p"]]
+    df = spark.createDataFrame([(i, 0, r) for i, r in enumerate(rows)], "start bigint, walk_no int, tokens array<string>")
+    want = set()
+    for i, r in enumerate(rows):
+        for p, x in enumerate(r):
+            reach = 4 - int(hashlib.md5(f"7|{i}|0|{p}".encode()).hexdigest()[:15], 16) % 4
+            want |= {(i, 0, p, c, y, x) for c, y in enumerate(r) if c != p and abs(c - p) <= reach}
+    out = corpus.skipgram_pairs(df, window=4, seed=7)
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
