@@ -190,3 +190,44 @@ def test_partitions_come_from_written_sizes(spark):
     assert ranking._partitions(write_table(wide, "wide"), None) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert not ranking._scan_only(wide) and ranking._scan_only(write_table(wide, "wide").where("y > 3").select("y"))
     assert [r["idx"] for r in ranking.global_index(wide.where("x < 5"), ["x"]).orderBy("x").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_packed_slots_hold_every_edge_once_with_copies_and_nulls(spark):
+    """Blocks, whatever the tasks cut them to, list what the numbered edges list; copies of an edge keep slots of their own."""
+    pairs = [(1, 2)] * 700 + [(1, i) for i in range(3, 400)] + [(i, 1) for i in range(2, 300)] + [(None, 5), (5, None)]
+    e = spark.createDataFrame(pairs, "src bigint, dst bigint").repartition(5)
+    g = graph.walk_graph(e, num_partitions=4)
+    slots = sorted((r.slot, r.src, r.dst) for r in g.edges.collect())
+    assert [r[0] for r in slots] == list(range(len(pairs))) and g.num_slots == len(pairs)
+    assert [r[1:] for r in slots] == sorted(pairs, key=lambda p: [(x is not None, x or 0) for x in p])
+    packed = {}
+    for r in g.blocks.collect():
+        assert r.hi - r.lo == len(r.dsts) <= graph.BLOCK_SLOTS and r.lo // graph.BLOCK_SLOTS == (r.hi - 1) // graph.BLOCK_SLOTS == r.block
+        packed |= dict(zip(range(r.lo, r.hi), r.dsts, strict=True))
+    assert packed == {s: d for s, _, d in slots}
+    assert g.blocks.count() < len(pairs) / 20
+
+
+def _plain_walk(edges, start, no, length, seed):
+    import hashlib
+
+    out = [start]
+    for step in range(1, length):
+        near = sorted(b for a, b in edges if a == out[-1])
+        if not near:
+            return None
+        key = f"{seed}|{start}|{no}|{step}"
+        out.append(near[int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % len(near)])
+    return out
+
+
+@pytest.mark.parametrize("chunk_steps", [20, 3])
+def test_steps_join_packed_slots_and_give_the_plain_walks(spark, chunk_steps):
+    edges = [(i, (i * 7 + 3) % 41) for i in range(40)] + [(i, 0) for i in range(1, 30)] + [(0, i) for i in range(1, 600)]
+    g = graph.walk_graph(edges_df(spark, edges))
+    for strategy in ("shuffle", "auto"):
+        w = walks.random_walks(g, length=8, walks_per_vertex=2, seed=3, strategy=strategy, chunk_steps=chunk_steps)
+        want = {(s, k): _plain_walk(edges, s, k, 8, 3) for s in {a for a, _ in edges} for k in range(2)}
+        assert {(r.start, r.walk_no): r.walk for r in w.collect()} == {k: x for k, x in want.items() if x}
+    plan = walks.along(spark.sql("select 1L as slot"), g)._jdf.queryExecution().optimizedPlan().toString()
+    assert "walk_blocks" in plan or "dsts" in plan
