@@ -55,6 +55,8 @@ LEAST_LANES, SCORED_LANES, UPDATES = 8, 256, 64
 CHUNK_TOKENS = 2_000_000
 #: Words that a task counts before it passes its sums on, and numbers of the model in a block.
 FLUSH_WORDS, BLOCK = 2_000_000, 1 << 16
+#: Rows of states that are read out at a time, and occurrences from which a symbol's gradients are summed at once.
+ROWS, FREQUENT = 2048, 12
 #: The end token's place among the words (no word is empty).
 END = b""
 
@@ -187,81 +189,115 @@ def unflat(v: np.ndarray, s: Sizes) -> dict[str, np.ndarray]:
 # ------------------------------------------------------------------ network
 
 
-def _gates(m: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Gates, candidate and kept part for inputs ``x`` (rows of ``read``) and states ``h``."""
-    k = h.shape[1]
-    a = h @ m["keep"]
-    zr = x[:, : 2 * k] + a[:, : 2 * k]
-    zr *= 0.5
+class Space(dict):
+    """Arrays by name, used again by the next window: fresh memory costs more than what is computed in it."""
+
+    def __call__(self, name: str, shape: tuple[int, ...], kind=np.float32) -> np.ndarray:
+        size, x = math.prod(shape), self.get(name)
+        if x is None or x.size < size or x.dtype != kind:
+            x = self[name] = np.empty(size, kind)
+        return x[:size].reshape(shape)
+
+
+def _weights(m: dict) -> tuple[np.ndarray, np.ndarray]:
+    """``read`` and ``keep`` as one matrix for each gate and the candidate, so that no step works on slices of rows. Those of the
+    gates are halved (the logistic function is ``(1 + tanh(x / 2)) / 2``)."""
+    out = []
+    for name in ("read", "keep"):
+        x = np.ascontiguousarray(m[name].reshape(len(m[name]), 3, -1).transpose(1, 0, 2))
+        x[:2] *= 0.5
+        out.append(x)
+    return out[0], out[1]
+
+
+def _gates(x: np.ndarray, keep: np.ndarray, h: np.ndarray, a: np.ndarray | None = None) -> np.ndarray:
+    """Turns the inputs ``x`` (3, lanes, hidden) into update gate, reset gate and candidate; returns the candidate's kept part."""
+    a = np.matmul(h, keep, out=a)
+    zr, c = x[:2], x[2]
+    zr += a[:2]
     np.tanh(zr, out=zr)
     zr *= 0.5
-    zr += 0.5  # the logistic function
-    c = zr[:, k:] * a[:, 2 * k :]
-    c += x[:, 2 * k :]
+    zr += 0.5
+    c += zr[1] * a[2]
     np.tanh(c, out=c)
-    return zr[:, :k], zr[:, k:], c, a[:, 2 * k :]
-
-
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials and the logs of their row sums; ``z`` becomes relative to its largest entry (or, where a row
-    lies too far below that, each row to its own)."""
-    ones = np.ones(z.shape[1], z.dtype)
-    z -= z.max()
-    e = np.exp(z)
-    total = e @ ones
-    if total.min() < 1e-25:
+    return a[2]
+
+
+def _softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, place: np.ndarray, scale: float | None, space: Space) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of the columns ``place``; with ``scale``, that times the gradients of their negatives, too."""
+    z = np.matmul(h, weights, out=space("softmax", (len(h), len(bias)), h.dtype))
+    z += bias
+    rows, ones = np.arange(len(h)), np.ones(len(bias), h.dtype)
+    picked = z[rows, place]
+    total = np.exp(z, out=z) @ ones
+    if not (total.min() > 1e-25 and total.max() < 1e30):  # far from 0: relative to each row's largest entry
+        np.matmul(h, weights, out=z)
+        z += bias
         z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        total = e @ ones
-    return e, np.log(total)
+        picked = z[rows, place]
+        total = np.exp(z, out=z) @ ones
+    if scale is not None:
+        z *= (scale / total)[:, None]
+        z[rows, place] -= scale
+    return picked - np.log(total), z
 
 
-def _output(m: dict, s: Sizes, h: np.ndarray, want: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+def _output(m: dict, s: Sizes, h: np.ndarray, want: np.ndarray, grads: dict | None = None, space: Space | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log probability of the symbols ``want`` given states ``h``; with ``grads``, adds the gradients of the
-    mean negative log probability and returns that of ``h``."""
-    n = len(want)
+    mean negative log probability and returns that of ``h``. Rows go in blocks that stay in the processor's cache."""
+    n, space = len(want), Space() if space is None else space
     of = np.where(want < s.soft, want // s.members, want - (s.soft - s.classes)).astype(np.int16)
     order = np.argsort(of, kind="stable")  # a radix sort; all below is in the order of classes
-    of, want, h = of[order], want[order], h[order]
-    z = h @ m["to_class"]
-    z += m["class_bias"]
-    rows = np.arange(n)
-    d, logs = _softmax(z)
-    out = (z[rows, of] - logs).astype(np.float64)
-    back = None
-    if grads is not None:
-        d /= np.exp(logs)[:, None]
-        d[rows, of] -= 1
-        d /= n
-        grads["to_class"] += h.T @ d
-        grads["class_bias"] += d.sum(axis=0)
-        back = d @ m["to_class"].T
+    of, want, h = of[order], want[order], h.take(order, axis=0, out=space("sorted", h.shape, h.dtype), mode="clip")
+    logs, ones = np.empty(n), np.ones(min(n, ROWS), h.dtype)
+    back, scale = (None, None) if grads is None else (space("back", h.shape, h.dtype), h.dtype.type(1 / n))
     edges = np.searchsorted(of, np.arange(s.classes + 1))
-    for c in np.flatnonzero(edges[1:] > edges[:-1]):
-        at = slice(edges[c], edges[c + 1])
-        hc = h[at]
-        z = hc @ m["to_member"][c].T
-        z += m["member_bias"][c]
-        some, place = rows[: len(hc)], want[at] - c * s.members
-        d, logs = _softmax(z)
-        out[at] += z[some, place] - logs
-        if grads is not None:
-            d /= np.exp(logs)[:, None]
-            d[some, place] -= 1
-            d /= n
-            grads["to_member"][c] += d.T @ hc
-            grads["member_bias"][c] += d.sum(axis=0)
-            back[at] += d @ m["to_member"][c]
-    place = np.empty_like(order)
-    place[order] = rows
-    return out[place], None if back is None else back[place]
+    with np.errstate(over="ignore"):
+        for k in range(0, n, ROWS):
+            at = slice(k, k + ROWS)
+            logs[at], d = _softmax(h[at], m["to_class"], m["class_bias"], of[at], scale, space)
+            if grads is not None:
+                grads["to_class"] += h[at].T @ d
+                grads["class_bias"] += ones[: len(d)] @ d
+                np.matmul(d, m["to_class"].T, out=back[at])
+        for c in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+            for k in range(edges[c], edges[c + 1], ROWS):
+                at = slice(k, min(k + ROWS, edges[c + 1]))
+                more, d = _softmax(h[at], m["to_member"][c].T, m["member_bias"][c], want[at] - c * s.members, scale, space)
+                logs[at] += more
+                if grads is not None:
+                    grads["to_member"][c] += d.T @ h[at]
+                    grads["member_bias"][c] += ones[: len(d)] @ d
+                    back[at] += d @ m["to_member"][c]
+    out, down = np.empty_like(logs), None if back is None else space("down", back.shape, back.dtype)
+    out[order] = logs
+    if back is not None:
+        down[order] = back
+    return out, down
+
+
+def _summed(parts: list[np.ndarray], ids: np.ndarray, size: int, space: Space) -> np.ndarray:
+    """Sums of the rows of ``parts``, side by side, by their ``ids``: a frequent id at once, the others occurrence by occurrence."""
+    order = np.argsort(ids.astype(np.min_scalar_type(size)), kind="stable")
+    rows, ids = space("ordered", (len(parts), *parts[0].shape), parts[0].dtype), ids[order]
+    for x, out in zip(parts, rows, strict=True):
+        x.take(order, axis=0, out=out, mode="clip")
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    times = np.diff(np.r_[first, len(ids)])
+    out = np.zeros((len(parts), size, rows.shape[2]), rows.dtype)
+    for i, n in zip(first[times >= FREQUENT].tolist(), times[times >= FREQUENT].tolist(), strict=True):
+        out[:, ids[i]] = rows[:, i : i + n].sum(axis=1)
+    first, times = first[times < FREQUENT], times[times < FREQUENT]
+    for k in range(int(times.max(initial=0))):
+        at = first[times > k]
+        out[:, ids[at]] += rows[:, at + k]
+    return out.transpose(1, 0, 2).reshape(size, -1)
 
 
 class Lanes:
-    """Documents (arrays of symbols) side by side. ``windows`` yields, for every ``window`` steps, inputs, targets,
-    starts of documents and numbers of documents as (steps, lanes) arrays; lanes that are over have left (targets of -1
-    fill the last window of a lane). Whole documents go to lanes of like load, the longest lane first. With ``even`` one
-    row of all documents is cut into equal lanes, as training does: the first document of a lane may start in its middle."""
+    """Documents (arrays of symbols) side by side. Whole documents go to lanes of like load, the longest lane first;
+    ``steps`` yields them. With ``even`` one row of all documents is cut into equal lanes, as training does: the first document
+    of a lane may start in its middle; ``windows`` yields these."""
 
     def __init__(self, docs: list[np.ndarray], end: int, lanes: int, window: int, *, even: bool = False):
         self.window = window
@@ -279,16 +315,27 @@ class Lanes:
         of = sorted((x for x in of if x), key=lambda x: -sum(len(docs[i]) for i in x))
         self.want, self.doc, self.read, self.fresh = zip(*(_row(x, docs, end) for x in of), strict=True) if of else ([], [], [], [])
 
+    def steps(self) -> tuple[np.ndarray, ...]:
+        """Inputs, targets, starts of documents and numbers of documents of the first step, the second, ..., and where each step begins
+        (the end last). Lanes that are over have left."""
+        sizes = np.array([len(w) for w in self.want], np.int64)
+        left = len(sizes) - np.searchsorted(np.sort(sizes), np.arange(sizes.max(initial=0)), side="right")
+        begins, out = np.append(0, np.cumsum(left)), []
+        place = np.concatenate([np.zeros(0, np.int64), *(begins[:n] + i for i, n in enumerate(sizes.tolist()))])
+        for source, kind in ((self.read, np.int32), (self.want, np.int32), (self.fresh, bool), (self.doc, np.int32)):
+            out.append(np.empty(len(place), kind))
+            out[-1][place] = np.concatenate(source) if source else 0
+        return (*out, begins)
+
     def windows(self) -> Iterator[tuple[np.ndarray, ...]]:
-        for t in range(0, len(self.want[0]) if self.want else 0, self.window):
-            here = [i for i, w in enumerate(self.want) if len(w) > t]
-            steps = min(self.window, max(len(self.want[i]) - t for i in here))
-            out = [np.full((len(here), steps), fill, kind) for fill, kind in ((0, np.int32), (-1, np.int32), (False, bool), (0, np.int32))]
-            for i in here:
-                for a, source in zip(out, (self.read, self.want, self.fresh, self.doc), strict=True):
-                    part = source[i][t : t + steps]
-                    a[i, : len(part)] = part
-            yield tuple(np.ascontiguousarray(a.T) for a in out)
+        """For every ``window`` steps of even lanes inputs, targets, starts and numbers of documents as (steps, lanes) arrays; a lane
+        that is over has left (targets of -1 fill its last window)."""
+        size = len(self.want[0]) if self.want else 0
+        missing = size - len(self.want[-1]) if self.want else 0
+        tables = [np.concatenate([*x, np.full(missing, fill, x[0].dtype)]).reshape(-1, size) for x, fill in ((self.read, 0), (self.want, -1), (self.fresh, False), (self.doc, 0)) if x]
+        for t in range(0, size, self.window):
+            here = len(self.want) - (t >= size - missing)
+            yield tuple(np.ascontiguousarray(x[:here, t : t + self.window].T) for x in tables)
 
 
 def _row(some: Iterable[int], docs: list[np.ndarray], end: int) -> tuple[np.ndarray, ...]:
@@ -303,63 +350,87 @@ def _row(some: Iterable[int], docs: list[np.ndarray], end: int) -> tuple[np.ndar
 
 
 def log_probabilities(m: dict, s: Sizes, docs: list[np.ndarray], end: int, *, lanes: int = SCORED_LANES, window: int = WINDOW) -> np.ndarray:
-    """Natural log of the probability of the symbols of each document."""
-    total = np.zeros(len(docs))
+    """Natural log of the probability of the symbols of each document. The states are read out ``lanes * window`` or more at a time,
+    however few lanes are left."""
+    read, want, fresh, doc, begins = Lanes(docs, end, lanes, window).steps()
+    logs, (inputs, keep) = np.empty(len(want)), _weights(m)
     h = np.zeros((max(1, min(lanes, len(docs))), s.hidden), np.float32)
-    for read, want, fresh, doc in Lanes(docs, end, lanes, window).windows():
-        h = h[: read.shape[1]]
-        states = np.empty((*read.shape, s.hidden), np.float32)
-        some_fresh = fresh.any(axis=1).tolist()
-        for t in range(len(read)):
-            if some_fresh[t]:
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            z, _, c, _ = _gates(m, m["read"].take(read[t], axis=0), h)
-            now = np.subtract(h, c, out=states[t])
-            now *= z
-            now += c
-            h = now
-        valid = want >= 0
-        if valid.all():
-            states, want, doc = states.reshape(-1, s.hidden), want.ravel(), doc.ravel()
-        else:
-            states, want, doc = states[valid], want[valid], doc[valid]
-        logs, _ = _output(m, s, states, want)
-        np.add.at(total, doc, logs)
-    return total
-
-
-def _backward(m: dict, s: Sizes, h: np.ndarray, read: np.ndarray, want: np.ndarray, fresh: np.ndarray) -> tuple[float, int, dict, np.ndarray]:
+    space, done = Space(), 0
+    states = space("states", (lanes * (window + 1), s.hidden))
+    bounds = begins.tolist()
+    some_fresh = np.logical_or.reduceat(fresh, begins[:-1]).tolist() if len(want) else []
+    for t, here in enumerate(some_fresh):
+        a, b = bounds[t], bounds[t + 1]
+        h = h[: b - a]
+        if here:
+            h = np.where(fresh[a:b, None], np.float32(0), h)
+        x = inputs.take(read[a:b], axis=1, out=space("x", (3, b - a, s.hidden)), mode="clip")
+        _gates(x, keep, h, space("a", x.shape))
+        now = np.subtract(h, x[2], out=states[a - done : b - done])
+        now *= x[0]
+        now += x[2]
+        h = now
+        if b - done >= lanes * window or b == len(want):
+            logs[done:b] = _output(m, s, states[: b - done], want[done:b], None, space)[0]
+            h, done = now.copy(), b
+    return np.bincount(doc, logs, len(docs)) if len(docs) else np.zeros(0)
+
+
+def _backward(m: dict, s: Sizes, h: np.ndarray, read: np.ndarray, want: np.ndarray, fresh: np.ndarray, space: Space | None = None) -> tuple[float, int, dict, np.ndarray]:
     """One window: sum of negative logs, tokens, gradients of their mean, last state."""
-    k, steps = s.hidden, len(read)
-    kept, before, states = [], [], np.empty((*read.shape, k), np.float32)
+    k, (steps, lanes), kind, space = s.hidden, read.shape, m["keep"].dtype, Space() if space is None else space
+    inputs, keep = _weights(m)
+    before, states = space("before", (steps, lanes, k), kind), space("states", (steps, lanes, k), kind)
+    gates, parts = space("gates", (3, steps, lanes, k), kind), space("parts", (steps, lanes, k), kind)
+    some_fresh = fresh.any(axis=1).tolist()
     for t in range(steps):
-        h = np.where(fresh[t][:, None], np.float32(0), h)
-        before.append(h)
-        kept.append(_gates(m, m["read"][read[t]], h))
-        z, _, c, _ = kept[-1]
-        h = states[t] = c + z * (h - c)
+        before[t] = h
+        if some_fresh[t]:
+            before[t][fresh[t]] = 0
+        x = inputs.take(read[t], axis=1, out=space("x", (3, lanes, k), kind), mode="clip")
+        parts[t] = _gates(x, keep, before[t], space("a", x.shape, kind))
+        gates[:, t] = x
+        h = np.subtract(before[t], x[2], out=states[t])
+        h *= x[0]
+        h += x[2]
+    last = h.copy()
     g = {name: np.zeros(x, np.float32) for name, x in s.shapes().items()}
-    valid = want >= 0
-    logs, back = _output(m, s, states[valid], want[valid], g)
-    down = np.zeros_like(states)
-    down[valid] = back
-    d_read, d_keep = np.empty((steps, read.shape[1], 3 * k), np.float32), np.empty((steps, read.shape[1], 3 * k), np.float32)
-    later = np.zeros_like(h)
+    states, valid = states.reshape(-1, k), want.ravel() >= 0
+    if valid.all():
+        logs, down = _output(m, s, states, want.ravel(), g, space)
+    else:
+        down = np.zeros_like(states)
+        logs, down[valid] = _output(m, s, states[valid], want.ravel()[valid], g, space)
+    down = down.reshape(steps, lanes, k)
+    # gates, candidate and its kept part give way to the gradients of the sums inside them
+    turned = np.ascontiguousarray(m["keep"].reshape(k, 3, k).transpose(1, 2, 0))
+    later, some, more = np.zeros((lanes, k), kind), np.empty((lanes, k), kind), np.empty((lanes, k), kind)
     for t in range(steps - 1, -1, -1):
-        z, r, c, a = kept[t]
-        d = down[t] + later
-        dz = d * (before[t] - c) * z * (1 - z)
-        dc = d * (1 - z) * (1 - c * c)
-        dr = dc * a * r * (1 - r)
-        d_read[t] = np.concatenate([dz, dr, dc], axis=1)
-        d_keep[t] = np.concatenate([dz, dr, dc * r], axis=1)
-        later = (d * z + d_keep[t] @ m["keep"].T) * ~fresh[t][:, None]
-    g["keep"] = np.concatenate(before).T @ d_keep.reshape(-1, 3 * k)
-    order = np.argsort(read.ravel(), kind="stable")
-    ids = read.ravel()[order]
-    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    g["read"][ids[first]] = np.add.reduceat(d_read.reshape(-1, 3 * k)[order], first, axis=0)
-    return -float(logs.sum()), len(logs), g, h
+        (z, r, c), a, d = gates[:, t], parts[t], down[t]
+        d += later
+        np.multiply(d, z, out=later)
+        np.subtract(1, z, out=some)
+        np.subtract(before[t], c, out=more)
+        more *= later
+        np.multiply(more, some, out=z)
+        d *= some
+        np.multiply(c, c, out=some)
+        np.subtract(1, some, out=some)
+        np.multiply(d, some, out=c)
+        np.multiply(c, a, out=some)
+        some *= r
+        np.multiply(c, r, out=a)
+        np.subtract(1, r, out=r)
+        r *= some
+        for x, y in zip((z, r, a), turned, strict=True):
+            later += np.matmul(x, y, out=some)
+        if some_fresh[t]:
+            later[fresh[t]] = 0
+    flat_before = before.reshape(-1, k).T
+    for i, x in enumerate((gates[0], gates[1], parts)):
+        g["keep"][:, i * k : (i + 1) * k] = flat_before @ x.reshape(-1, k)
+    g["read"] += _summed([x.reshape(-1, k) for x in gates], read.ravel(), s.symbols, space)
+    return -float(logs.sum()), len(logs), g, last
 
 
 def train_replica(m: dict, s: Sizes, docs: list[np.ndarray], end: int, *, lanes: int | None = None, window: int = WINDOW, step: float = STEP_SIZE) -> tuple[dict, float, int]:
@@ -370,9 +441,9 @@ def train_replica(m: dict, s: Sizes, docs: list[np.ndarray], end: int, *, lanes:
     m = {k: m[k].copy() for k in names}
     one, two = ({k: np.zeros_like(m[k]) for k in names} for _ in range(2))
     h = np.zeros((lanes, s.hidden), np.float32)
-    loss, count = 0.0, 0
+    loss, count, space = 0.0, 0, Space()
     for n, (read, want, fresh, _) in enumerate(Lanes(docs, end, lanes, window, even=True).windows(), 1):
-        lost, seen, g, h = _backward(m, s, h[: read.shape[1]], read, want, fresh)
+        lost, seen, g, h = _backward(m, s, h[: read.shape[1]], read, want, fresh, space)
         loss, count = loss + lost, count + seen
         norm = math.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
         scale = min(1.0, MOST_NORM / max(norm, 1e-12))
@@ -421,35 +492,68 @@ def _averaged(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).applyInPandas(mean, "block int, salt int, tokens long, loss double, x binary")
 
 
-def train(texts: DataFrame, v: Vocabulary, *, share: float = SHARE, rounds: int = ROUNDS, replica_tokens: int = REPLICA_TOKENS, seed: int = 1) -> tuple[dict, list[float]]:
-    """The network after ``rounds`` rounds over the documents of ``texts(doc_id, text)`` that the share takes, and the
-    mean loss (natural log) of each round as it went."""
-    spark, s = texts.sparkSession, v.sizes
-    told = spark.sparkContext.broadcast(v)
+_CODED = "doc_id long, held_out boolean, h long, n long, n_rare long, base double, share double, rare array<struct<word:binary,times:int>>, symbols binary"
+
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def coded(docs: DataFrame, v: Vocabulary, *, seed: int = 1) -> DataFrame:
+    """``docs(doc_id, held_out, text)`` as written rows with a number each: the symbols of the text, its distinct rare words, and what
+    the words of the dictionary add to its scores. A text is cut into words once for training and scoring."""
+    told = docs.sparkSession.sparkContext.broadcast(v)
+    names = [c.split()[0] for c in _CODED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = told.value
+        kind = _kind(v.sizes)
         for b in pieces(batches):
-            found = [v.symbol[v.encode(tokens(x))].astype("<i4") for x in blobs(b.column("text"))]
-            arrays = [b.column("h"), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["h", "n", "symbols"])
-
-    drawn = texts.withColumn("h", F.xxhash64("doc_id", "text", F.lit(seed)))  # copies with ids of their own are drawn apart
-    drawn = drawn.where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)).select("h", "text")
-    coded = drawn.mapInArrow(encode, "h long, n long, symbols binary")
-    coded = coded.withColumn("round", F.pmod(F.shiftright("h", 32), F.lit(rounds)).cast("int"))
-    coded = write_table(coded, "training_symbols")
-    sizes = {r["round"]: r["n"] for r in coded.groupBy("round").agg(F.sum("n").alias("n")).collect()}
+            n, n_rare, base, share, symbols, words, times, ends = [], [], [], [], [], [], [], [0]
+            for blob in blobs(b.column("text")):
+                found = tokens(blob)
+                at = v.encode(found)
+                rare = Counter(map(found.__getitem__, np.flatnonzero(at[:-1] < 0).tolist()))
+                if at[-1] < 0:
+                    rare[END] += 1
+                n.append(len(at))
+                n_rare.append(rare.total())
+                base.append(float(v.base[at].sum()))
+                share.append(float(v.share[at].sum()))
+                symbols.append(v.symbol[at].astype(kind).tobytes())
+                words.extend(rare)
+                times.extend(rare.values())
+                ends.append(len(words))
+            rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int32())], ["word", "times"])
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)
+            own = [pa.array(n, pa.int64()), pa.array(n_rare, pa.int64()), pa.array(base, pa.float64()), pa.array(share, pa.float64()), rare, pa.array(symbols, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), b.column("h"), *own], names)
+
+    # copies with ids of their own are drawn apart
+    out = docs.select("doc_id", "held_out", F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"), "text").mapInArrow(run, _CODED)
+    out = write_table(out.withColumn("row", F.monotonically_increasing_id()), "coded")
     told.destroy()
+    return out
+
+
+def _kind(s: Sizes) -> np.dtype:
+    """Of symbols in a table."""
+    return np.dtype("<u2" if s.symbols <= 1 << 16 else "<u4")
+
+
+def train(rows: DataFrame, v: Vocabulary, *, share: float = SHARE, rounds: int = ROUNDS, replica_tokens: int = REPLICA_TOKENS, seed: int = 1) -> tuple[dict, list[float]]:
+    """The network after ``rounds`` rounds over the documents of coded ``rows`` that the share takes, and the
+    mean loss (natural log) of each round as it went."""
+    spark, s = rows.sparkSession, v.sizes
+    drawn = rows.where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)).select("h", "n", "symbols")
+    drawn = drawn.withColumn("round", F.pmod(F.shiftright("h", 32), F.lit(rounds)).cast("int"))
+    drawn = write_table(drawn, "training_symbols")
+    sizes = {r["round"]: r["n"] for r in drawn.groupBy("round").agg(F.sum("n").alias("n")).collect()}
     m, losses, end = new_model(v, seed), [], _end(v)
     for number in range(rounds):
         if not sizes.get(number):
             continue
         replicas = -(-sizes[number] // replica_tokens)
         model = spark.sparkContext.broadcast(flat(m))
-        rows = coded.where(F.col("round") == number).select("h", "symbols").repartition(replicas).sortWithinPartitions("h", "symbols")
+        some = drawn.where(F.col("round") == number).select("h", "symbols").repartition(replicas).sortWithinPartitions("h", "symbols")
         salts = max(1, math.isqrt(replicas))
-        blocks = rows.mapInArrow(_replica(model, s, end), "block int, tokens long, loss double, x binary")
+        blocks = some.mapInArrow(_replica(model, s, end), "block int, tokens long, loss double, x binary")
         blocks = blocks.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
         part = write_table(_averaged(blocks, "block", "salt"), "replicas")
         done = sorted(_averaged(part, "block").collect(), key=lambda r: r["block"])
@@ -465,7 +569,7 @@ def _end(v: Vocabulary) -> int:
 
 def _replica(model, s: Sizes, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs = [np.frombuffer(x.as_py(), "<i4") for b in batches for x in b.column("symbols")]
+        docs = [np.frombuffer(x.as_py(), _kind(s)) for b in batches for x in b.column("symbols")]
         if not docs:
             return
         m, loss, n = train_replica(unflat(model.value, s), s, docs, end)
@@ -477,63 +581,44 @@ def _replica(model, s: Sizes, end: int):
     return run
 
 
-_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, n_rare long, base double, score double, rare array<struct<word:binary,times:int>>"
+def score_known(rows: DataFrame, v: Vocabulary, m: dict, *, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """The columns of coded ``rows`` but symbols and rare words, with ``score``: without what the shares of rare words add."""
+    s, end = v.sizes, _end(v)
+    told = rows.sparkSession.sparkContext.broadcast(flat(m))
+    names = ["row", "doc_id", "held_out", "n", "n_rare", "base", "share"]
 
-
-def score_known(docs: DataFrame, v: Vocabulary, m: dict, *, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """Written rows of ``docs(doc_id, held_out, text)`` with a number each: scores without what the shares of rare words
-    add, and the distinct rare words of each document."""
-    spark, s = docs.sparkSession, v.sizes
-    told = spark.sparkContext.broadcast((v, flat(m)))
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
-
-    def finish(held: list[tuple], docs: list[np.ndarray], v: Vocabulary, m: dict) -> pa.RecordBatch:
-        logs = log_probabilities(m, s, docs, _end(v))
-        columns = list(zip(*held, strict=True))
-        score = [(x + y) / math.log(10) for x, y in zip(logs.tolist(), columns[6], strict=True)]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-        arrays = [pa.array(c, k) for c, k in zip(columns[:6], kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(score), pa.array(columns[7], rare_type)], ["doc_id", "held_out", "n_tokens", "n_known", "n_rare", "base", "score", "rare"])
+    def finish(held: list[pa.RecordBatch], m: dict) -> pa.Table:
+        whole = pa.Table.from_batches(held)
+        docs = [np.frombuffer(x.as_buffer(), _kind(s)) for b in held for x in b.column("symbols")]
+        score = (log_probabilities(m, s, docs, end) + whole.column("share").to_numpy()) / math.log(10)
+        return whole.drop_columns("symbols").append_column("score", pa.array(score))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, weights = told.value
-        m = unflat(weights, s)
-        held, docs, n = [], [], 0
+        m = unflat(told.value, s)
+        held, n = [], 0
         for b in pieces(batches):
-            for doc_id, out, blob in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), blobs(b.column("text")), strict=True):
-                found = tokens(blob)
-                at = v.encode(found)
-                missing = np.flatnonzero(at[:-1] < 0).tolist()
-                rare = Counter(map(found.__getitem__, missing))
-                if at[-1] < 0:
-                    rare[END] += 1
-                known = len(at) - rare.total()
-                held.append((doc_id, out, len(at), known, rare.total(), float(v.base[at].sum()), float(v.share[at].sum()), [{"word": w, "times": t} for w, t in rare.items()]))
-                docs.append(v.symbol[at].astype(np.int32))
-                n += len(at)
-                if n >= chunk_tokens:
-                    yield finish(held, docs, v, m)
-                    held, docs, n = [], [], 0
+            held.append(b)
+            n += int(np.sum(b.column("n").to_numpy()))
+            if n >= chunk_tokens:
+                yield from finish(held, m).to_batches()
+                held, n = [], 0
         if held:
-            yield finish(held, docs, v, m)
+            yield from finish(held, m).to_batches()
 
-    out = docs.select("doc_id", "held_out", "text").mapInArrow(run, _SCORED)
-    out = write_table(out.withColumn("row", F.monotonically_increasing_id()), "scored")
-    told.destroy()
-    return out
+    return rows.select(*names, "symbols").mapInArrow(run, "row long, doc_id long, held_out boolean, n long, n_rare long, base double, share double, score double")
 
 
 def score(docs: DataFrame, *, folds: int = 10, known: int = KNOWN, sizes: Sizes = Sizes(), **settings) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row; rows whose doc_id's CRC-32 is
     no multiple of ``folds`` are learned from."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(folds=folds).alias("held_out"), F.col("text").cast("string").alias("text"))
-    training = rows.where(~F.col("held_out")).select("doc_id", "text")
-    counts = write_table(word_counts(training), "word_counts")
+    counts = write_table(word_counts(rows.where(~F.col("held_out")).select("text")), "word_counts")
     v = learn_vocabulary(counts, known=known, sizes=sizes)
-    m, _ = train(training, v, **settings)
+    rows = coded(rows, v)
+    m, _ = train(rows.where(~F.col("held_out")), v, **settings)
     scored = score_known(rows, v, m)
 
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(counts, "word", "left")
+    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(counts, "word", "left")
     n = F.coalesce("n", F.lit(0))
     rest = v.rest_total + ADDED * (v.rest_distinct + 1)
     rare = rare.groupBy("row").agg(
@@ -541,8 +626,8 @@ def score(docs: DataFrame, *, folds: int = 10, known: int = KNOWN, sizes: Sizes
         F.sum(F.col("times") * F.log10((n + ADDED) / F.lit(v.whole))).alias("base_rare"),
         F.sum(F.col("times") * F.log10((n + ADDED) / F.lit(rest))).alias("score_rare"),
     )
-    out = scored.drop("rare").join(rare, "row", "left").na.fill({"more": 0, "base_rare": 0.0, "score_rare": 0.0})
+    out = scored.join(rare, "row", "left").na.fill({"more": 0, "base_rare": 0.0, "score_rare": 0.0})
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("more")).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("n") - F.col("n_rare") + F.col("more")).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
         (F.col("base") + F.col("base_rare")).alias("base_score"), (F.col("score") + F.col("score_rare")).alias("score"),
     )

@@ -187,3 +187,40 @@ def test_the_network_learns_from_every_training_row(documents, monkeypatch):
     monkeypatch.setattr(lm, "write_table", write)
     got = lm.score(documents(rows), sizes=SMALL, rounds=1).collect()
     assert seen == [sum(not r["held_out"] for r in got)] and seen[0] > 40
+
+
+def test_long_documents_do_not_cause_many_small_read_outs(monkeypatch):
+    """One long document beside short ones: the states of its narrow steps are read out together."""
+    v, docs = symbols(9)
+    docs = [*docs, np.resize(np.concatenate(docs), 4_000)]
+    sizes, real = [], lm._output
+    monkeypatch.setattr(lm, "_output", lambda m, s, h, want, *rest: (sizes.append(len(want)), real(m, s, h, want, *rest))[1])
+    logs = lm.log_probabilities(lm.new_model(v), SMALL, docs, lm._end(v), lanes=16, window=32)
+    assert sum(sizes) == sum(map(len, docs)) and min(sizes[:-1]) >= 16 * 32
+    mass = v.mass / v.mass.sum()
+    assert np.allclose(logs, [np.log(mass[d]).sum() for d in docs], rtol=1e-4)
+
+
+def test_sums_of_gradients_by_symbol():
+    rng = np.random.default_rng(4)
+    ids = np.minimum(rng.exponential(6, 700).astype(np.int32), 49)  # frequent and rare ones, some of none
+    parts = [rng.normal(size=(700, 5)) for _ in range(3)]
+    want = np.zeros((50, 15))
+    np.add.at(want, ids, np.concatenate(parts, axis=1))
+    assert np.allclose(lm._summed(parts, ids, 50, lm.Space()), want)
+
+
+def test_logits_far_from_zero():
+    h, place = np.array([[1.0], [-1.0]], np.float32), np.array([0, 1])
+    with np.errstate(over="ignore"):
+        logs, d = lm._softmax(h, np.array([[300.0, -300.0]], np.float32), np.zeros(2, np.float32), place, 1.0, lm.Space())
+    assert np.allclose(logs, 0) and np.allclose(d, 0)
+
+
+def test_texts_are_cut_into_words_once_for_training_and_scores(documents, monkeypatch):
+    frames, real = {}, lm.write_table
+    monkeypatch.setattr(lm, "write_table", lambda df, name: (frames.setdefault(name, df), real(df, name))[1])
+    rows = [(i, f"only{i} the same words again") for i in range(40)]
+    assert lm.score(documents(rows), sizes=SMALL, rounds=1).count() == 40
+    reads_text = {k: "text" in df._jdf.queryExecution().optimizedPlan().toString() for k, df in frames.items()}
+    assert {k for k, x in reads_text.items() if x} == {"word_counts", "coded"}
