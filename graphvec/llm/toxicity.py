@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphvec.llm.text import blobs, pieces
-from graphvec.session import write_table
+from graphvec.session import bounded_batches, write_table
 
 BITS, FOLDS, TRAIN_ROWS, THRESHOLD = 18, 4, 16_000, 0.4
 BEGINNINGS = (4, 6)
@@ -180,6 +180,7 @@ def _fit_category(name: str, done: list[str]):
 
 def learn(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) -> Chain:
     """The chain. A model is 1 MB; each fold's fit is one task over the bounded sample."""
+    bounded_batches(docs.sparkSession)
     rows = training_rows(docs, labels, train_rows=train_rows)
     done: list[str] = []
     models: list[Linear] = []
@@ -204,6 +205,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) -
 
 def predict(docs: DataFrame, chain: Chain, *, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, p_low_quality, p_toxic, p_severe, toxic)`` of every row."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     names = ["doc_id", "p_low_quality", "p_toxic", "p_severe", "toxic"]
 
@@ -218,6 +220,7 @@ def predict(docs: DataFrame, chain: Chain, *, threshold: float = THRESHOLD) -> D
 
 def filter_toxic(docs: DataFrame, chain: Chain, *, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their columns."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import __spark_entry__ as entry
 import corpus_pipeline
+import pyarrow as pa
 from tests_llm_plain import brute_components, brute_substring, prose, sets
 from tokenizers import Tokenizer
 
@@ -84,3 +85,25 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_python_functions_of_a_stage_get_small_batches(spark, documents):
+    """Texts of 40 MB in a partition reach a worker in batches of a few MB; the caller's smaller setting is kept."""
+    from graphvec import session
+    from graphvec.llm import toxicity
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    was = spark.conf.get(session._BATCH_KEY)
+    try:
+        toxicity.filter_toxic(documents([(1, "x")]), toxicity.Chain([], [])).count()
+        rows = spark.range(400).coalesce(1).selectExpr("repeat('word ', 20000) as text")
+        found = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) > 40_000_000 and max(found) < 2 * session.BATCH_BYTES
+        spark.conf.set(session._BATCH_KEY, "1m")
+        session.bounded_batches(spark)
+        assert spark.conf.get(session._BATCH_KEY) == "1m"
+    finally:
+        spark.conf.set(session._BATCH_KEY, was)
