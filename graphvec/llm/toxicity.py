@@ -94,29 +94,37 @@ def fit(rows: list[np.ndarray], y: np.ndarray, earlier: np.ndarray, *, steps: in
     used = used[worth[used] > 0]
     place = np.full(size, -1)
     place[used] = np.arange(len(used))
-    of, col = [], []
-    for b in blocks:
-        c = place[np.concatenate(rows[b])]
-        o = np.repeat(np.arange(b.start, b.start + len(rows[b])), [len(r) for r in rows[b]])
-        of.append(o[c >= 0])
-        col.append(c[c >= 0])
-    of, col = np.concatenate(of), np.concatenate(col)
     x = np.clip(ratio[used], -3, 3)
+    parts = []  # a block's rows and columns in few bytes: an executor's other memory stands beside this
+    for b in blocks:
+        here = rows[b]
+        c = place[np.concatenate(here)]
+        o = np.repeat(np.arange(len(here), dtype=np.uint16), [len(r) for r in here])
+        parts.append((slice(b.start, b.start + len(here)), o[c >= 0], c[c >= 0].astype(np.min_scalar_type(len(used)))))
+
+    def by_row(per_column: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(o, per_column[c], b.stop - b.start) for b, o, c in parts])
+
+    def by_column(times: np.ndarray, per_row: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(used))
+        for b, o, c in parts:
+            np.add.at(out, c.astype(np.intp), times[c] * per_row[b][o])
+        return out
+
     extra = _logit(earlier)
     w, v, b = np.zeros(len(used)), np.zeros(extra.shape[1]), np.log(share / (1 - share))
-    value = x[col]
-    spread = np.bincount(of, np.abs(value), len(y)) + np.abs(extra).sum(axis=1) + 1
-    rw = 1 / (np.bincount(col, np.abs(value) * spread[of], len(used)) / 4 + penalty)
+    spread = by_row(np.abs(x)) + np.abs(extra).sum(axis=1) + 1
+    rw = 1 / (by_column(np.abs(x), spread) / 4 + penalty)
     rv = 1 / (np.abs(extra).T @ spread / 4 + penalty)
     rb = 1 / (spread.sum() / 4)
     pw, pv, pb, run = w.copy(), v.copy(), b, 0
     for _ in range(steps):
         m, run = run / (run + 3), run + 1
         aw, av, ab = w + m * (w - pw), v + m * (v - pv), b + m * (b - pb)
-        z = np.bincount(of, value * aw[col], len(y)) + extra @ av + ab
+        z = by_row(x * aw) + extra @ av + ab
         g = _sigmoid(z) - y
         pw, pv, pb = w, v, b
-        w = aw - rw * (np.bincount(col, value * g[of], len(used)) + penalty * aw)
+        w = aw - rw * (by_column(x, g) + penalty * aw)
         v = av - rv * (extra.T @ g + penalty * av)
         b = ab - rb * g.sum()
         if np.dot((aw - w) / rw, w - pw) > 0:
@@ -188,7 +196,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) -
         if name == "severe":
             toxic = rows.where("toxic = 1").agg(F.expr("percentile(p_toxic, 0.5)").alias("m")).first()["m"]
             rows = rows.withColumn("severe", F.when((F.col("toxic") == 1) & (F.col("p_toxic") > F.lit(toxic)), 1.0).otherwise(0.0))
-        tasks = rows.withColumn("out_of", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
+        tasks = rows.select("rid", "fold", "at", name, *done).withColumn("out_of", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
         found = tasks.groupBy("out_of").applyInPandas(_fit_category(name, done), "rid long, p double, model binary")
         found = write_table(found, "fitted")
         model = found.where(F.col("model").isNotNull()).first()

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -250,3 +251,17 @@ def test_toxicity_one_class_or_none(spark, documents, labels):
     assert toxicity.predict(documents([]), chain).count() == 0
     if not any(t for *_, t in labels):
         assert got.where("toxic").count() == 0
+
+
+def test_a_fit_takes_few_bytes_for_each_feature():
+    """Rows and columns lie in blocks of small integers; nothing as long as all features is made of 8-byte numbers."""
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 900, 400)).astype(np.int32) for _ in range(5000)]
+    y = np.array([float(r[0] == 0) for r in rows])
+    tracemalloc.start()
+    model = toxicity.fit(rows, y, np.zeros((len(rows), 0)), steps=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.count_nonzero(model.columns) == 900
+    # the weights, counts and ranks of all 2^18 columns take up to 24 MB
+    assert peak < (24 << 20) + 8 * sum(map(len, rows))
