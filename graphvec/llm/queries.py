@@ -191,7 +191,7 @@ FROM newest
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    found = write_table(warc.read_records(warc.read_chunks(spark, path)), "warc_records")
+    found = write_table(warc.read_archives(spark, path), "warc_records")
     return warc.resolve_revisits(found)
 
 

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphvec.session import bounded_batches
+
 REVISIT_BYTES = 1000
 CHUNK_BYTES = 256 * 1024
 _DATE = "1970-01-01T00:00:00Z"
@@ -97,6 +99,7 @@ _CHUNKS = "record_id string, chunk long, data binary"
 
 def chunk_table(classified: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``(record_id, chunk, data)``: the archive as rows, in the order of its bytes."""
+    bounded_batches(classified.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,6 +170,7 @@ class Parser:
 
 
 _READ = "file string, record_no long, chunk long, page_id long, record_type string, refers_to long, digest string, data binary"
+_RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def _page(name: str | None) -> int | None:
@@ -174,82 +178,98 @@ def _page(name: str | None) -> int | None:
     return int(part) if part not in ("", "null") else None
 
 
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of archives to chunk rows."""
+    names = [x.split(" ")[0] for x in _READ.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+    now, parser, number = None, Parser(), 0
+    rows, held = [], 0
+    for b in batches:
+        for file, raw in zip(b.column("file").to_pylist(), b.column("value").to_pylist(), strict=True):
+            if file != now:
+                now, parser, number = file, Parser(), 0
+            got = parser.line(raw)
+            if got is None:
+                continue
+            fields, data = got
+            chunk = int(fields.get("warc-segment-number", 1))
+            number += chunk == 1
+            kind = fields["warc-type"]
+            digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
+            rows.append((file, number, chunk, _page(fields["warc-record-id"]), kind, _page(fields.get("warc-refers-to")), digest, data))
+            held += len(data) + 200
+            if held >= 4 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunk rows to records. A record's chunks stand together and in order: one task wrote them to one file."""
+    key, sha, size, chunk, head, stored, out = None, None, 0, 0, None, None, []
+
+    def close() -> None:
+        if key is None:
+            return
+        digest = sha.hexdigest()
+        if head[1] == "revisit":
+            out.append((head[0], None, stored, head[1], head[2]))
+            return
+        if stored != digest:
+            raise ValueError(f"record of page {head[0]}: stored digest {stored}, computed {digest}")
+        out.append((head[0], size, digest, head[1], None))
+
+    def batch() -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split(" ")[0] for x in _RECORDS.split(", ")])
+
+    for b in batches:
+        cols = [b.column(c).to_pylist() for c in ("file", "record_no", "chunk", "page_id", "record_type", "refers_to", "digest")]
+        for i, (file, number, part, page_id, kind, refers, digest) in enumerate(zip(*cols, strict=True)):
+            if (file, number) != key:
+                close()
+                key, sha, size, chunk, head, stored = (file, number), hashlib.sha1(), 0, 0, (page_id, kind, refers), None
+            if part != chunk + 1:
+                raise ValueError(f"page {page_id}: chunk {part} follows chunk {chunk}")
+            data = memoryview(b.column("data")[i].as_buffer() or b"")
+            sha.update(data)
+            size, chunk, stored = size + len(data), part, digest or stored
+        if len(out) >= 10_000:
+            yield batch()
+            out.clear()
+    close()
+    if out:
+        yield batch()
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    bounded_batches(spark)
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """The chunked record table of the archives below ``path``: (file, record_no) identify a
     record, ``chunk`` numbers its segments from 1."""
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split(" ")[0] for x in _READ.split(", ")]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-        now, parser, number = None, Parser(), 0
-        rows, held = [], 0
-        for b in batches:
-            for file, raw in zip(b.column("file").to_pylist(), b.column("value").to_pylist(), strict=True):
-                if file != now:
-                    now, parser, number = file, Parser(), 0
-                got = parser.line(raw)
-                if got is None:
-                    continue
-                fields, data = got
-                chunk = int(fields.get("warc-segment-number", 1))
-                number += chunk == 1
-                kind = fields["warc-type"]
-                digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                rows.append((file, number, chunk, _page(fields["warc-record-id"]), kind, _page(fields.get("warc-refers-to")), digest, data))
-                held += len(data) + 200
-                if held >= 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                    rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    return lines.mapInArrow(run, _READ)
+    return _lines(spark, path).mapInArrow(_parsed, _READ)
 
 
 def read_records(chunks: DataFrame) -> DataFrame:
     """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` from chunk rows. The
     digest runs over the chunks of a record as they come, and is held against the stored one.
     Raises if a stored digest does not fit or a chunk is missing."""
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    # A record's chunks stand together and in order: one task wrote them to one file.
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sha, size, chunk, head, stored, out = None, None, 0, 0, None, None, []
-
-        def close() -> None:
-            if key is None:
-                return
-            digest = sha.hexdigest()
-            if head[1] == "revisit":
-                out.append((head[0], None, stored, head[1], head[2]))
-                return
-            if stored != digest:
-                raise ValueError(f"record of page {head[0]}: stored digest {stored}, computed {digest}")
-            out.append((head[0], size, digest, head[1], None))
-
-        def batch() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split(" ")[0] for x in schema.split(", ")])
+    bounded_batches(chunks.sparkSession)
+    return chunks.mapInArrow(_digested, _RECORDS)
 
-        for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("file", "record_no", "chunk", "page_id", "record_type", "refers_to", "digest")]
-            for i, (file, number, part, page_id, kind, refers, digest) in enumerate(zip(*cols, strict=True)):
-                if (file, number) != key:
-                    close()
-                    key, sha, size, chunk, head, stored = (file, number), hashlib.sha1(), 0, 0, (page_id, kind, refers), None
-                if part != chunk + 1:
-                    raise ValueError(f"page {page_id}: chunk {part} follows chunk {chunk}")
-                data = memoryview(b.column("data")[i].as_buffer() or b"")
-                sha.update(data)
-                size, chunk, stored = size + len(data), part, digest or stored
-            if len(out) >= 10_000:
-                yield batch()
-                out.clear()
-        close()
-        if out:
-            yield batch()
 
-    return chunks.mapInArrow(run, schema)
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """``read_records`` of ``read_chunks``, both steps in one Python function: a task has one worker
+    instead of two, and payloads do not travel through the JVM between the steps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _digested(_parsed(batches))
+
+    return _lines(spark, path).mapInArrow(run, _RECORDS)
 
 
 def resolve_revisits(found: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ import gzip
 import hashlib
 import re
 
+import pyarrow as pa
 import pytest
 
+from graphvec import session
 from graphvec.llm import url_filter, warc
 from graphvec.llm.queries import URL_RULES
 
@@ -114,3 +116,42 @@ def test_a_revisit_without_its_response_raises(spark):
     for lost in ([(1, 0, "aa", "revisit", 3)], [(1, 0, "bb", "revisit", 2)]):
         with pytest.raises(Exception, match="no response"):
             warc.resolve_revisits(spark.createDataFrame(rows[:1] + lost, kinds)).collect()
+
+
+@pytest.mark.parametrize("step", ["write", "read", "digest"])
+def test_archive_steps_get_small_batches(spark, tmp_path, step):
+    """Pages of 40 MB in a partition reach a worker in batches of a few MB, on the way out and on the way in."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    was = spark.conf.get(session._BATCH_KEY)
+    pages = spark.createDataFrame(PAGES[:4], "page_id long, url string, html string")
+    try:
+        warc.write_archives(pages, str(tmp_path / "w"))
+        chunks = warc.read_chunks(spark, str(tmp_path / "w"))
+        spark.conf.set(session._BATCH_KEY, was)
+        if step == "write":
+            warc.chunk_table(warc.classify(pages))
+        elif step == "read":
+            warc.read_chunks(spark, str(tmp_path / "w"))
+        else:
+            warc.read_records(chunks)
+        rows = spark.range(400).coalesce(1).selectExpr("repeat('word ', 20000) as html")
+        found = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) > 40_000_000 and max(found) < 2 * session.BATCH_BYTES
+    finally:
+        spark.conf.set(session._BATCH_KEY, was)
+
+
+@pytest.mark.parametrize("chunk", [7, 256 * 1024])
+def test_reading_takes_one_python_worker_a_task(spark, tmp_path, chunk):
+    """Both steps of reading in one function give what they give apart."""
+    pages = spark.createDataFrame([(a, b, h if h is None else h[:1500]) for a, b, h in PAGES], "page_id long, url string, html string").repartition(3)
+    path = str(tmp_path / "warc")
+    warc.write_archives(pages, path, chunk_bytes=chunk)
+    found = warc.read_archives(spark, path)
+    apart = warc.read_records(warc.read_chunks(spark, path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert found.schema == apart.schema
+    assert sorted(map(str, found.collect())) == sorted(map(str, apart.collect()))
