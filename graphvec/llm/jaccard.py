@@ -13,8 +13,11 @@
    a first round compares each group with the one leader of its shingles that it shares most of
    them with (and the nodes of a group with its first), a second one compares groups with other
    leaders in components that they are still apart from, and the last round takes all pairs that are still in
-   different components. No link between different components is left out, and thousands of near
-   copies cost a few comparisons each instead of one for each pair.
+   different components. The leaders of the first round are the groups with the smallest part of shingles
+   of their own: a text with little that its near copies have not stands in their middle. In the last round only groups
+   outside the component that most groups of a shingle are in meet all others, and sketches of the sets bound
+   what two groups can share before they make a pair. No link between different components is left out, and
+   thousands of near copies cost a few comparisons each instead of one for each pair.
 
 Every table between rounds is written below ``spark.checkpoint.dir``.
 
@@ -48,12 +51,12 @@ def _sets(b: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
 
 def signatures(docs: DataFrame, t: Fraction, n: int) -> DataFrame:
     """One written row a document: doc_id, text checksum, n, and for those that share a prefix
-    shingle with another the signatures of the set and of its prefix, and the prefix shingles that
-    are shared, with their positions."""
+    shingle with another the signatures of the set and of its prefix, the prefix shingles that
+    are shared, with their positions, and the sketch of the shingles that some other document may hold."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _crc().alias("crc"), "text")
     found = find_repeats(docs.select("text"), ["text"], lambda b: _sets(b, n))
     seen = rows.sparkSession.sparkContext.broadcast(found)
-    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
+    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -63,10 +66,10 @@ def signatures(docs: DataFrame, t: Fraction, n: int) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("crc"), *(pa.array(c, x) for c, x in zip(cols, kinds, strict=True))],
-                ["doc_id", "crc", "n", "most", "sig", "sig2", "psig", "toks", "pos"],
+                ["doc_id", "crc", "n", "most", "sig", "sig2", "psig", "toks", "pos", "bits"],
             )
 
-    schema = "doc_id long, crc long, n long, most long, sig long, sig2 long, psig long, toks array<long>, pos array<int>"
+    schema = "doc_id long, crc long, n long, most long, sig long, sig2 long, psig long, toks array<long>, pos array<int>, bits array<long>"
     out = rows.mapInArrow(run, schema)
     del found
     written = write_table(out.withColumn("rid", F.monotonically_increasing_id()), "signatures")
@@ -84,9 +87,16 @@ def _signature(s: np.ndarray, seen: Repeats, t: Fraction) -> tuple:
     at = np.flatnonzero(repeated[: len(head)])
     most = int(repeated.sum())  # shingles that some other document may hold
     if not len(at) or most * t.denominator < size * t.numerator:
-        return size, most, None, None, None, None, None
+        return size, most, None, None, None, None, None, None
     sums = [np.bitwise_xor.reduce(s), mix(s).sum(dtype=np.uint64), mix(head).sum(dtype=np.uint64)]
-    return (size, most, *np.array(sums, np.uint64).view(np.int64).tolist(), head[at].view(np.int64), at.astype(np.int32))
+    return (size, most, *np.array(sums, np.uint64).view(np.int64).tolist(), head[at].view(np.int64), at.astype(np.int32), _sketch(s[repeated]))
+
+
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """``SKETCH_BITS`` bits in 64-bit words; each value sets one."""
+    bits = np.zeros(SKETCH_BITS, bool)
+    bits[(mix(s) >> np.uint64(32)) % np.uint64(SKETCH_BITS)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
 
 def _met_shingles(live: DataFrame) -> DataFrame:
@@ -126,6 +136,8 @@ def _may_link(t: Fraction) -> Column:
 
 #: Prefix shingles of a group that tell which of the shared ones makes a pair.
 FIRST = 8
+#: Bits of the sketch of a set (a multiple of 64). Larger sets than that share more of them and pass more pairs, never fewer.
+SKETCH_BITS = 2048
 #: What a null doc_id is fetched by.
 NULL_KEY = -(1 << 63)
 #: Nodes (24 bytes each) up to which the list of needed texts is sent to the scan of the documents; a longer one
@@ -133,6 +145,15 @@ NULL_KEY = -(1 << 63)
 BROADCAST_NODES = 400_000
 
 
+def _sketches_allow(t: Fraction) -> Column:
+    """The similarity is within reach of two groups of one node each (sketches ``ak`` and ``bk`` with ``ac`` and ``bc`` bits): each
+    bit that only one of them has stands for a shingle or more that the other one does not hold. Without a sketch it is."""
+    p, q = t.numerator, t.denominator
+    both = F.aggregate(F.zip_with("ak", "bk", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, x: n + x)
+    most = F.least(F.col("am") - F.col("ac"), F.col("bm") - F.col("bc")) + both
+    return F.coalesce((most * (p + q)) >= ((F.col("an") + F.col("bn")) * p), F.lit(True))
+
+
 def _crc() -> Column:
     return F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
 
@@ -219,7 +240,8 @@ def _labelled(docs: DataFrame, similarity: float, n: int) -> DataFrame:
     sigs, nodes, members, heads, meet = _candidates(docs, t, n)
 
     # Round 1: each group meets the leader that it shares most shingles with, and its own nodes.
-    lead = meet.groupBy("tok").agg(F.min(F.struct("gid", "n", "p", "m")).alias("lead"))
+    own = F.struct((F.col("n") - F.col("m")) / F.col("n"), "gid")
+    lead = meet.groupBy("tok").agg(F.min_by(F.struct("gid", "n", "p", "m"), own).alias("lead"))
     led = _against(meet.join(lead, "tok"), t).groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
     led = _enough(led.select("a", "b"), heads, t)
     inside = members.where(F.col("node") != F.col("gid")).select(F.col("gid").alias("a"), F.col("node").alias("b"))
@@ -241,16 +263,21 @@ def _labelled(docs: DataFrame, similarity: float, n: int) -> DataFrame:
     links = write_table(links.unionByName(found), "linked")
     comp = write_table(_spread(nodes, links), "components")
 
-    # Round 3: all pairs that are still in different components and were not compared.
+    # Round 3: all pairs that are still in different components and were not compared. Of two such groups one at least is
+    # outside the main component of a shingle they share, so only these meet all groups of the shingle.
     # A pair that shares one of its first shingles is made by the first of these only.
-    apart = _apart(meet, members, comp).join(heads.select("gid", F.slice("toks", 1, FIRST).alias("f")), "gid")
-    one = apart.select("tok", *[F.col(c).alias(x) for c, x in (("gid", "ga"), ("n", "an"), ("p", "ap"), ("m", "am"), ("low", "la"), ("high", "ha"), ("f", "fa"))])
-    two = apart.select("tok", *[F.col(c).alias(x) for c, x in (("gid", "gb"), ("n", "bn"), ("p", "bp"), ("m", "bm"), ("low", "lb"), ("high", "hb"), ("f", "fb"))])
+    apart = _apart(meet, members, comp)
+    main = apart.where("low = high").groupBy("tok", "low").agg(F.count(F.lit(1)).alias("c")).groupBy("tok").agg(F.max_by("low", F.struct("c", "low")).alias("main"))
+    apart = apart.join(main, "tok", "left").withColumn("main", F.coalesce((F.col("low") == F.col("main")) & (F.col("low") == F.col("high")), F.lit(False)))
+    apart = apart.join(_sketched(apart.select("gid").distinct(), members, heads, sigs), "gid")
+    one = apart.where(~F.col("main")).select("tok", *[F.col(c).alias(x) for c, x in (("gid", "ga"), ("n", "an"), ("p", "ap"), ("m", "am"), ("low", "la"), ("high", "ha"), ("f", "fa"), ("k", "ak"), ("c", "ac"))])
+    two = apart.select("tok", "main", *[F.col(c).alias(x) for c, x in (("gid", "gb"), ("n", "bn"), ("p", "bp"), ("m", "bm"), ("low", "lb"), ("high", "hb"), ("f", "fb"), ("k", "bk"), ("c", "bc"))])
     both = F.array_intersect("fa", "fb")
     differ_first = F.coalesce(F.get(both, F.lit(0)) == F.col("tok"), F.lit(True))
     differ = (F.col("la") != F.col("lb")) | (F.col("la") != F.col("ha")) | (F.col("lb") != F.col("hb"))
-    met = one.join(two, "tok").where((F.col("ga") < F.col("gb")) & differ & _may_link(t) & differ_first).select("ga", "gb").distinct()
-    met = _enough(met.select(F.col("ga").alias("a"), F.col("gb").alias("b")), heads, t).select(F.col("a").alias("ga"), F.col("b").alias("gb"))
+    once = (F.col("main") & (F.col("ga") != F.col("gb"))) | (F.col("ga") < F.col("gb"))
+    met = one.join(two, "tok").where(once & differ & _may_link(t) & differ_first & _sketches_allow(t))
+    met = _enough(met.select(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).distinct(), heads, t).select(F.col("a").alias("ga"), F.col("b").alias("gb"))
     ours = members.join(comp, "node").select("gid", "node", "comp")
     mixed = ours.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("gid")
     met = met.unionByName(mixed.select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
@@ -269,6 +296,16 @@ def _labelled(docs: DataFrame, similarity: float, n: int) -> DataFrame:
     return sigs.select("rid", "doc_id", "crc", "n", "sig", "sig2", "psig").join(named, ["sig", "sig2", "n", "psig"], "left")
 
 
+def _sketched(groups: DataFrame, members: DataFrame, heads: DataFrame, sigs: DataFrame) -> DataFrame:
+    """``groups(gid)`` with the first shingles of their prefixes (f) and, where all rows of a group have one set, its sketch (k) and the
+    number of its bits (c)."""
+    single = members.groupBy("gid").agg((F.count(F.lit(1)) == 1).alias("single")).where("single")
+    single = groups.join(single, "gid").join(sigs.select(F.col("rid").alias("gid"), F.col("bits").alias("k")), "gid")
+    bits = F.aggregate(F.transform("k", F.bit_count), F.lit(0), lambda n, x: n + x)
+    found = heads.select("gid", F.slice("toks", 1, FIRST).alias("f")).join(groups, "gid", "left_semi")
+    return found.join(single.select("gid", "k", bits.alias("c")), "gid", "left")
+
+
 def _against(rows: DataFrame, t: Fraction, *more: Column) -> DataFrame:
     """Each group with the leader of each of its shingles, where they may link: (a, b, shared)."""
     lead = F.col("lead")

@@ -3,10 +3,12 @@
 import hashlib
 import random
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tests_llm_plain import brute_components, brute_substring, sets
 
 from graphvec.llm import jaccard, substring
@@ -168,3 +170,51 @@ def test_similarity_links_against_all_pairs(documents):
     got = [frozenset((classes[r.a], classes[r.b])) for r in links.collect()]
     want = {frozenset((x, y)) for x in live for y in live if x != y and 100 * len(x & y) >= 75 * len(x | y)}
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+def near_copies(n=150, words=100):
+    """Copies of one text with one or two words changed; the text itself is not among them."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        text = list(base)
+        for k, at in enumerate(rng.sample(range(5, words - 5), 1 + i % 3 // 2)):
+            text[at] = f"x{i}k{k}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_near_copies_without_their_original_are_not_compared_in_pairs(documents, monkeypatch):
+    rows, counts, real = near_copies(), [], jaccard.write_table
+
+    def write(df, name):
+        out = real(df, name)
+        counts.extend([out.count()] if name == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(jaccard, "write_table", write)
+    got = [tuple(r) for r in jaccard.join_components(documents(rows)).collect()]
+    assert Counter(got) == Counter(brute_components(rows)[0])
+    assert max(counts) < 8 * len(rows)
+
+
+def test_sketches_never_hide_a_link(spark):
+    rng, t = np.random.default_rng(6), Fraction(3, 4)
+    rows, linked = [], []
+    for _ in range(300):
+        size, away = int(rng.integers(1, 9_000)), rng.random(2) * 0.25
+        whole = rng.integers(0, 1 << 63, size, dtype=np.int64).astype(np.uint64)
+        a, b = (whole[rng.random(size) >= x] for x in away)
+        more = rng.integers(0, 1 << 63, (2, int(rng.integers(0, 1 + size // 20))), dtype=np.int64)  # shared with others, not with each other
+        a, b = (np.concatenate([x, y.astype(np.uint64)]) for x, y in zip((a, b), more, strict=True))
+        ka, kb = jaccard._sketch(a), jaccard._sketch(b)
+        ones = [int(np.unpackbits(k.view(np.uint8)).sum()) for k in (ka, kb)]
+        rows.append((len(rows), len(a), len(b), len(a), len(b), ka.tolist(), kb.tolist(), *ones))
+        same = len(np.intersect1d(a, b))
+        linked.append(same * 4 >= (len(a) + len(b) - same) * 3)
+    df = spark.createDataFrame(rows, "i int, an long, bn long, am long, bm long, ak array<long>, bk array<long>, ac int, bc int")
+    allowed = {r.i for r in df.where(jaccard._sketches_allow(t)).collect()}
+    assert {i for i, x in enumerate(linked) if x} <= allowed and 50 < sum(linked) < 250
+    assert len(allowed) < 290
+    assert df.withColumn("ak", F.lit(None).cast("array<long>")).where(jaccard._sketches_allow(t)).count() == len(rows)
